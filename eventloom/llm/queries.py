@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, secrets, suffix_decontam, token_fst
+from . import minhash_dedup, mixing, ppm, quality_rules, secrets, suffix_decontam, token_fst
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -20,10 +20,18 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ppm_scores(spark, sf_dir):
+    return ppm.scored(table(spark, sf_dir, "documents"), held_out=ppm.fold(F.col("doc_id")))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_dedup(spark, sf_dir):
+    return minhash_dedup.grouped(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
     return quality_rules.judged(table(spark, sf_dir, "documents"), labels)
@@ -42,4 +50,4 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_scan, op5_quality_rules, op6_decontamination, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_ppm_scores, op2_secret_scan, op4_minhash_dedup, op5_quality_rules, op6_decontamination, op9_mixing, op10_token_counts)}
