@@ -118,7 +118,7 @@ def sharded(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
     return docs.select(*own).join(draws, "doc_id").repartition("shard", spread).sortWithinPartitions("shard", order)
 
 
-def mix_digest(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken (words of all draws dealt to a shard)."""
+def mix_digest(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """One row per row of docs: doc_id, keep, size, source_size, target, taken (words of all draws dealt to a shard)."""
     dealt = F.filter("draws", lambda d: d["shard"] < F.col("n_shards"))
-    return mixed(docs, **options).select("doc_id", "size", "source_size", "target", F.aggregate(dealt, F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"))
+    return mixed(docs, **options).select("doc_id", *keep, "size", "source_size", "target", F.aggregate(dealt, F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, mixing, ppm, quality_rules, secrets, suffix_decontam, token_fst
+from . import minhash_dedup, mixing, ppm, quality_knn, quality_rules, secrets, suffix_decontam, token_fst, toxicity_cnn, url_templates
+from .common import remainder
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -28,6 +29,10 @@ def op2_secret_scan(spark, sf_dir):
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op3_url_templates(spark, sf_dir):
+    return url_templates.judged(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_dedup(spark, sf_dir):
     return minhash_dedup.grouped(table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,24 @@ def op6_decontamination(spark, sf_dir):
     return suffix_decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_knn(spark, sf_dir):
+    docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    space = quality_knn.space_for(docs, labels, ~held)
+    return quality_knn.scored(docs.select("doc_id", "text"), space).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def toxicity_network(docs: DataFrame, labels: DataFrame):
+    """Learnt from rows outside the held-out fold: crc32 of the id's text modulo 3 is 1."""
+    return toxicity_cnn.network_for(docs, labels.select("doc_id", F.col("toxic").alias("label")), remainder(F.col("doc_id"), 3) != 1)
+
+
+def op8_toxicity_cnn(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity_network(docs, table(spark, sf_dir, "labels"))
+    return toxicity_cnn.scored(docs.select("doc_id", "text"), network).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -49,5 +72,8 @@ def op10_token_counts(spark, sf_dir):
     return token_fst.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+OPERATORS = (op1_ppm_scores, op2_secret_scan, op3_url_templates, op4_minhash_dedup, op5_quality_rules, op6_decontamination, op7_quality_knn, op8_toxicity_cnn, op9_mixing, op10_token_counts)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ppm_scores, op2_secret_scan, op4_minhash_dedup, op5_quality_rules, op6_decontamination, op9_mixing, op10_token_counts)}
+    return {f.__name__: f for f in OPERATORS}
