@@ -532,9 +532,9 @@ def gram_entries(spark, sf_dir):
     return ridge.gram_entries(order_design(spark, sf_dir), "l_orderkey")
 
 
-@query(f"WITH {DESIGN} SELECT b AS block, e AS entity, round(sum(o_totalprice / 1000.0), 4) AS xy, CAST(count(*) AS DOUBLE) AS exposure FROM d JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
+@query(f"WITH {DESIGN} SELECT b AS block, e AS entity, round(sum(o_totalprice / 1000.0), 6) AS xy, CAST(count(*) AS DOUBLE) AS exposure FROM d JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
 def gram_moments(spark, sf_dir):
-    return rounded(ridge.moments(order_design(spark, sf_dir), order_response(spark, sf_dir), "l_orderkey", "y"), "xy", digits=4)
+    return rounded(ridge.moments(order_design(spark, sf_dir), order_response(spark, sf_dir), "l_orderkey", "y"), "xy")
 
 
 @query("SELECT o_orderpriority, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 2) AS intercept FROM orders GROUP BY 1")

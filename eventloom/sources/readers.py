@@ -45,11 +45,11 @@ def csv_vintages(spark: SparkSession, paths: str | Sequence[str], target: Struct
 
 def csv_contract(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
     """One row: rows, rows of another width, whether the header is the contract's."""
-    lines = spark.read.text(path)
     first = spark.read.option("header", "true").csv(path).columns
-    bad = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(", ".join([*(f"`{c}` string" for c in first), "_bad string"])).csv(path)
-    n = bad.select(F.count("*").alias("n_rows"), F.count("_bad").alias("n_bad_width")).first()
-    return lines.sparkSession.createDataFrame([(n["n_rows"], n["n_bad_width"], list(first) == list(header))], "n_rows bigint, n_bad_width bigint, header_ok boolean")
+    schema = ", ".join([*(f"`{c}` string" for c in first), "_bad string"])
+    rows = spark.read.option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(schema).csv(path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])  # all columns, so that the whole width is parsed
+    return rows.select(whole.alias("r")).agg(F.count("r").alias("n_rows"), F.count("r._bad").alias("n_bad_width")).withColumn("header_ok", F.lit(list(first) == list(header)))
 
 
 def json_actions(spark: SparkSession, path: str, required: Sequence[str] = ()) -> DataFrame:
