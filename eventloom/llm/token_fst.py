@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 SPACE_MARK = "▁"
 NO_TOKEN = -1
 MAX_PIECES = 1_000_000
+MOST_ARC, MOST_ARCS = 20, 500_000
 _COMPILED: dict[str, "Transducer"] = {}
 
 
@@ -38,7 +39,7 @@ class State(dict):
 
 
 class Transducer:
-    def __init__(self, pieces: dict[str, float], max_states: int = 250_000):
+    def __init__(self, pieces: dict[str, float], max_states: int = 200_000):
         self.score, self.max_states = pieces, max_states
         self.text: list[str] = list(pieces)
         self.children: list[dict[str, int]] = [{}]
@@ -53,6 +54,8 @@ class Transducer:
                     self.token.append(NO_TOKEN)
             self.token[node] = k
         self.fits: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[str, int] = {}
+        self.unit_starts = not any(b == SPACE_MARK != a for a, b in self.pairs)
         self.reset()
 
     def reset(self) -> None:
@@ -107,6 +110,31 @@ class Transducer:
         return self.state(opened), change
 
     def run(self, text: str) -> int:
+        """The count of a text read from the start state.
+
+        Where no piece holds a space mark behind another character, every run of marks begins at the start state, so
+        a unit (marks and what follows them) is a path from the start state to itself.  Paths of short units are kept as
+        arcs of their own.
+        """
+        if not self.unit_starts:
+            return self.walk(text)
+        head, *rest = text.split(SPACE_MARK)
+        total, lead, arcs = self.walk(head) if head else 0, SPACE_MARK, self.arcs
+        for word in rest:
+            if not word:
+                lead += SPACE_MARK
+                continue
+            unit = lead + word
+            count = arcs.get(unit)
+            if count is None:
+                count = self.walk(unit)
+                if len(unit) <= MOST_ARC and len(arcs) < MOST_ARCS:
+                    arcs[unit] = count
+            total += count
+            lead = SPACE_MARK
+        return total + (self.walk(lead[1:]) if len(lead) > 1 else 0)
+
+    def walk(self, text: str) -> int:
         if len(self.states) > self.max_states:
             self.reset()
             self.fits.clear()
