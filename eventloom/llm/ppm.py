@@ -18,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +54,21 @@ def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[starts], np.diff(np.append(starts, len(values)))
 
 
-def gram_key(gram: np.ndarray) -> list[bytes]:
-    raw = gram.astype(">i8").tobytes()
-    return [GRAM_KEY + raw[i + 2 : i + 8] for i in range(0, len(raw), 8)]
+def gram_keys(gram: np.ndarray) -> pa.Array:
+    """Keys of grams: the kind's byte, then the gram's low six bytes."""
+    raw = np.empty((len(gram), 7), dtype=np.uint8)
+    raw[:, 0] = GRAM_KEY[0]
+    raw[:, 1:] = gram.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    offsets = np.arange(0, 7 * len(gram) + 1, 7, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(gram), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+
+
+def grams_in(keys: pa.Array) -> np.ndarray:
+    """The grams of gram keys."""
+    raw = np.frombuffer(b"".join(keys.to_pylist()), dtype=np.uint8).reshape(-1, 7)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, 2:] = raw[:, 1:]
+    return wide.view(">i8").ravel().astype(np.int64)
 
 
 def portions(texts: list[bytes], most: int = 4_000_000):
@@ -149,22 +162,23 @@ def block_keys(table: pa.Table) -> pa.Table:
     for t in texts:
         found.update(t.lower().split())
     grams = [counted(grams_of(texts[a:b])[0])[0] for a, b in portions(texts)]
-    keys = [WORD_KEY + w for w in found] + gram_key(counted(np.concatenate(grams))[0] if grams else np.zeros(0, dtype=np.int64))
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(keys), pa.int32()), "key": pa.array(keys, pa.binary())})
+    keys = pa.chunked_array([pa.array([WORD_KEY + w for w in found], pa.binary()), gram_keys(counted(np.concatenate(grams))[0] if grams else np.zeros(0, dtype=np.int64))])
+    return pa.table({"block": pa.array(np.full(len(keys), table.column("block")[0].as_py(), dtype=np.int32)), "key": keys})
 
 
 def block_scores(docs: pa.Table, model: pa.Table) -> pa.Table:
     """(doc_id, held_out, n_tokens, n_known, log_counts, score) of a block's texts."""
     texts = encoded(docs.column("text"))
     known: dict[bytes, float] = {}
-    grams, values = bytearray(), []
-    for key, value in zip(model.column("key").to_pylist(), model.column("value").to_pylist(), strict=True):
-        if key[:1] == WORD_KEY:
-            known[key[1:]] = value
-        else:
-            grams += b"\0\0" + key[1:]
-            values.append(value)
-    look = GramTable(np.frombuffer(bytes(grams), dtype=">i8").astype(np.int64), np.array(values))
+    grams, values = [], []
+    for batch in model.select(["key", "value"]).to_batches(max_chunksize=50_000):
+        keys, value = batch.column("key"), batch.column("value").to_numpy()
+        is_word = pc.starts_with(keys, WORD_KEY)
+        known.update(zip((k[1:] for k in keys.filter(is_word).to_pylist()), value[is_word.to_numpy(zero_copy_only=False)].tolist(), strict=True))
+        own = pc.invert(is_word)
+        grams.append(grams_in(keys.filter(own)))
+        values.append(value[own.to_numpy(zero_copy_only=False)])
+    look = GramTable(np.concatenate(grams), np.concatenate(values))
     n_tokens, n_known, logs = [], [], []
     for t in texts:
         found = [known[w] for w in t.lower().split()]
@@ -198,7 +212,7 @@ def trained(docs: DataFrame) -> tuple[DataFrame, int, int]:
     def compiled(table: pa.Table) -> pa.Table:
         gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy()
         one = low.value[int(gram[0] >> SYMBOL_BITS) & 0xFF]
-        return pa.table({"key": pa.array(gram_key(gram), pa.binary()), "value": pa.array(code_lengths(gram, n, one, low.value.sum(0)))})
+        return pa.table({"key": gram_keys(gram), "value": pa.array(code_lengths(gram, n, one, low.value.sum(0)))})
 
     lengths = grams.withColumn("tail", F.shiftright("gram", SYMBOL_BITS).bitwiseAND(F.lit(0xFFFF))).groupBy("tail").applyInArrow(compiled, "key binary, value double")
     known = counts.where("word is not null").select(F.concat(F.lit(WORD_KEY), "word").alias("key"), F.log10(F.col("n") + 1.0).alias("value"))
