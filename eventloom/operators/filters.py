@@ -194,3 +194,47 @@ def inferred_starters(df: DataFrame, keys: Sequence[str], order: str, player: st
     """Who began: players whose first mark is "out", or who act without ever being marked.  direction: in, out or null."""
     first = df.withColumn("_d", direction).groupBy(*keys, player).agg(F.min_by("_d", F.when(F.col("_d").isNotNull(), F.col(order))).alias("_first"))
     return first.where(F.col("_first").isNull() | (F.col("_first") == "out")).groupBy(*keys).agg(F.array_sort(F.collect_set(player)).alias("players"))
+
+
+def played_time(stints: DataFrame, keys: Sequence[str], players: str, start: Column, end: Column) -> DataFrame:
+    """Seconds that each member of the stints' lineups was on: keys, player, played."""
+    rows = stints.withColumn("_d", F.greatest(end - start, F.lit(0.0)))
+    return rows.select(*keys, F.explode(players).alias("player"), "_d").groupBy(*keys, "player").agg(F.sum("_d").alias("played"))
+
+
+def time_gaps(played: DataFrame, official: DataFrame, keys: Sequence[str], tolerance: float = 5.0) -> DataFrame:
+    """Players whose time differs from the official one by more than the tolerance: keys, player, played, official, gap."""
+    both = played.join(official, [*keys, "player"], "full").na.fill(0.0, ["played", "official"]).withColumn("gap", F.abs(F.col("played") - F.col("official")))
+    return both.where(F.col("gap") > tolerance)
+
+
+def run_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str], owner: str) -> DataFrame:
+    """The owners of a key's runs, in order."""
+    from .ordered import collapse_runs
+
+    runs = collapse_runs(df.where(F.col(owner).isNotNull()), keys, order, [owner])
+    return runs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("run", owner))), lambda r: r[owner]).alias("owners"))
+
+
+def agreement(df: DataFrame, keys: Sequence[str], order: Sequence[str], owner: str, label: str) -> DataFrame:
+    """Per key: rows with both, the share that agree, and whether the sequences of runs are the same."""
+    rows = df.where(F.col(owner).isNotNull() & F.col(label).isNotNull())
+    share = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col(owner) == F.col(label)).cast("double")).alias("agreement"))
+    a, b = run_sequence(df, keys, order, owner), run_sequence(df, keys, order, label).withColumnRenamed("owners", "labels")
+    return share.join(a, list(keys), "left").join(b, list(keys), "left").withColumn("same_runs", F.coalesce(F.col("owners") == F.col("labels"), F.lit(False))).drop("owners", "labels")
+
+
+def substitutions_from_text(df: DataFrame, text: str, names: DataFrame, keys: Sequence[str], ident: str) -> DataFrame:
+    """Adds out and in ids of "SUB: A FOR B" (A comes for B), or why not: no_match, unknown_name.
+
+    names: keys, name_key, ident, one id a name key (see joins.resolver).
+    """
+    from ..functions.scalars import name_key
+
+    part = lambda k: F.nullif(F.regexp_extract(text, r"(?i)SUB:\s*(.+?)\s+FOR\s+(.+?)\s*$", k), F.lit(""))
+    rows = df.withColumns({"_in": name_key(part(1)), "_out": name_key(part(2))})
+    for side in ("in", "out"):
+        found = names.select(*keys, F.col("name_key").alias(f"_{side}"), F.col(ident).alias(f"{side}_{ident}"))
+        rows = rows.join(found, [*keys, f"_{side}"], "left")
+    why = F.when(F.col("_in").isNull(), "no_match").when(F.col(f"in_{ident}").isNull() | F.col(f"out_{ident}").isNull(), "unknown_name")
+    return rows.withColumn("failure", why).drop("_in", "_out")

@@ -125,3 +125,18 @@ def cluster_counts(panel: DataFrame, numbers: Sequence[str], counts: Sequence[in
     ready = Pipeline(stages=features(numbers)).fit(panel).transform(panel)
     score = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
     return sorted(((k, score.evaluate(KMeans(k=k, seed=seed, featuresCol="features").fit(ready).transform(ready))) for k in counts), key=lambda x: (-x[1], x[0]))
+
+
+def random_search(df: DataFrame, group: str, folds: int, options: dict[str, Sequence], tries: int, fit_one: Callable[[DataFrame, dict], PipelineModel], label: str, seed: int = 0) -> list[tuple[dict, float]]:
+    """(options, held-out RMSE) of random choices, best first; whole groups are held out together."""
+    import random
+
+    rng = random.Random(seed)
+    parted = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(folds))).persist()
+    out = []
+    for _ in range(tries):
+        chosen = {k: rng.choice(list(v)) for k, v in options.items()}
+        held = out_of_fold(parted, "_fold", range(folds), lambda train, c=chosen: fit_one(train, c))
+        out.append((chosen, held.agg(F.sqrt(F.avg((F.col(label) - F.col("predicted")) ** 2))).first()[0]))
+    parted.unpersist()
+    return sorted(out, key=lambda x: x[1])

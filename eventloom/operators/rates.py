@@ -188,3 +188,26 @@ def spread_profile(df: DataFrame, by: Sequence[str], columns: Sequence[str]) ->
 
 def line_by_group(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
+
+
+def spread_between(df: DataFrame, residual: str, variance: str, high: float, rounds: int = 4, grid: int = 24) -> float:
+    """The between-entity variance that makes the residuals likeliest, given each one's own sampling variance.
+
+    Every round evaluates a grid in one aggregation and narrows it around the best point.
+    """
+    low = 0.0
+    for _ in range(rounds):
+        points = [low + (high - low) * k / (grid - 1) for k in range(grid)]
+        total = [F.sum(F.log(F.col(variance) + p + 1e-300) + F.col(residual) ** 2 / (F.col(variance) + p + 1e-300)).alias(f"l{k}") for k, p in enumerate(points)]
+        likelihood = df.where(F.col(residual).isNotNull() & (F.col(variance) > 0)).agg(*total).first()
+        if likelihood[0] is None:
+            return 0.0
+        best = min(range(grid), key=lambda k: likelihood[k])
+        low, high = points[max(0, best - 1)], points[min(grid - 1, best + 1)]
+    return points[best]
+
+
+def tier_targets(df: DataFrame, by: Sequence[str], value: str, quantile: float = 0.25) -> DataFrame:
+    """Per group: the mean of the values up to its quantile."""
+    edges = df.groupBy(*by).agg(F.percentile(value, quantile).alias("_q"))
+    return df.join(edges, list(by)).groupBy(*by).agg(F.avg(F.when(F.col(value) <= F.col("_q"), F.col(value))).alias("target"))

@@ -110,6 +110,23 @@ class NormalEquations:
                 intercept += size * mean
         return beta, intercept
 
+    def standard_errors(self, beta: np.ndarray, intercept: float, penalties: Mapping[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """(standard errors, covariance) of ridge with independent errors: sigma^2 (G + D)^-1 G (G + D)^-1."""
+        inverse = np.linalg.inv(self.gram + np.diag(self.penalty(penalties)))
+        hat = inverse @ self.gram
+        freedom = max(self.n - np.trace(hat) - 1, 1.0)
+        covariance = self.squared_error(beta, intercept) / freedom * hat @ inverse
+        return np.sqrt(np.clip(np.diag(covariance), 0, None)), covariance
+
+    def condition(self, penalties: Mapping[str, float]) -> float:
+        return float(np.linalg.cond(self.gram + np.diag(self.penalty(penalties))))
+
+    def generalized_error(self, penalties: Mapping[str, float]) -> float:
+        """Generalised cross-validation: n * squared error / (n - trace of the hat matrix)^2."""
+        beta, mean = self.solve(penalties)
+        trace = np.trace(np.linalg.solve(self.gram + np.diag(self.penalty(penalties)), self.gram))
+        return self.n * self.squared_error(beta, mean) / max(self.n - trace - 1, 1.0) ** 2
+
     def squared_error(self, beta: np.ndarray, intercept: float) -> float:
         """Sum of squared errors on these rows, from the sums alone."""
         fit = beta @ self.gram @ beta + 2 * intercept * (beta @ self.exposure) + intercept**2 * self.n

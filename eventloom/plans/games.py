@@ -250,3 +250,43 @@ def complete_exposure(lineups: DataFrame, season: str, players: Column, people:
     seen = lineups.select(season, F.explode(players).alias(person)).groupBy(season, person).agg(F.count("*").alias("possessions"))
     frame = people.select(person).distinct().withColumn(season, F.explode(F.array(*[F.lit(s) for s in seasons])))
     return frame.join(seen, [season, person], "left").withColumn("possessions", F.coalesce("possessions", F.lit(0)))
+
+
+def passer_rating(box: DataFrame, height: Column) -> DataFrame:
+    """Adds PasserRating to what offensive_load gives (a published logistic; its weights are fixed values).
+
+    box also has AtRimFGA; height is in inches.
+    """
+    per = lambda c: 100 * ratio(F.col(c), F.col("OffPoss"))
+    by_load = F.coalesce(ratio(per("AST"), F.col("Load")), F.lit(0.0))
+    without_threes = F.col("Creation") + 2.3021 * F.col("ThreePtP") - 0.0582 * per("AST") * (per("PTS") + per("TOV")) * F.col("ThreePtP")
+    by_assist = F.coalesce(ratio(without_threes, per("AST")), F.lit(0.0))
+    at_rim = F.coalesce(ratio(F.coalesce("AtRimFGA", F.lit(0.0)), F.col("FGA")), F.lit(0.0))
+    inner = 4.79 + 6.48 * at_rim + 0.19 * F.col("Load") - 76.71 * by_load - 0.07 * height - 0.08 * per("TOV") ** 2 - 2.71 * by_assist + 1.19 * height * by_load
+    return box.withColumn("PasserRating", 11.3 / (1 + F.exp(-F.log(F.lit(2.5)) * (inner - 5.6))))
+
+
+def feed_rates(feed: DataFrame, box: DataFrame, keys: Sequence[str], exposure: str, per_100: Mapping[str, str], shares: Mapping[str, tuple[str, str]] = {}) -> DataFrame:  # noqa: B006
+    """Rates of a tracking feed by the box score's exposure: hustle, passing, drives, rebounds, forced turnovers.
+
+    The feed's rows are summed by key first, so repeated rows (traded players) count once with their sums.
+    """
+    columns = sorted({*per_100.values(), *(c for pair in shares.values() for c in pair)})
+    sums = feed.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in columns])
+    both = checks.checked_join(sums, box.select(*keys, F.col(exposure).alias("_exposure")), keys)
+    rate = {n: 100 * ratio(F.col(c), F.col("_exposure")) for n, c in per_100.items()} | {n: ratio(F.col(a), F.col(b)) for n, (a, b) in shares.items()}
+    return both.select(*keys, *[v.alias(n) for n, v in rate.items()])
+
+
+def shots_saved(feed: DataFrame, box: DataFrame, keys: Sequence[str], season: str, made: str, tried: str, exposure: str, points: float = 2.0) -> DataFrame:
+    """Points saved per 100 against the season's rate of the shots defended."""
+    league = feed.groupBy(season).agg(ratio(F.sum(made), F.sum(tried)).alias("_league"))
+    both = feed.groupBy(*keys).agg(F.sum(made).alias("_m"), F.sum(tried).alias("_t")).join(league, season)
+    both = checks.checked_join(both, box.select(*keys, F.col(exposure).alias("_exposure")), keys)
+    return both.select(*keys, (100 * points * ratio(F.col("_league") * F.col("_t") - F.col("_m"), F.col("_exposure"))).alias("saved_per_100"), ratio(F.col("_t"), F.col("_exposure")).alias("tries_per_possession"))
+
+
+def team_rollup(ratings: DataFrame, minutes: DataFrame, player: str, team: Sequence[str], rating: str, weight: str, size: int = 5) -> DataFrame:
+    """Team predictions: `size` times the minutes-weighted mean rating, unrated players as 0, and the share of minutes rated."""
+    both = minutes.join(ratings.select(player, F.col(rating).alias("_r")), player, "left")
+    return both.groupBy(*team).agg((size * ratio(F.sum(F.coalesce("_r", F.lit(0.0)) * F.col(weight)), F.sum(weight))).alias("predicted"), ratio(F.sum(F.when(F.col("_r").isNotNull(), F.col(weight))), F.sum(weight)).alias("rated_share"))

@@ -107,3 +107,21 @@ def test_pooled_features(spark):
     people = spark.createDataFrame([(1,), (2,), (3,)], "p int")
     seen = games.complete_exposure(spark.createDataFrame([(2023, [1, 2]), (2023, [1, 2])], "s int, l array<int>"), "s", F.col("l"), people, [2023, 2024], "p")
     assert seen.count() == 6 and seen.agg(F.sum("possessions")).first()[0] == 4
+
+
+def test_single_feed_rates(spark):
+    box = spark.createDataFrame([(1, 2024, 1000.0, 60.0), (2, 2024, 0.0, 10.0)], "p int, s int, poss double, ast double")
+    feed = spark.createDataFrame([(1, 2024, 30.0, 10.0, 20.0), (1, 2024, 20.0, 10.0, 20.0), (2, 2024, 5.0, 8.0, 10.0)], "p int, s int, deflections double, m double, t double")
+    got = {r["p"]: r for r in games.feed_rates(feed, box, ["p", "s"], "poss", {"deflections_100": "deflections"}, {"pct": ("m", "t")}).collect()}
+    assert got[1]["deflections_100"] == 5.0 and got[1]["pct"] == 0.5 and got[2]["deflections_100"] is None
+    saved = {r["p"]: r["saved_per_100"] for r in games.shots_saved(feed, box, ["p", "s"], "s", "m", "t", "poss").collect()}
+    assert saved[1] == pytest.approx(100 * 2 * (28 / 50 * 40 - 20) / 1000)
+    rolled = games.team_rollup(spark.createDataFrame([(1, 2.0)], "p int, r double"), spark.createDataFrame([(1, "t", 30.0), (9, "t", 10.0)], "p int, team string, min double"), "p", ["team"], "r", "min").first()
+    assert tuple(rolled) == ("t", 7.5, 0.75)
+
+
+def test_passers_rate_higher_with_more_assists(spark):
+    rows = [(k, 1000.0, 250.0, a, 30.0, 200.0, 50.0, 60.0, 0.36, 60.0) for k, a in ((1, 20.0), (2, 90.0))]
+    box = spark.createDataFrame(rows, "p int, OffPoss double, PTS double, AST double, TOV double, FGA double, FTA double, FG3A double, FG3_PCT double, AtRimFGA double")
+    got = {r["p"]: r["PasserRating"] for r in games.passer_rating(games.offensive_load(box), F.lit(78.0)).collect()}
+    assert 0 <= got[1] < got[2] <= 11.3

@@ -358,3 +358,46 @@ def test_roles_are_ordered_by_size(spark):
     counts = [n for _, n in sorted((r["role"], r["count"]) for r in got.groupBy("role").count().collect())]
     assert counts == sorted(counts, reverse=True) and sum(counts) == 99
     assert got.select(F.max(F.abs(F.col("affinity_0") + F.col("affinity_1") + F.col("affinity_2") - 1))).first()[0] < 1e-9
+
+
+def test_errors_condition_and_generalized_validation(league):
+    df, _ = league
+    design = ridge.lineup_design(df, "row", {"offense": F.col("o"), "defense": F.col("d")})
+    found = ridge.NormalEquations.of(design, df.select("row", "y"), "row", "y")
+    weights = {"offense": 5.0, "defense": 5.0}
+    beta, mean = found.solve(weights)
+    errors, cov = found.standard_errors(beta, mean, weights)
+    assert (errors > 0).all() and np.allclose(cov, cov.T) and errors.max() < 0.1
+    assert found.condition({"offense": 100.0, "defense": 100.0}) < found.condition({"offense": 1.0, "defense": 1.0})
+    assert found.generalized_error(weights) < found.generalized_error({"offense": 1e6, "defense": 1e6})
+
+
+def test_played_time_against_official(spark):
+    stints = spark.createDataFrame([("g", [1, 2], 0.0, 100.0), ("g", [1, 3], 100.0, 150.0)], "g string, players array<int>, a double, b double")
+    played = filters.played_time(stints, ["g"], "players", F.col("a"), F.col("b"))
+    official = spark.createDataFrame([("g", 1, 152.0), ("g", 2, 90.0), ("g", 4, 10.0)], "g string, player int, official double")
+    assert [(p, gap) for p, gap in values(filters.time_gaps(played, official, ["g"]), "player", "gap", order=("player",))] == [(2, 10.0), (3, 50.0), (4, 10.0)]
+
+
+def test_owner_agreement_and_texts(spark):
+    rows = spark.createDataFrame([("g", i, a, b) for i, (a, b) in enumerate([("x", "x"), ("x", "x"), ("y", "y"), ("y", "z")])] + [("h", 0, "x", "x")], "g string, n int, o string, l string")
+    assert values(filters.agreement(rows, ["g"], ["n"], "o", "l"), "g", "agreement", "same_runs", order=("g",)) == [("g", 0.75, False), ("h", 1.0, True)]
+    names = spark.createDataFrame([("g", "annlee", 1), ("g", "bobo", 2)], "g string, name_key string, id int")
+    texts = spark.createDataFrame([("g", 1, "SUB: Ann Lee FOR Bobo"), ("g", 2, "SUB: Cy FOR Bobo"), ("g", 3, "foul")], "g string, n int, t string")
+    assert values(filters.substitutions_from_text(texts, "t", names, ["g"], "id"), "in_id", "out_id", "failure", order=("n",)) == [(1, 2, None), (None, 2, "unknown_name"), (None, None, "no_match")]
+
+
+def test_spread_between_entities(spark):
+    rng = np.random.default_rng(4)
+    v = rng.uniform(0.5, 2.0, 3000)
+    rows = [(float(rng.normal(0, np.sqrt(1.5 + x))), float(x)) for x in v]
+    assert rates.spread_between(spark.createDataFrame(rows, "r double, v double"), "r", "v", 20.0) == pytest.approx(1.5, abs=0.25)
+    tiers = spark.createDataFrame([("a", float(i)) for i in range(1, 9)], "t string, x double")
+    assert values(rates.tier_targets(tiers, ["t"], "x"), "target") == [(1.5,)]
+
+
+def test_random_search_holds_groups_out(spark):
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i % 20, x := rng.gauss(0, 1), 2 * x + rng.gauss(0, 0.1)) for i in range(300)], "g int, x double, y double")
+    got = models.random_search(df, "g", 3, {"strength": [0.001, 100.0]}, 3, lambda train, c: models.weighted_ridge(train, ["x"], "y", None, c["strength"]), "y", seed=2)
+    assert got[0][0]["strength"] == 0.001 and got[0][1] < 0.3
