@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = tempfile.mkdtemp(prefix="eventloom-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import minhash_dedup, mixing, ppm, quality_knn, quality_rules, secrets, suffix_decontam, token_fst, toxicity_cnn, url_templates
 from .common import remainder
+from .oracles import oracle_sql
 
 TOKENIZER = "piece_bpe_32k.model"
 
@@ -72,6 +73,7 @@ def op10_token_counts(spark, sf_dir):
     return token_fst.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+__all__ = ["oracle_sql", "queries", "table"]
 OPERATORS = (op1_ppm_scores, op2_secret_scan, op3_url_templates, op4_minhash_dedup, op5_quality_rules, op6_decontamination, op7_quality_knn, op8_toxicity_cnn, op9_mixing, op10_token_counts)
 
 

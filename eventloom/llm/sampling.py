@@ -11,7 +11,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
 
     labels has doc_id and label (0 or 1, others are left out); allowed is a condition on doc_id.  The choice follows a
     hash of the id, so reruns agree and no order of the tables matters.  Texts are whole; beyond most_chars
-    characters in all, further documents are left out of the sample.  Ids with two labels count as the lesser one.
+    characters in all, further documents are left out of the sample.  Ids with two labels count as the lesser one, ids with
+    two texts have the lesser one.
     """
     one = labels.where(allowed & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {int(r["label"]): int(r["n"]) for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
@@ -21,7 +22,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
         part = one.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     # broadcast: at most 2 * per_class rows
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     running = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = found.select("doc_id", "label", order.alias("h"), F.length("text").alias("n")).withColumn("total", F.sum("n").over(running))
     kept = sized.where(F.col("total") <= most_chars).select("doc_id")
