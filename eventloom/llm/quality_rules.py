@@ -9,7 +9,7 @@ cutoffs).  The strictest certified cutoff is used; a rule without one is off in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, written
@@ -73,7 +73,7 @@ def certified_cutoffs(figures: DataFrame, labels: DataFrame, *, alpha: float = 0
     counts = seen.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
     share = alpha / len(RULES)
     tests = sum(len(cuts) for _, cuts in RULES.values())
-    strata = counts.crossJoin(counts.agg(F.count("*").alias("n_strata")))  # one row of one number
+    strata = counts.withColumn("n_strata", F.count("*").over(Window.partitionBy()))  # one row a stratum
     level = delta / (tests * F.col("n_strata"))
     cut = {}
     for name, (_, cuts) in RULES.items():
