@@ -1,23 +1,25 @@
 """Near-duplicate groups by b-bit MinHash.
 
 1. Documents with the same shingle set are one class; only classes go on.
-2. Each class has PERMUTATIONS minima; BANDS runs of ROWS of them are its buckets, and the low BITS of all of them,
-   packed, its signature.
+2. Each class has BANDS buckets, each from ROWS minima.  Classes that share a bucket with another one get a signature:
+   the low bits of LANES further minima, packed.
 3. Rounds of stars: in every bucket that still holds several components, each class is paired with the bucket's
    centre, so pairs grow with the members of a bucket, not with their square.  A class takes the centre whose
-   similarity, estimated from equal signature lanes and corrected for chance hits, is highest; the estimate must come
+   similarity, estimated from equal signature bits and corrected for chance hits, is highest; the estimate must come
    within five standard errors of the threshold, and the pair is then confirmed on the full shingle sets.
-4. What is left are buckets with classes of different components.  Their pairs across components that pass the estimate
-   are all confirmed on full sets, so no link that shares a bucket is lost.
+4. What is left are buckets with classes of different components.  They are compared block by block, and all pairs across
+   components that pass the estimate are confirmed on full sets, so no link that shares a bucket is lost.
 
 Two sets at the threshold share no bucket with probability (1 - 0.85^5)^25 < 5e-7.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +27,16 @@ from pyspark.sql import functions as F
 from .common import row_map, words, written
 from .graph import components
 
-SHINGLE, BANDS, ROWS, BITS = 5, 25, 5, 4
-PERMUTATIONS = 128  # of which BANDS * ROWS feed the buckets
+SHINGLE, BANDS, ROWS = 5, 25, 5
+LANES = 2048  # one bit each
+BLOCK = 1500
 _RANDOM = np.random.default_rng(20260)
-_A = _RANDOM.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_A = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BAND = _RANDOM.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LANES = 0x1111111111111111
+_LANE_A = _RANDOM.integers(1, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_LANE_B = _RANDOM.integers(0, 2**32, LANES, dtype=np.uint32)
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -53,54 +57,73 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(mixed_bits(out))
 
 
-def minima(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
-    """The least of 32 high bits under each of the permutations."""
-    out = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 512) -> np.ndarray:
+    """The least value of the shingles under each permutation x -> a * x + b."""
+    out = np.full(len(a), np.iinfo(a.dtype).max, dtype=a.dtype)
     for i in range(0, len(shingles), block):
-        out = np.minimum(out, (shingles[i : i + block, None] * _A + _B).min(0))
-    return out >> np.uint64(32)
+        np.minimum(out, (shingles[i : i + block, None] * a + b).min(0), out=out)
+    return out
 
 
-def sketch(shingles: np.ndarray) -> tuple[list[int], list[int]]:
-    """(bucket of each band, signature as 64-bit words of 4-bit lanes)."""
-    low = minima(shingles)
-    rows = low[: BANDS * ROWS].reshape(BANDS, ROWS)
-    buckets = mixed_bits((rows * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _BASE)
-    lanes = (low & np.uint64(15)).astype(np.uint8)
-    packed = (lanes[0::2] | (lanes[1::2] << 4)).view(np.int64)
-    return buckets.view(np.int64).tolist(), packed.tolist()
+def buckets_of(shingles: np.ndarray) -> list[int]:
+    rows = (minima(shingles, _A, _B) >> np.uint64(20)).reshape(BANDS, ROWS)
+    return mixed_bits((rows * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _BASE).view(np.int64).tolist()
+
+
+def signature_of(shingles: np.ndarray) -> list[int]:
+    """The low bit of each lane's minimum, after mixing, as 64-bit words."""
+    least = minima((shingles >> np.uint64(32)).astype(np.uint32), _LANE_A, _LANE_B).astype(np.uint64)
+    return np.packbits((mixed_bits(least * _BASE) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist()
+
+
+def set_key(shingles: np.ndarray) -> bytes | None:
+    return blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
 def sketches(texts: list) -> list[list]:
-    n, keys, buckets, signatures = [], [], [], []
-    for text in texts:
-        found = shingle_set(text)
-        n.append(len(found))
-        if len(found):
-            keys.append(blake2b(found.tobytes(), digest_size=16).digest())
-            b, s = sketch(found)
-        else:
-            keys.append(None)
-            b, s = None, None
-        buckets.append(b)
-        signatures.append(s)
-    return [n, keys, buckets, signatures]
+    found = [shingle_set(t) for t in texts]
+    return [[len(x) for x in found], [set_key(x) for x in found], [buckets_of(x) if len(x) else None for x in found]]
 
 
 def sets(texts: list) -> list[list]:
     found = [shingle_set(t) for t in texts]
-    return [[blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in found], [x.view(np.int64).tolist() for x in found]]
+    return [[set_key(x) for x in found], [x.view(np.int64).tolist() for x in found], [signature_of(x) if len(x) else None for x in found]]
 
 
 def estimate(a: Column, b: Column) -> Column:
-    """The similarity from the share of equal lanes, less what 4-bit lanes agree by chance."""
+    """The similarity from the share of equal bits, less the half that agrees by chance."""
     unequal = F.lit(0)
-    for i in range(PERMUTATIONS * BITS // 64):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        y = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-        unequal = unequal + F.bit_count(y.bitwiseAND(F.lit(_LANES)))
-    chance = 1 / 2**BITS
-    return ((1 - unequal / PERMUTATIONS) - chance) / (1 - chance)
+    for i in range(LANES // 64):
+        unequal = unequal + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return 1 - 2 * unequal / LANES
+
+
+def block_pairs(table: pa.Table, percent: int, cut: float, rows: int = 64) -> pa.Table:
+    """Pairs between two blocks of a bucket, or within one: other label, size and estimate in reach, first shared band here."""
+    nodes, labels = (np.array(table.column(c).to_pylist(), dtype=object) for c in ("node", "label"))
+    n, own = table.column("n").to_numpy(), table.column("own").to_numpy()
+    signature = np.array(table.column("signature").to_pylist(), dtype=np.int64).view(np.uint64)
+    buckets = np.array(table.column("buckets").to_pylist(), dtype=np.int64)
+    bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    label = np.unique([x.hex() for x in labels], return_inverse=True)[1]
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    out_a, out_b = [], []
+    for start in range(0, len(left), rows):
+        a = left[start : start + rows]
+        unequal = np.zeros((len(a), len(right)), dtype=np.int32)
+        for word in range(signature.shape[1]):
+            unequal += np.bitwise_count(signature[a, word][:, None] ^ signature[right, word][None])
+        near = (1 - 2 * unequal / LANES >= cut) & (label[a][:, None] != label[right][None])
+        near &= 100 * np.minimum(n[a][:, None], n[right][None]) >= percent * np.maximum(n[a][:, None], n[right][None])
+        if i == j:
+            near &= a[:, None] < right[None]
+        x, y = np.nonzero(near)
+        x, y = a[x], right[y]
+        equal = buckets[x] == buckets[y]
+        first = buckets[x, equal.argmax(1)] == bucket if len(x) else np.zeros(0, dtype=bool)
+        out_a += nodes[x[first]].tolist()
+        out_b += nodes[y[first]].tolist()
+    return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
 def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -113,16 +136,18 @@ class Links:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, percent: int):
         self.percent = percent
-        self.cut = percent / 100 - 5 * ((percent / 100 * (1 - percent / 100) / PERMUTATIONS) ** 0.5) / (1 - 1 / 2**BITS)
+        share = (1 + percent / 100) / 2
+        self.cut = percent / 100 - 5 * 2 * (share * (1 - share) / LANES) ** 0.5
         buckets = classes.select("node", F.explode("buckets").alias("bucket"))
         several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
         self.members = written(buckets.join(several, "bucket"), "members")
         nodes = self.members.select("node").distinct()
-        self.signatures = written(classes.join(nodes, "node").select("node", "min_id", "n", "signature"), "signatures")
-        wanted = few(self.signatures.select(F.col("min_id").alias("doc_id"), F.col("node").alias("want")))
+        wanted = few(written(classes.join(nodes, "node").select(F.col("min_id").alias("doc_id"), F.col("node").alias("want")), "wanted"))
         texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-        found = row_map(texts, {"node": "binary", "shingles": "array<bigint>"}, sets, "text")
-        self.sets = written(found.where("node = want").select("node", "shingles").dropDuplicates(["node"]), "sets")
+        found = row_map(texts, {"node": "binary", "shingles": "array<bigint>", "signature": "array<bigint>"}, sets, "text")
+        found = found.where("node = want").select("node", "shingles", "signature").dropDuplicates(["node"])
+        self.sets = written(found.withColumn("n", F.size("shingles")).join(classes.select("node", "buckets"), "node"), "sets")
+        self.signatures = self.sets.select("node", "n", "signature", "buckets")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and estimate leave the threshold in reach, with the estimate."""
@@ -138,14 +163,24 @@ class Links:
         union = F.size("s_a") + F.size("s_b") - common
         return both.where(100 * common >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    def labelled(self, labels: DataFrame | None) -> DataFrame:
-        """Members of buckets that hold several components, with their label."""
-        if labels is None:
-            return self.members.withColumn("label", F.col("node"))
-        found = self.members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    def labelled(self, labels: DataFrame) -> DataFrame:
+        """Members of buckets that hold several labels."""
+        found = self.members.join(labels, "node")
         mixed = found.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
         return found.join(mixed, "bucket")
 
+    @staticmethod
+    def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+        """Labels after the edges: each becomes the least one it is linked with, in two steps.
+
+        Labels stay finer than the components, or equal to them; components() makes the final ones.
+        """
+        ends = edges.join(labels.select(F.col("node").alias("u"), F.col("label").alias("x")), "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("y")), "v").where("x <> y")
+        to = written(ends.groupBy(F.greatest("x", "y").alias("label")).agg(F.min(F.least("x", "y")).alias("to")), "labels-to")
+        further = to.select(F.col("label").alias("to"), F.col("to").alias("further"))
+        to = to.join(further, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
+        return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+
     def star(self, open_: DataFrame, salt: int) -> DataFrame:
         """For each open class, the most similar centre of its buckets in another component."""
         centre = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", "label")).alias("c"))
@@ -154,14 +189,21 @@ class Links:
         return self.confirmed(best)
 
     def rest(self, open_: DataFrame) -> DataFrame:
-        """All pairs across components within the open buckets, confirmed."""
-        left, right = (open_.join(self.signatures, "node").select("bucket", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "n", "signature")]) for x in "ab")
-        close = (F.col("label_a") < F.col("label_b")) & (100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")) & (estimate(F.col("signature_a"), F.col("signature_b")) >= self.cut)
-        pairs = left.join(right, "bucket").where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        return self.confirmed(pairs)
+        """All pairs across labels within the open buckets, confirmed.
+
+        A bucket's members are compared block by block, BLOCK by BLOCK rows at most on average, so neither a task nor a
+        shuffle holds a bucket's pairs: only those that pass the estimate leave the task, each in one of its buckets.
+        """
+        sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        rows = open_.join(self.signatures, "node").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
+        dealt = rows.withColumn("_p", F.explode(pairs)).select("bucket", "_p.i", "_p.j", "own", "node", "label", "n", "signature", "buckets")
+        percent, cut = self.percent, self.cut
+        found = dealt.groupBy("bucket", "i", "j").applyInArrow(lambda table: block_pairs(table, percent, cut), "a binary, b binary")
+        return self.confirmed(found)
 
 
-def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 2) -> DataFrame:
+def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the least
@@ -171,19 +213,22 @@ def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 2) -> DataFrame:
     empty table gives an empty result.  There is no cap on the members of a bucket or a component.
     """
     docs = docs.select("doc_id", "text")
-    found = row_map(docs, {"n": "bigint", "node": "binary", "buckets": "array<bigint>", "signature": "array<bigint>"}, sketches, "text")
+    found = row_map(docs, {"n": "bigint", "node": "binary", "buckets": "array<bigint>"}, sketches, "text")
     found = written(found.drop("text"), "sketches")
-    one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature"))
+    one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("buckets").alias("buckets"))
     classes = written(one, "classes")
     named = classes.where("min_id is not null")
     links = Links(docs, named, percent)
-    labels = None
-    for k in range(stars + 1):
-        open_ = written(links.labelled(labels), "open")
-        new = links.star(open_, k) if k < stars else links.rest(open_)
-        if labels is not None:
-            new = new.unionAll(labels.select(F.col("node").alias("u"), F.col("label").alias("v")))
-        labels = components(new)
+    start = links.sets.select("node", F.col("node").alias("label"))
+    labels, edges = start, []
+    for k in range(stars):
+        edges.append(written(links.star(written(links.labelled(labels), "open"), k), "links"))
+        labels = written(links.merged(labels, edges[-1]), "labels")
+    if edges:
+        so_far = components(reduce(DataFrame.unionAll, edges))
+        labels = written(start.select("node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+        edges = [so_far.select(F.col("node").alias("u"), F.col("label").alias("v"))]
+    labels = components(reduce(DataFrame.unionAll, [*edges, links.rest(written(links.labelled(labels), "open"))]))
     ids = classes.select("node", "min_id").join(labels, "node", "left")
     least = ids.where("label is not null").groupBy("label").agg(F.min("min_id").alias("least"))
     ids = ids.join(least, "label", "left").select("node", F.coalesce("least", "min_id").alias("component"))
