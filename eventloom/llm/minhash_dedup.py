@@ -238,6 +238,14 @@ def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id names their component; doc_id is unique here."""
-    keep = grouped(docs, **options).where("kept").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs whose doc_id names their component, with docs' columns.
+
+    Rows that share an id, or have none, stay once for each text; an id that comes once needs no look at the text.
+    """
+    kept = written(grouped(docs, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("_copies")), "kept")
+    once = docs.join(kept.where("_copies = 1"), "doc_id", "left_semi")
+    several = kept.where("_copies > 1 or doc_id is null")
+    if not several.limit(1).count():
+        return once
+    rest = docs.join(several.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return once.unionByName(rest.dropDuplicates(["doc_id", "text"]))
