@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -59,7 +60,7 @@ def sha(items) -> str:
 def slices(batch, column: str, most_bytes: int):
     """Cut an Arrow batch into consecutive slices whose column holds about most_bytes each."""
     start = size = 0
-    lengths = batch.column(column).to_pandas().str.len().fillna(0).to_numpy() if batch.num_rows else []
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + n > most_bytes:
             yield batch.slice(start, i - start)
@@ -69,10 +70,10 @@ def slices(batch, column: str, most_bytes: int):
         yield batch.slice(start)
 
 
-def row_map(docs: DataFrame, new: dict[str, str], figures, text: str, slice_bytes: int | None = None) -> DataFrame:
+def row_map(docs: DataFrame, new: dict[str, str], figures, text: str, slice_bytes: int = 8_000_000) -> DataFrame:
     """All columns of docs but those named in new, then new's columns (name: type), as figures(texts) gives them, column by column.
 
-    figures gets whole texts (None where null), those of one slice of an Arrow batch at a time.
+    figures gets whole texts (None where null), those of one slice of an Arrow batch of about slice_bytes at a time.
     """
     own = [c for c in docs.columns if c not in new]
     kept = docs.select(*[F.col(f"`{c}`") for c in own])
@@ -81,7 +82,7 @@ def row_map(docs: DataFrame, new: dict[str, str], figures, text: str, slice_byte
 
     def mapped(batches):
         for batch in batches:
-            for part in slices(batch, text, slice_bytes) if slice_bytes else [batch]:
+            for part in slices(batch, text, slice_bytes):
                 columns = figures(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c).cast(schema.field(c).type) for c in own), *(pa.array(x, schema.field(c).type) for c, x in zip(new, columns, strict=True))], schema=schema)
 

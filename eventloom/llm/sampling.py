@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """(text, label) of at most per_class rows a class, and the number of allowed labelled rows a class.
+def sample_table(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int) -> tuple[DataFrame, dict[int, int]]:
+    """(h, doc_id, text, label) of at most per_class rows a class, and the number of allowed labelled rows a class.
 
     labels has doc_id and label (0 or 1, others are left out); allowed is a condition on doc_id.  The choice follows a
     hash of the id, so reruns agree and no order of the tables matters.  Texts are whole; beyond most_chars
@@ -26,5 +29,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_cla
     running = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sized = found.select("doc_id", "label", order.alias("h"), F.length("text").alias("n")).withColumn("total", F.sum("n").over(running))
     kept = sized.where(F.col("total") <= most_chars).select("doc_id")
-    rows = found.join(F.broadcast(kept), "doc_id").orderBy(order, "doc_id").select("text", "label").collect()
+    return found.join(F.broadcast(kept), "doc_id").select(order.alias("h"), "doc_id", "text", "label"), counts
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """The sample's (text, label), ordered by the hash, on the driver, and the number of allowed labelled rows a class."""
+    found, counts = sample_table(docs, labels, allowed, per_class, most_chars)
+    rows = found.orderBy("h", "doc_id").select("text", "label").collect()
     return [(r["text"], int(r["label"])) for r in rows], counts
+
+
+def fitted(sample: DataFrame, fit, rows: int = 500):
+    """fit(pairs) for the sample's (text, label), ordered by the hash, run in one task: the driver gets the model only.
+
+    sample is bounded by the parameters of sample_table.  fit([]) is the model of an empty one.
+    """
+
+    def run(batches):
+        pairs = []
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                pairs += zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(pairs))], pa.binary())})
+
+    one = sample.repartition(1).sortWithinPartitions("h", "doc_id").select("text", "label")
+    found = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(found["model"]) if found else fit([])  # no task runs for an empty sample

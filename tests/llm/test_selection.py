@@ -341,6 +341,23 @@ def test_classifiers_on_odd_rows(spark, odd, crowded, none, odd_rows):
         assert len(fit(odd, labels, F.lit(True), per_class=3).labels if fit is quality_knn.space_for else [0] * 6) <= 6
 
 
+def test_fit_in_one_task_sees_the_ordered_sample(none, odd):
+    from eventloom.llm.sampling import fitted, labelled_sample, sample_table
+
+    labels = odd.where("doc_id is not null").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label")).distinct()
+    bounds = (F.lit(True), 10, 10**6)
+    assert fitted(sample_table(odd, labels, *bounds)[0], list, rows=3) == labelled_sample(odd, labels, *bounds)[0]
+    assert fitted(sample_table(none, labels, *bounds)[0], list) == []
+
+
+def test_logits_do_not_depend_on_portions():
+    texts = [np.arange(k * 7, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for k in (0, 3, 9, 1, 0, 5)]
+    network = toxicity_cnn.Network()
+    whole = network.logits(texts)
+    assert len(whole) == len(texts) and np.allclose(whole, network.logits(texts, most_words=1), atol=1e-5)
+    assert len(network.logits([])) == 0
+
+
 def test_null_labels_and_held_out_rows_are_not_learnt(spark, odd):
     from eventloom.llm.sampling import labelled_sample
 
