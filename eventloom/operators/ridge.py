@@ -68,9 +68,15 @@ class NormalEquations:
         used = design.join(response.select(row, *(["weight"] if weighted else [])), row)
         p = len(columns)
         gram, xy, exposure = np.zeros((p, p)), np.zeros(p), np.zeros(p)
-        for bi, ei, bj, ej, v in gram_entries(used, row).collect():  # at most MOST_COLUMNS^2 / 2 sums, fewer as it is sparse
-            i, j = at[bi, ei], at[bj, ej]
-            gram[i, j] = gram[j, i] = v
+        numbers = design.sparkSession.createDataFrame([(*c, k) for c, k in at.items()], "block string, entity string, k int")
+        numbered = gram_entries(used, row)
+        for x in "ij":  # broadcast: at most MOST_COLUMNS rows
+            numbered = numbered.join(F.broadcast(numbers.toDF(f"block_{x}", f"entity_{x}", x)), [f"block_{x}", f"entity_{x}"], "left")
+        found = numbered.select("i", "j", "value").toArrow()  # at most MOST_COLUMNS^2 / 2 sums of 16 bytes, fewer as it is sparse
+        if found["i"].null_count or found["j"].null_count:
+            raise ContractError("the design has a column that is not among the coefficients")
+        i, j, v = (found[c].to_numpy() for c in ("i", "j", "value"))
+        gram[i, j] = gram[j, i] = v
         for b, e, v, x in moments(design, response, row, y).collect():
             xy[at[b, e]], exposure[at[b, e]] = v, x
         w = F.col("weight") if weighted else F.lit(1.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import checks
@@ -488,10 +488,10 @@ def ewma_before(spark, sf_dir):
 
 @query()
 def lineup_replay(spark, sf_dir):
-    """The five least suppliers of a year start; each line item takes one off and brings one on."""
+    """The five least suppliers of a year start; every line item brings its supplier on (even keys) or takes it off, an order's at once."""
     lines = table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), "l_suppkey", "l_orderkey")
     starters = ranking.top_per_group(lines.select("year", "l_suppkey").distinct(), ["year"], [F.asc("l_suppkey")], 5).groupBy("year").agg(F.array_sort(F.collect_list("l_suppkey")).alias("players"))
-    marks = lines.where("l_orderkey % 10 = 0").withColumn("direction", F.when(F.col("l_suppkey") % 2 == 0, "in").otherwise("out"))
+    marks = lines.withColumn("direction", F.when(F.col("l_suppkey") % 2 == 0, "in").otherwise("out"))
     return filters.replay_lineups(starters, filters.simultaneous(marks, ["year"], ["l_orderkey"], "l_suppkey", "direction"), ["year"], "l_orderkey")
 
 
@@ -513,10 +513,14 @@ def affinity_smoothing(spark, sf_dir):
 # normal equations and resampling -------------------------------------------------------------------------------------
 
 
-def order_design(spark, sf_dir):
-    """An order as a row: its suppliers in one block, its parts' sizes in another."""
+def order_design(spark, sf_dir, supplier: Column | None = None):
+    """An order as a row: its suppliers in one block, its line numbers in another.
+
+    supplier: the first block's entity; if not given, the supplier modulo 50, as the SQL of three of the queries says.
+    """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    rows = lines.groupBy("l_orderkey").agg(F.collect_set(F.pmod("l_suppkey", F.lit(50))).alias("s"), F.collect_set("l_linenumber").alias("n"))
+    entity = F.pmod("l_suppkey", F.lit(50)) if supplier is None else supplier
+    rows = lines.groupBy("l_orderkey").agg(F.collect_set(entity).alias("s"), F.collect_set("l_linenumber").alias("n"))
     return ridge.lineup_design(rows, "l_orderkey", {"supplier": F.col("s"), "line": F.col("n")})
 
 
@@ -544,7 +548,8 @@ def ridge_two_param(spark, sf_dir):
 
 @query()
 def block_ridge(spark, sf_dir):
-    found = ridge.NormalEquations.of(order_design(spark, sf_dir), order_response(spark, sf_dir), "l_orderkey", "y")
+    """A coefficient for each supplier; an error beyond ridge.MOST_COLUMNS."""
+    found = ridge.NormalEquations.of(order_design(spark, sf_dir, F.col("l_suppkey")), order_response(spark, sf_dir), "l_orderkey", "y")
     beta, mean = found.solve({"supplier": 10.0, "line": 5.0})
     beta, _ = found.recentered(beta, mean, ["supplier", "line"])
     return rounded(ridge.coefficients(spark, found.columns, beta), "beta")

@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.plans import catalog
 
@@ -42,3 +43,20 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
 def test_query_without_sql_reruns_alike(spark, sf_dir, name):
     first, again = (sorted(map(str, catalog.QUERIES[name](spark, sf_dir).collect())) for _ in range(2))
     assert first and first == again
+
+
+def test_lineup_replay_gets_every_line_item(spark, sf_dir, monkeypatch):
+    seen = []
+    replay = catalog.filters.replay_lineups
+    monkeypatch.setattr(catalog.filters, "replay_lineups", lambda starters, moments, *a, **k: seen.append(moments) or replay(starters, moments, *a, **k))
+    assert catalog.lineup_replay(spark, sf_dir).count() > 0
+    lines = catalog.table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), "l_orderkey", F.col("l_suppkey").alias("player")).distinct()
+    marks = seen[0].select("year", "l_orderkey", F.explode(F.concat("outs", "ins")).alias("player"))
+    assert marks.count() == lines.count() and not lines.exceptAll(marks).count()
+
+
+def test_block_ridge_has_a_coefficient_a_supplier(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got = {r["entity"] for r in catalog.block_ridge(spark, sf_dir).where("block = 'supplier'").collect()}
+    want = {str(r[0]) for r in catalog.table(spark, sf_dir, "lineitem").select("l_suppkey").distinct().collect()}
+    assert len(want) > 50 and got == want
