@@ -28,8 +28,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes, none included: doc_id, source, size, source_size, target, taken."""
-    return mixing.mix_digest(docs, keep=("source",))
+    """The mix: one row a draw, with its copy, shard, words and text; documents that are not drawn have no shard and no text."""
+    return mixing.mixture(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("mixing", source_mix)]

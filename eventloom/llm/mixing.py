@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import SPACE, word_count, written
 from .exact import hypergeometric, let
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -67,14 +67,23 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return leaves.select("source_key", running.alias("ends"))
 
 
-def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: int = 65_536, levels: int = 4, seed: int = 17) -> DataFrame:
+def row_key():
+    """A hash of id, source and text; nulls differ from empty values."""
+    part = lambda c: F.md5(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).cast("binary"))
+    return F.md5(F.concat(part("doc_id"), part("source"), part("text")).cast("binary"))
+
+
+def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: int = 65_536, levels: int = 4, seed: int = 17, keyed: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, draws (array of copy, shard, words).
 
+    keyed adds row_key, which tells rows of one id apart.
+
     A null text has size 0, a null source is a source of its own, and a null doc_id hashes as the empty text.
     Equal rows are told apart by their place in the order only, so together they give the same rows in every run.
     Sources without words have target 0.  An empty table gives an empty result.  Other columns are ignored.
     """
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash32(F.lit(seed), F.col("doc_id")).alias("h"))
+    key = ["row_key"] if keyed else []
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash32(F.lit(seed), F.col("doc_id")).alias("h"), *([row_key().alias("row_key")] if keyed else []))
     slim = written(slim.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))), "mix-sizes")
     # pre-summed within each task, so a source with a third of all rows reaches the final sum as a few rows
     sizes = slim.groupBy("source", "source_key").agg(F.sum("size").alias("source_size"))
@@ -94,7 +103,7 @@ def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: i
     plan = written(targets.join(split_quotas(quotas, levels, seed), "source_key"), "mix-plan")
 
     rows = dealt.drop("blocks").join(bases, ["source_key", "block"])
-    inside = Window.partitionBy("source_key", "block").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source_key", "block").orderBy("h", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).join(plan, "source_key")
     shard = lambda copy: F.size(F.filter("ends", lambda e: e <= copy * F.col("blocks") + F.col("block")))
     draw = lambda copy, n: F.struct(copy.cast("int").alias("copy"), shard(copy).alias("shard"), n.alias("words"))
@@ -103,7 +112,7 @@ def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: i
     last = F.when(part > 0, F.array(draw(F.col("passes"), part)))
     none = F.array().cast("array<struct<copy:int,shard:int,words:bigint>>")
     draws = F.concat(F.coalesce(whole, none), F.coalesce(last, none))
-    return rows.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"), F.lit(1 << levels).alias("n_shards"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"), F.lit(1 << levels).alias("n_shards"), *key)
 
 
 def sharded(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
@@ -118,6 +127,43 @@ def sharded(docs: DataFrame, mix: DataFrame, seed: int = 17) -> DataFrame:
     return docs.select(*own).join(draws, "doc_id").repartition("shard", spread).sortWithinPartitions("shard", order)
 
 
+def first_words(text, n):
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.split(text, rf"(?<=[^{SPACE}])(?=[{SPACE}])"), 1, n), "")
+
+
+def mixture(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
+    """The mix itself, one row a draw: docs' columns, size, source_size, target, copy, shard and words.
+
+    The text of a draw holds its words only, and n_chars, if there, follows it.  A row that is not drawn at all comes once, with
+    null copy, shard and text, and no words, so every row is accounted for; `shard is not null` is the corpus.  Rows of
+    a shard lie together in the order of a hash.  Ids may repeat or be null.  The new columns replace those of the same name.
+    """
+    docs = docs.drop("size", "source_size", "target", "copy", "shard", "words", "draws", "row_key")
+    mix = written(mixed(docs, seed=seed, keyed=True, **options), "mix-draws").select("row_key", "size", "source_size", "target", "draws")
+    keyed = docs.withColumn("row_key", row_key())
+    equal = written(mix.groupBy("row_key").agg(F.count("*").alias("_n")).where("_n > 1").select("row_key"), "mix-equal")
+    if equal.limit(1).count():  # equal rows take turns
+        turn = F.row_number().over(Window.partitionBy("row_key").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))))
+        both = keyed.join(equal, "row_key", "left_semi").withColumn("_turn", turn)
+        draws = mix.join(equal, "row_key", "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("row_key").orderBy(F.desc(F.to_json("draws")))))
+        single = keyed.join(equal, "row_key", "left_anti").join(mix.join(equal, "row_key", "left_anti"), "row_key")
+        found = single.unionByName(both.join(draws, ["row_key", "_turn"]).drop("_turn"))
+    else:
+        found = keyed.join(mix, "row_key")
+    order = hash32(F.lit(seed), F.lit("local"), F.col("doc_id"), F.col("_d.copy"))
+    rows = found.withColumn("_d", F.explode_outer("draws"))
+    words = F.coalesce("_d.words", F.lit(0).cast("long"))
+    text = F.when(F.col("_d").isNull(), None).when(words < F.col("size"), first_words(F.col("text"), words.cast("int"))).otherwise(F.col("text"))
+    out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when((F.col("_d").isNull()) | (words < F.col("size")), F.coalesce(F.length(text), F.lit(0)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    more = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copy": F.col("_d.copy"), "shard": F.col("_d.shard"), "words": words}
+    dealt = rows.select(*[v.alias(c) for c, v in (out | more).items()], order.alias("_order"))
+    spread = F.pmod("_order", F.lit(64))  # a shard is written by many tasks
+    return dealt.repartition("shard", spread).sortWithinPartitions("shard", "_order").drop("_order")
+
+
 def mix_digest(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """One row per row of docs: doc_id, keep, size, source_size, target, taken (words of all draws dealt to a shard)."""
     dealt = F.filter("draws", lambda d: d["shard"] < F.col("n_shards"))

@@ -125,6 +125,32 @@ def test_hypergeometric_inverts_its_distribution(spark):
     assert Counter(r["k"] for r in df.collect()) == want
 
 
+def test_mixture_is_the_mix(spark, odd, odd_rows):
+    docs = odd.unionByName(spark.createDataFrame([(1, "other text of a used id " * 9, "en", "a", 1), (1, "one more such text, longer than it " * 9, "en", "a", 1)], odd.schema))
+    got = mixing.mixture(docs, block_words=200).collect()
+    assert got and set(docs.columns) < set(got[0].asDict())
+    drawn = [r for r in got if r["shard"] is not None]
+    assert all(len(WORD.findall(r["text"] or "")) == r["words"] for r in got) and all(r["text"] is None and not r["words"] for r in got if r["shard"] is None)
+    want, taken, copies = Counter(), Counter(), Counter()
+    for r in mixing.mix_digest(docs, keep=("source",), block_words=200).collect():
+        want[r["source"]] += r["taken"]
+    for r in drawn:
+        taken[r["source"]] += r["words"]
+        copies[r["copy"]] += 1
+    assert +taken == +want and len(copies) > 1 and len({r["shard"] for r in drawn}) > 1
+    texts = Counter((r["doc_id"], r["source"], r["text"]) for r in docs.collect())
+    for (doc_id, source, text), n in Counter((r["doc_id"], r["source"], r["text"]) for r in drawn if r["words"] == r["size"]).items():
+        assert n <= 3 * texts[doc_id, source, text]  # a used id's texts don't take each other's draws
+    undrawn = sum(r["shard"] is None for r in got)
+    rows = Counter(len(r["draws"]) for r in mixing.mixed(docs, block_words=200).collect())
+    assert undrawn == rows[0] and len(drawn) == sum(k * n for k, n in rows.items())
+
+
+def test_first_words_keep_white_space(spark):
+    df = spark.createDataFrame([(" a\n\tb  c ",)], "t string")
+    assert df.select(*[mixing.first_words(F.col("t"), F.lit(k)).alias(str(k)) for k in (1, 2, 3)]).first() == (" a", " a\n\tb", " a\n\tb  c")
+
+
 def test_shards_hold_what_the_mix_draws(spark, odd):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
     mix = mixing.mixed(docs, block_words=200)
