@@ -3,10 +3,11 @@
 Fixed rules judge what they fit.  For the rest, every host has a tree of path templates, grown level by level over all
 URLs, pre-summed by host and generalised path:
 
-* a segment that is a number, a date, a hash or the like becomes a wildcard of that shape, and so does every
-  segment of a level that has more than ``most_children`` distinct ones;
-* of a node's other branches, those with few labelled URLs are merged, and so are those whose labelled share of blocked
-  URLs does not differ significantly from their siblings' pooled share (two-proportion z test); the others stay apart;
+* a segment that is a number, a date, a hash or the like becomes a wildcard of that shape;
+* of a node's other branches, those with few labelled URLs are merged, and become a wildcard if the node has more than
+  ``most_children`` of them; those whose labelled share of blocked URLs does not differ significantly from their
+  siblings' pooled share (two-proportion z test) are merged too; the others stay apart, however many there are: at
+  most the labelled URLs over ``support``;
 * a template is rejected if its blocked share of labelled URLs, smoothed towards the share of all, reaches ``cut``.
 
 Labels are the verdicts of the rules, or a column of the caller's.
@@ -71,14 +72,14 @@ def template_tree(urls: DataFrame, *, depth: int = 4, most_children: int = 64, s
         sums = [F.sum(c).alias(c) for c in ("n_blocked", "n_labelled")]
         children = rows.where("child is not null").groupBy("host", "template", "child").agg(*sums)
         enough = F.col("n_labelled") >= support
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum(F.when(enough, F.col("n_blocked"))).alias("all_blocked"), F.sum(F.when(enough, F.col("n_labelled"))).alias("all_labelled"))
+        nodes = children.groupBy("host", "template").agg(F.count_if(~enough & ~F.col("child").startswith("{")).alias("kinds"), F.sum(F.when(enough, F.col("n_blocked"))).alias("all_blocked"), F.sum(F.when(enough, F.col("n_labelled"))).alias("all_labelled"))
         others = F.col("all_labelled") - F.col("n_labelled")
         pooled = F.col("all_blocked") / F.col("all_labelled")
         gap = F.abs(F.col("n_blocked") / F.col("n_labelled") - (F.col("all_blocked") - F.col("n_blocked")) / others)
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("n_labelled") + 1 / others))
         apart = F.when(others > 0, gap > z * spread).otherwise(True)  # the only labelled branch has no like
         shape = F.col("child").startswith("{")
-        name = F.when(shape, F.col("child")).when(F.col("kinds") > most_children, F.lit(WILD)).when(~enough, F.lit(FEW)).when(apart, F.col("child")).otherwise(F.lit(MERGED))
+        name = F.when(shape, F.col("child")).when(~enough & (F.col("kinds") > most_children), F.lit(WILD)).when(~enough, F.lit(FEW)).when(apart, F.col("child")).otherwise(F.lit(MERGED))
         named = children.join(nodes, ["host", "template"]).select("host", "template", "child", name.alias("name"))
         grown = rows.join(named, ["host", "template", "child"], "left")
         grown = grown.withColumn("template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")))

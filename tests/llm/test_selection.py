@@ -436,6 +436,16 @@ def test_many_children_become_a_wildcard(spark):
     assert {r["template"] for r in url_templates.judged(pages).collect()} == {"/{few}/{any}/{few}"}
 
 
+def test_a_large_level_keeps_its_labelled_branches(spark):
+    word = lambda i: "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + "w"
+    rows = [(f"http://h.test/spam/{i}", 1) for i in range(30)] + [(f"http://h.test/{word(k)}/{i}", 0) for k in range(70) for i in range(6)]
+    rows += [(f"http://h.test/few{word(k)}/1", None) for k in range(70)] + [("http://h.test/spam/777", None)]
+    pages = spark.createDataFrame([(i, u, y) for i, (u, y) in enumerate(rows)], "page_id bigint, url string, bad int")
+    got = {r["page_id"]: (r["template"], r["verdict"]) for r in url_templates.judged(pages, labelled=F.col("bad")).collect()}
+    assert got[len(rows) - 1] == ("/spam/{n}", "block") and got[30] == ("/{merged}/{n}", "allow")
+    assert {got[i][0] for i in range(450, 520)} == {"/{any}/{n}"}
+
+
 # pipeline ------------------------------------------------------------------------------------------------------------
 
 
