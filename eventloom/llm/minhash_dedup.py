@@ -1,7 +1,7 @@
 """Near-duplicate groups by b-bit MinHash.
 
 1. Documents with the same shingle set are one class; only classes go on.
-2. Each class has BANDS buckets, each from ROWS minima.  Classes that share a bucket with another one get a signature:
+2. Each class has a number of buckets that follows from the threshold, each from ROWS minima.  Classes that share a bucket with another one get a signature:
    the low bits of LANES further minima, packed.
 3. Rounds of stars: in every bucket that still holds several components, each class is paired with the bucket's
    centre, so pairs grow with the members of a bucket, not with their square.  A class takes the centre whose
@@ -10,12 +10,13 @@
 4. What is left are buckets with classes of different components.  They are compared block by block, and all pairs across
    components that pass the estimate are confirmed on full sets, so no link that shares a bucket is lost.
 
-Two sets at the threshold share no bucket with probability (1 - 0.85^5)^25 < 5e-7.
+Two sets at the threshold t share no bucket with probability (1 - t^ROWS)^bands <= MISS: 25 bands at 0.85, 37 at 0.8.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from functools import cache, partial, reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -27,18 +28,34 @@ from pyspark.sql import functions as F
 from .common import row_map, words, written
 from .graph import components
 
-SHINGLE, BANDS, ROWS = 5, 25, 5
+SHINGLE, ROWS = 5, 5
+MISS, MOST_BANDS = 5e-7, 512
 LANES = 2048  # one bit each
 BLOCK = 1500
 _RANDOM = np.random.default_rng(20260)
-_A = _RANDOM.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BAND = _RANDOM.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LANE_A = _RANDOM.integers(1, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _LANE_B = _RANDOM.integers(0, 2**32, LANES, dtype=np.uint32)
 
 
+def bands_for(percent: int) -> int:
+    """The least number of bands whose chance to miss a pair at the threshold is at most MISS; an error beyond MOST_BANDS."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent is {percent}, not within 1 to 100")
+    found = 1 if percent == 100 else math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
+    if found > MOST_BANDS:
+        raise ValueError(f"a threshold of {percent} percent needs {found} bands, more than {MOST_BANDS}")
+    return found
+
+
+@cache
+def permutations(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The multipliers and summands of bands * ROWS permutations, and the multipliers that make a bucket of ROWS minima."""
+    random = np.random.default_rng([20260, bands])
+    odd = lambda *size: random.integers(1, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd(bands * ROWS), random.integers(0, 2**63, bands * ROWS, dtype=np.uint64), odd(bands, ROWS)
+
+
 def mixed_bits(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     return x ^ (x >> np.uint64(29))
@@ -65,9 +82,10 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 512)
     return out
 
 
-def buckets_of(shingles: np.ndarray) -> list[int]:
-    rows = (minima(shingles, _A, _B) >> np.uint64(20)).reshape(BANDS, ROWS)
-    return mixed_bits((rows * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _BASE).view(np.int64).tolist()
+def buckets_of(shingles: np.ndarray, bands: int) -> list[int]:
+    a, b, band = permutations(bands)
+    rows = (minima(shingles, a, b) >> np.uint64(20)).reshape(bands, ROWS)
+    return mixed_bits((rows * band).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _BASE).view(np.int64).tolist()
 
 
 def signature_of(shingles: np.ndarray) -> list[int]:
@@ -80,9 +98,13 @@ def set_key(shingles: np.ndarray) -> bytes | None:
     return blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def sketches(texts: list) -> list[list]:
+def sketches(texts: list, bands: int) -> list[list]:
     found = [shingle_set(t) for t in texts]
-    return [[len(x) for x in found], [set_key(x) for x in found], [buckets_of(x) if len(x) else None for x in found]]
+    return [[len(x) for x in found], [set_key(x) for x in found], [buckets_of(x, bands) if len(x) else None for x in found]]
+
+
+def set_keys(texts: list) -> list[list]:
+    return [[set_key(shingle_set(t)) for t in texts]]
 
 
 def sets(texts: list) -> list[list]:
@@ -212,8 +234,13 @@ def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
     names a component; if no other id is there, component_id is null and kept is true.  Extra columns are ignored, an
     empty table gives an empty result.  There is no cap on the members of a bucket or a component.
     """
+    return judged(docs, percent, stars).drop("node")
+
+
+def judged(docs: DataFrame, percent: int, stars: int) -> DataFrame:
+    """grouped(), and node: the key of the row's shingle set."""
     docs = docs.select("doc_id", "text")
-    found = row_map(docs, {"n": "bigint", "node": "binary", "buckets": "array<bigint>"}, sketches, "text")
+    found = row_map(docs, {"n": "bigint", "node": "binary", "buckets": "array<bigint>"}, partial(sketches, bands=bands_for(percent)), "text")
     found = written(found.drop("text"), "sketches")
     one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("buckets").alias("buckets"))
     classes = written(one, "classes")
@@ -234,18 +261,23 @@ def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
     ids = ids.join(least, "label", "left").select("node", F.coalesce("least", "min_id").alias("component"))
     out = found.select("doc_id", "n", "node").join(ids, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"), "node")
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
+def deduplicated(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
     """The rows of docs whose doc_id names their component, with docs' columns.
 
-    Rows that share an id, or have none, stay once for each text; an id that comes once needs no look at the text.
+    Rows that share an id, or have none, stay once for each text that is kept; an id that comes once needs no look at the text.
     """
-    kept = written(grouped(docs, **options).where("kept").groupBy("doc_id").agg(F.count("*").alias("_copies")), "kept")
-    once = docs.join(kept.where("_copies = 1"), "doc_id", "left_semi")
-    several = kept.where("_copies > 1 or doc_id is null")
+    rows = judged(docs, percent, stars).groupBy("doc_id", "node").agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"))
+    rows = written(rows, "kept")
+    ids = rows.groupBy("doc_id").agg(F.sum("_n").alias("_copies"), F.max("_kept").alias("_kept")).where("_kept")
+    once = docs.join(ids.where("_copies = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    several = written(ids.where("_copies > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "several")
     if not several.limit(1).count():
         return once
-    rest = docs.join(several.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return once.unionByName(rest.dropDuplicates(["doc_id", "text"]))
+    rest = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    keyed = row_map(rest, {"_node": "binary"}, set_keys, "text")
+    kept = rows.where("_kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_key"))
+    keyed = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_node").eqNullSafe(F.col("_key")), "left_semi")
+    return once.unionByName(keyed.select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id", "text"]))

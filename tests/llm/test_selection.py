@@ -392,6 +392,28 @@ def test_null_labels_and_held_out_rows_are_not_learnt(spark, odd):
     assert counts == {0: 2, 1: 2} and len(sample) == 4
 
 
+def test_a_used_id_does_not_bring_a_copy_back(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 5) for _ in range(100))
+    base, other = text(), text()
+    rows = [(1, base), (7, base + " end"), (7, other), (8, other + " end"), (8, base + " stop")]
+    got = minhash_dedup.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, base), (7, other)]
+
+
+def test_bands_follow_the_threshold(spark):
+    assert [minhash_dedup.bands_for(p) for p in (85, 80)] == [25, 37]
+    with pytest.raises(ValueError):
+        minhash_dedup.bands_for(20)
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(104)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-23] + [f"x{i}" for i in range(23)]))]  # 77 of 123 shingles
+    got = minhash_dedup.grouped(spark.createDataFrame(rows, "doc_id bigint, text string"), percent=60)
+    assert sum(r["kept"] for r in got.collect()) == 40
+
+
 # URL templates -------------------------------------------------------------------------------------------------------
 
 
