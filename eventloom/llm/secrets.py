@@ -67,16 +67,27 @@ def base_spans(text: str, longest: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def uncovered(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of start to end outside the spans, which are sorted."""
+    out = []
+    for s, _, e in taken:
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = max(start, e)
+    return [*out, (start, end)] if start < end else out
+
+
 def entropy_spans(text: str, pieces: list[str], least: int, window: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of random-looking candidates of at least `least` characters that no base span overlaps."""
+    """Spans of random-looking candidates of at least `least` characters; base spans cut a candidate, and each part counts by itself."""
     out, at = [], 0
     for piece in pieces:
         at = text.index(piece, at)
         if len(piece) >= least and not piece.isalpha():
             for m in CANDIDATE.finditer(piece):
                 start, end = at + m.start(), at + m.end()
-                if end - start >= least and is_random(m[0], window) and not any(s < end and start < e for s, _, e in taken):
-                    out.append((start, 3, end))
+                if end - start >= least:
+                    out += [(a, 3, b) for a, b in uncovered(start, end, taken) if b - a >= least and is_random(text[a:b], window)]
         at += len(piece)
     return out
 
