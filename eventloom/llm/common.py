@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import re
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,23 +24,68 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where none is configured."""
+    """The folder that all executors share; where none is configured, a local one is made for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="eventloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder once and read the table back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/eventloom/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
+    for paths in _OPEN[-1:]:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Tables written within the block are deleted at its end; what is read later must be written by other means."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for name in _OPEN.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Hot:
+    """Keys with more than one in ``most`` of all rows.  Their rows are dealt over several salts, so that no task gets such a key whole.
+
+    counts has a row a key, with its number of rows n.  Fewer than ``most`` keys can be hot, so their list is small.
+    A join on [key, "_salt"] of dealt rows with copied ones gives what the join on key would.
+    """
+
+    def __init__(self, counts: DataFrame, key: str, most: int = 2000, least: int = 64):
+        limit = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // most)
+        found = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts"))
+        rows = found.collect()
+        self.key, self.parts = key, F.broadcast(counts.sparkSession.createDataFrame(rows, found.schema)) if rows else None
+
+    def dealt(self, df: DataFrame, by: str) -> DataFrame:
+        """df and _salt, a hash of the column `by` within the key's salts."""
+        if self.parts is None:
+            return df.withColumn("_salt", F.lit(0))
+        return df.join(self.parts, self.key, "left").withColumn("_salt", F.pmod(F.hash(by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+
+    def copied(self, df: DataFrame) -> DataFrame:
+        """df once for each salt of its key."""
+        if self.parts is None:
+            return df.withColumn("_salt", F.lit(0))
+        return df.join(self.parts, self.key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -3,20 +3,22 @@
 1. Documents with the same shingle set are one class; only classes go on.
 2. Each class has a number of buckets that follows from the threshold, each from ROWS minima.  Classes that share a bucket with another one get a signature:
    the low bits of LANES further minima, packed.
-3. Rounds of stars: in every bucket that still holds several components, each class is paired with the bucket's
-   centre, so pairs grow with the members of a bucket, not with their square.  A class takes the centre whose
-   similarity, estimated from equal signature bits and corrected for chance hits, is highest; the estimate must come
-   within five standard errors of the threshold, and the pair is then confirmed on the full shingle sets.
-4. What is left are buckets with classes of different components.  They are compared block by block, and all pairs across
-   components that pass the estimate are confirmed on full sets, so no link that shares a bucket is lost.
-
+3. Stars: in every bucket each class is paired with the bucket's few centres, so pairs grow with the members of a bucket, not with
+   their square.  A class takes the centre whose similarity, estimated from equal signature bits and corrected for chance
+   hits, is highest; the estimate must come within five standard errors of the threshold, and the pair is then confirmed
+   on the full shingle sets.
+4. What is left are buckets with classes of different components.  They are compared block by block, where set sizes are in reach
+   of each other, and all pairs across components that pass the estimate are confirmed on full sets, so no link that shares
+   a bucket is lost.
+
+Buckets, centres and classes that hold a large share of all rows are dealt over several tasks by a salt (common.Hot).
 Two sets at the threshold t share no bucket with probability (1 - t^ROWS)^bands <= MISS: 25 bands at 0.85, 37 at 0.8.
 """
 
 from __future__ import annotations
 
 import math
-from functools import cache, partial, reduce
+from functools import cache, partial
 from hashlib import blake2b
 
 import numpy as np
@@ -25,13 +27,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_map, words, written
+from .common import Hot, row_map, words, written
 from .graph import components
 
 SHINGLE, ROWS = 5, 5
 MISS, MOST_BANDS = 5e-7, 512
 LANES = 2048  # one bit each
-BLOCK = 1500
+BLOCK = 1024
+CENTRES = 3
 _RANDOM = np.random.default_rng(20260)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LANE_A = _RANDOM.integers(1, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -123,12 +126,12 @@ def estimate(a: Column, b: Column) -> Column:
 def block_pairs(table: pa.Table, percent: int, cut: float, rows: int = 64) -> pa.Table:
     """Pairs between two blocks of a bucket, or within one: other label, size and estimate in reach, first shared band here."""
     nodes, labels = (np.array(table.column(c).to_pylist(), dtype=object) for c in ("node", "label"))
-    n, own = table.column("n").to_numpy(), table.column("own").to_numpy()
+    n, own, size_class = (table.column(c).to_numpy() for c in ("n", "own", "size_class"))
     signature = np.array(table.column("signature").to_pylist(), dtype=np.int64).view(np.uint64)
     buckets = np.array(table.column("buckets").to_pylist(), dtype=np.int64)
-    bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    bucket, low, i, high, j = (table.column(c)[0].as_py() for c in ("bucket", "low", "i", "high", "j"))
     label = np.unique([x.hex() for x in labels], return_inverse=True)[1]
-    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    left, right = np.flatnonzero((own == i) & (size_class == low)), np.flatnonzero((own == j) & (size_class == high))
     out_a, out_b = [], []
     for start in range(0, len(left), rows):
         a = left[start : start + rows]
@@ -137,7 +140,7 @@ def block_pairs(table: pa.Table, percent: int, cut: float, rows: int = 64) -> pa
             unequal += np.bitwise_count(signature[a, word][:, None] ^ signature[right, word][None])
         near = (1 - 2 * unequal / LANES >= cut) & (label[a][:, None] != label[right][None])
         near &= 100 * np.minimum(n[a][:, None], n[right][None]) >= percent * np.maximum(n[a][:, None], n[right][None])
-        if i == j:
+        if (low, i) == (high, j):
             near &= a[:, None] < right[None]
         x, y = np.nonzero(near)
         x, y = a[x], right[y]
@@ -148,8 +151,8 @@ def block_pairs(table: pa.Table, percent: int, cut: float, rows: int = 64) -> pa
     return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
-def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A narrow table to broadcast if a count shows that it has at most so many rows; else it is left to the planner."""
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of an id and a key a row, to broadcast if a count shows at most so many rows (some megabytes); else the planner decides."""
     return F.broadcast(df) if df.count() <= most else df
 
 
@@ -161,71 +164,75 @@ class Links:
         share = (1 + percent / 100) / 2
         self.cut = percent / 100 - 5 * 2 * (share * (1 - share) / LANES) ** 0.5
         buckets = classes.select("node", F.explode("buckets").alias("bucket"))
-        several = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        self.members = written(buckets.join(several, "bucket"), "members")
+        several = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+        self.hot = Hot(several, "bucket")
+        self.members = written(self.hot.dealt(buckets, "node").join(self.hot.copied(several.select("bucket")), ["bucket", "_salt"]), "members")
         nodes = self.members.select("node").distinct()
         wanted = few(written(classes.join(nodes, "node").select(F.col("min_id").alias("doc_id"), F.col("node").alias("want")), "wanted"))
         texts = docs.select("doc_id", "text").join(wanted, "doc_id")
         found = row_map(texts, {"node": "binary", "shingles": "array<bigint>", "signature": "array<bigint>"}, sets, "text")
         found = found.where("node = want").select("node", "shingles", "signature").dropDuplicates(["node"])
         self.sets = written(found.withColumn("n", F.size("shingles")).join(classes.select("node", "buckets"), "node"), "sets")
-        self.signatures = self.sets.select("node", "n", "signature", "buckets")
 
-    def near(self, pairs: DataFrame) -> DataFrame:
+    def both(self, pairs: DataFrame, hot: Hot, *columns: str) -> DataFrame:
+        """The pairs (a, b) with columns of both classes; b may be in very many pairs."""
+        left, right = (self.sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
+        return hot.dealt(pairs.join(left, "a"), "a").join(hot.copied(right), ["b", "_salt"]).drop("_salt")
+
+    def near(self, pairs: DataFrame, hot: Hot) -> DataFrame:
         """Pairs (a, b) whose sizes and estimate leave the threshold in reach, with the estimate."""
-        left, right = (self.signatures.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        return both.withColumn("similar", estimate(F.col("s_a"), F.col("s_b"))).where(F.col("similar") >= self.cut).select("a", "b", "similar")
+        both = self.both(pairs, hot, "n", "signature").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
+        return both.withColumn("similar", estimate(F.col("signature_a"), F.col("signature_b"))).where(F.col("similar") >= self.cut).select("a", "b", "similar")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
+    def confirmed(self, pairs: DataFrame, hot: Hot) -> DataFrame:
         """Edges (u, v) of the pairs (a, b) that reach the threshold on their full sets."""
-        left, right = (self.sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-        both = pairs.select("a", "b").join(right, "b").join(left, "a")
-        common = F.size(F.array_intersect("s_a", "s_b"))
-        union = F.size("s_a") + F.size("s_b") - common
+        both = self.both(pairs.select("a", "b"), hot, "shingles")
+        common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+        union = F.size("shingles_a") + F.size("shingles_b") - common
         return both.where(100 * common >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
+    def stars(self) -> DataFrame:
+        """For each class, the most similar centre of its buckets, confirmed; every bucket has up to CENTRES centres."""
+        least = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))["node"] for k in range(CENTRES)]
+        centres = self.members.groupBy("bucket").agg(F.array_distinct(F.array(*least)).alias("centres"))
+        pairs = self.members.join(self.hot.copied(centres), ["bucket", "_salt"]).select(F.col("node").alias("a"), F.explode("centres").alias("b")).where("a <> b")
+        pairs = written(pairs.distinct(), "star-pairs")
+        hot = Hot(pairs.groupBy("b").agg(F.count("*").alias("n")), "b")
+        best = self.near(pairs, hot).groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b"))
+        return written(self.confirmed(best, hot), "links")
+
     def labelled(self, labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several labels."""
         found = self.members.join(labels, "node")
         mixed = found.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
-        return found.join(mixed, "bucket")
+        return found.join(self.hot.copied(mixed), ["bucket", "_salt"])
 
-    @staticmethod
-    def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
-        """Labels after the edges: each becomes the least one it is linked with, in two steps.
+    def rest(self, labels: DataFrame) -> DataFrame:
+        """All pairs across labels within the buckets that hold several, confirmed.
 
-        Labels stay finer than the components, or equal to them; components() makes the final ones.
-        """
-        ends = edges.join(labels.select(F.col("node").alias("u"), F.col("label").alias("x")), "u").join(labels.select(F.col("node").alias("v"), F.col("label").alias("y")), "v").where("x <> y")
-        to = written(ends.groupBy(F.greatest("x", "y").alias("label")).agg(F.min(F.least("x", "y")).alias("to")), "labels-to")
-        further = to.select(F.col("label").alias("to"), F.col("to").alias("further"))
-        to = to.join(further, "to", "left").select("label", F.coalesce("further", "to").alias("to"))
-        return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-
-    def star(self, open_: DataFrame, salt: int) -> DataFrame:
-        """For each open class, the most similar centre of its buckets in another component."""
-        centre = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(salt), "node").alias("h"), "node", "label")).alias("c"))
-        pairs = open_.join(centre, "bucket").where(F.col("label") != F.col("c.label")).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
-        best = self.near(pairs).groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b"))
-        return self.confirmed(best)
-
-    def rest(self, open_: DataFrame) -> DataFrame:
-        """All pairs across labels within the open buckets, confirmed.
-
-        A bucket's members are compared block by block, BLOCK by BLOCK rows at most on average, so neither a task nor a
-        shuffle holds a bucket's pairs: only those that pass the estimate leave the task, each in one of its buckets.
+        Sets in reach of each other differ by at most one size class.  The members of a bucket and size class are compared block by
+        block, BLOCK by BLOCK rows on average, so neither a task nor a shuffle holds a bucket's pairs: only those that
+        pass the estimate leave the task, each in one of its buckets.
         """
-        sizes = open_.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        rows = open_.join(self.signatures, "node").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j")))
-        dealt = rows.withColumn("_p", F.explode(pairs)).select("bucket", "_p.i", "_p.j", "own", "node", "label", "n", "signature", "buckets")
+        size_class = F.floor(F.log(F.col("n").cast("double")) / -math.log(self.percent / 100 - 1e-9) if self.percent < 100 else F.col("n"))
+        traits = self.sets.select("node", "n", "signature", "buckets", size_class.cast("long").alias("size_class"))
+        open_ = written(self.labelled(labels).join(traits.select("node", "size_class"), "node"), "open")
+        sizes = open_.groupBy("bucket", "size_class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        by_class = sizes.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("size_class", "blocks"))).alias("blocks"))  # few size classes
+        rows = open_.drop("size_class").join(self.hot.copied(by_class), ["bucket", "_salt"]).join(traits, "node")
+        count = lambda by: F.coalesce(F.try_element_at("blocks", F.col("size_class") + by), F.lit(0).cast("long"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), count(0)))
+        numbers = lambda by: F.when(count(by) > 0, F.sequence(F.lit(0).cast("long"), count(by) - 1)).otherwise(F.array().cast("array<bigint>"))
+        cell = lambda low, i, high, j: F.struct(low.alias("low"), i.alias("i"), high.alias("high"), j.alias("j"))
+        here, own = F.col("size_class"), F.col("own")
+        cells = F.concat(F.transform(numbers(0), lambda k: cell(here, F.least(own, k), here, F.greatest(own, k))), F.transform(numbers(1), lambda k: cell(here, own, here + 1, k)), F.transform(numbers(-1), lambda k: cell(here - 1, k, here, own)))
+        dealt = rows.withColumn("_c", F.explode(cells)).select("bucket", "_c.*", "own", "size_class", "node", "label", "n", "signature", "buckets")
         percent, cut = self.percent, self.cut
-        found = dealt.groupBy("bucket", "i", "j").applyInArrow(lambda table: block_pairs(table, percent, cut), "a binary, b binary")
-        return self.confirmed(found)
+        found = written(dealt.groupBy("bucket", "low", "i", "high", "j").applyInArrow(lambda table: block_pairs(table, percent, cut), "a binary, b binary"), "rest-pairs")
+        return written(self.confirmed(found, Hot(found.groupBy("b").agg(F.count("*").alias("n")), "b")), "rest-links")
 
 
-def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
+def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 1) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets; component_id is the least
@@ -238,33 +245,34 @@ def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
 
 
 def judged(docs: DataFrame, percent: int, stars: int) -> DataFrame:
-    """grouped(), and node: the key of the row's shingle set."""
+    """grouped(), and node: the key of the row's shingle set.  stars = 0 leaves out the star pairs; the result is the same."""
     docs = docs.select("doc_id", "text")
     found = row_map(docs, {"n": "bigint", "node": "binary", "buckets": "array<bigint>"}, partial(sketches, bands=bands_for(percent)), "text")
     found = written(found.drop("text"), "sketches")
-    one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("buckets").alias("buckets"))
+    one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("buckets").alias("buckets"), F.count("*").alias("rows"))
     classes = written(one, "classes")
-    named = classes.where("min_id is not null")
-    links = Links(docs, named, percent)
-    start = links.sets.select("node", F.col("node").alias("label"))
-    labels, edges = start, []
-    for k in range(stars):
-        edges.append(written(links.star(written(links.labelled(labels), "open"), k), "links"))
-        labels = written(links.merged(labels, edges[-1]), "labels")
-    if edges:
-        so_far = components(reduce(DataFrame.unionAll, edges))
-        labels = written(start.select("node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        edges = [so_far.select(F.col("node").alias("u"), F.col("label").alias("v"))]
-    labels = components(reduce(DataFrame.unionAll, [*edges, links.rest(written(links.labelled(labels), "open"))]))
-    ids = classes.select("node", "min_id").join(labels, "node", "left")
+    links = Links(docs, classes.where("min_id is not null"), percent)
+    labels = links.sets.select("node", F.col("node").alias("label"))
+    if stars:
+        so_far = components(links.stars())
+        labels = written(labels.select("node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+    edges = links.rest(labels)
+    if edges.limit(1).count():
+        named = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
+        merged = components(edges.join(named("u", "x"), "u").join(named("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v")))
+        labels = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    ids = classes.select("node", "min_id", "rows").join(labels, "node", "left")
     least = ids.where("label is not null").groupBy("label").agg(F.min("min_id").alias("least"))
-    ids = ids.join(least, "label", "left").select("node", F.coalesce("least", "min_id").alias("component"))
-    out = found.select("doc_id", "n", "node").join(ids, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"), "node")
+    ids = written(ids.join(least, "label", "left").select("node", "rows", F.coalesce("least", "min_id").alias("component")), "components")
+    hot = Hot(ids.select("node", F.col("rows").alias("n")), "node")
+    rows = found.select("doc_id", "n", "node")
+    out = hot.dealt(rows.where("node is not null"), "doc_id").join(hot.copied(ids.drop("rows")), ["node", "_salt"]).select("doc_id", "n", "node", "component")
+    out = out.unionByName(rows.where("node is null").withColumn("component", F.col("doc_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.col("doc_id").isNull() & F.col("component").isNull())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"), "node")
 
 
-def deduplicated(docs: DataFrame, *, percent: int = 85, stars: int = 4) -> DataFrame:
+def deduplicated(docs: DataFrame, *, percent: int = 85, stars: int = 1) -> DataFrame:
     """The rows of docs whose doc_id names their component, with docs' columns.
 
     Rows that share an id, or have none, stay once for each text that is kept; an id that comes once needs no look at the text.
