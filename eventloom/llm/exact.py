@@ -24,21 +24,23 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def binomial_tail(n: Column, k: Column, p: float, most_terms: int = 100_000) -> Column:
+def binomial_tail(n: Column, k: Column, p: float) -> Column:
     """P(X <= k) for X ~ Bin(n, p), summed downwards from its largest term; k is below n * p.
 
-    Terms beyond most_terms are replaced by the geometric series that bounds them from above.
+    Terms fall at least as fast as a normal curve of the same deviation, so those further away than 12 deviations are below what
+    a double can add; the sum ends there at every size, with the geometric series that bounds the rest.
     """
     top = F.exp(ln_choose(n, k) + k * math.log(p) + (n - k) * math.log1p(-p))
     ratio = lambda i: i * (1 - p) / ((n - i + 1) * p)  # noqa: E731  term i - 1 over term i
-    steps = F.least(k, F.lit(most_terms)).cast("int")
+    reach = F.ceil(12 * F.sqrt(n.cast("double") * (p * (1 - p)))) + 60
+    steps = F.least(k, reach).cast("int")
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
     total = F.aggregate(
         F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>")),
         start,
         lambda acc, j: F.struct((acc["term"] * ratio(k - j)).alias("term"), (acc["sum"] + acc["term"] * ratio(k - j)).alias("sum")),
     )
-    rest = F.when(k > most_terms, total["term"] * ratio(k - most_terms) / (1 - ratio(k - most_terms))).otherwise(0.0)
+    rest = F.when(k > steps, total["term"] * ratio(k - steps) / (1 - ratio(k - steps))).otherwise(0.0)
     return top * (total["sum"] + rest)
 
 

@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,6 @@ from .common import SPACE, word_count, written
 from .exact import hypergeometric, let
 
 WEIGHTS = (5.0, 2.0, 1.0)
-MOST_BLOCKS = 4096
 
 
 def hash32(*parts):
@@ -42,13 +43,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = 3.0) -> Data
     return level.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
-    """From (source_key, draws), the splitting tree's leaves: (source_key, ends), ends[i]: draws up to shard i.
+def leaf_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
+    """From (source_key, draws), the splitting tree's leaves: (source_key, shard, n), n of the source's draws.
 
-    The tree holds one row a node with one number a source, never a document.
+    The tree holds one row a node with one number a source, never a document; it is written after every fourth level.
     """
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct("source_key", F.col("draws").alias("n")))).alias("q")).select(F.lit(0).alias("node"), "q")
+    node = quotas.agg(F.array_sort(F.collect_list(F.struct("source_key", F.col("draws").alias("n")))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     for level in range(levels):
+        if level and level % 4 == 0:
+            node = written(node, "mix-tree")
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         start = F.struct(total.alias("population"), F.floor(total / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("left"))
 
@@ -62,9 +65,15 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         node = node.withColumn("left", F.aggregate("q", start, deal)["left"])
         child = lambda right: F.transform("q", lambda x, i: F.struct(x["source_key"].alias("source_key"), (x["n"] - F.get("left", i) if right else F.get("left", i)).alias("n")))
         node = node.select(F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), child(False).alias("q")), F.struct((F.col("node") * 2 + 1).alias("node"), child(True).alias("q")))).alias("c")).select("c.*")
-    leaves = node.select("node", F.explode("q").alias("x")).groupBy(F.col("x.source_key").alias("source_key")).agg(F.array_sort(F.collect_list(F.struct("node", "x.n"))).alias("leaves"))
-    running = F.aggregate("leaves", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0).cast("long")) + x["n"])))
-    return leaves.select("source_key", running.alias("ends"))
+    return node.select(F.col("node").cast("int").alias("shard"), F.explode("q").alias("x")).select("x.source_key", "shard", "x.n")
+
+
+def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
+    """The leaves by source: (source_key, ends), ends[i]: draws up to shard i."""
+    running = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = leaf_quotas(quotas, levels, seed).withColumn("end", F.sum("n").over(running))
+    ends = ends.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("shard", "end"))).alias("ends"))
+    return ends.select("source_key", F.transform("ends", lambda x: x["end"]).alias("ends"))
 
 
 def row_key():
@@ -73,40 +82,54 @@ def row_key():
     return F.md5(F.concat(part("doc_id"), part("source"), part("text")).cast("binary"))
 
 
-def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: int = 65_536, levels: int = 4, seed: int = 17, keyed: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, draws (array of copy, shard, words).
+def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: int = 65_536, shard_words: int = 1 << 26, levels: int | None = None, seed: int = 17, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, draws (array of copy, shard, words), n_shards.
 
-    keyed adds row_key, which tells rows of one id apart.
+    keyed adds row_key, which tells rows of one id apart.  levels: of the splitting tree, which has 2^levels shards; if not given, so
+    many that a shard has about shard_words words, and 4 at least.
 
     A null text has size 0, a null source is a source of its own, and a null doc_id hashes as the empty text.
     Equal rows are told apart by their place in the order only, so together they give the same rows in every run.
     Sources without words have target 0.  An empty table gives an empty result.  Other columns are ignored.
     """
     key = ["row_key"] if keyed else []
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash32(F.lit(seed), F.col("doc_id")).alias("h"), *([row_key().alias("row_key")] if keyed else []))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash32(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h"), *([row_key().alias("row_key")] if keyed else []))
     slim = written(slim.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))), "mix-sizes")
     # pre-summed within each task, so a source with a third of all rows reaches the final sum as a few rows
     sizes = slim.groupBy("source", "source_key").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"), weights, most).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("passes", passes).withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
-    targets = written(targets.withColumn("blocks", F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))).cast("long")), "mix-targets")
+    targets = written(targets.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")), "mix-targets")
+    if levels is None:
+        words = targets.agg(F.sum("source_size")).first()[0] or 0
+        levels = max(4, math.ceil(math.log2(max(1.0, words / shard_words))))
 
     block = F.shiftright(F.col("h") * F.col("blocks"), 32)
     dealt = slim.join(targets.select("source_key", "blocks"), "source_key").withColumn("block", block)
-    sums = dealt.groupBy("source_key", "block").agg(F.sum("size").alias("block_size"))
-    ahead = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_BLOCKS rows a source
-    bases = written(sums.withColumn("base", F.coalesce(F.sum("block_size").over(ahead), F.lit(0))).drop("block_size"), "mix-blocks")
-
-    touched = bases.join(targets.select("source_key", "rest"), "source_key").where(F.col("base") < F.col("rest")).groupBy("source_key").agg((F.max("block") + 1).alias("touched"))
+    # words before a block: those of earlier groups of 4,096 blocks, and of earlier blocks of its own group
+    sums = written(dealt.groupBy("source_key", "block").agg(F.sum("size").alias("block_size")).withColumn("group", F.shiftright("block", 12)), "mix-sums")
+    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("source_key", "group").agg(F.sum("block_size").alias("n"))
+    groups = groups.select("source_key", "group", F.coalesce(F.sum("n").over(ahead("source_key", "group")), F.lit(0)).alias("start"))
+    bases = sums.withColumn("base", F.coalesce(F.sum("block_size").over(ahead("source_key", "group", "block")), F.lit(0))).join(groups, ["source_key", "group"])
+    bases = bases.select("source_key", "block", (F.col("base") + F.col("start")).alias("base")).join(targets.drop("source_size", "target"), "source_key")
+    bases = written(bases, "mix-blocks")
+
+    touched = bases.where(F.col("base") < F.col("rest")).groupBy("source_key").agg((F.max("block") + 1).alias("touched"))
     quotas = targets.join(touched, "source_key", "left").select("source_key", (F.col("passes") * F.col("blocks") + F.coalesce("touched", F.lit(0))).cast("long").alias("draws"))
-    plan = written(targets.join(split_quotas(quotas, levels, seed), "source_key"), "mix-plan")
-
-    rows = dealt.drop("blocks").join(bases, ["source_key", "block"])
+    # a source's draws are numbered pass by pass and block by block; each shard takes the next ones, as many as its leaf says
+    running = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leaves = leaf_quotas(quotas, levels, seed).withColumn("end", F.sum("n").over(running)).where("n > 0")
+    numbers = leaves.select("source_key", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
+    drawn = bases.select("source_key", "block", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda c: c * F.col("blocks") + F.col("block"))).alias("copy", "draw"))
+    shards = drawn.join(numbers, ["source_key", "draw"]).groupBy("source_key", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
+    plan = written(bases.join(shards, ["source_key", "block"], "left"), "mix-plan")
+
+    rows = dealt.drop("blocks").join(plan, ["source_key", "block"]).join(targets.select("source_key", "source_size", "target"), "source_key")
     inside = Window.partitionBy("source_key", "block").orderBy("h", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0))).join(plan, "source_key")
-    shard = lambda copy: F.size(F.filter("ends", lambda e: e <= copy * F.col("blocks") + F.col("block")))
-    draw = lambda copy, n: F.struct(copy.cast("int").alias("copy"), shard(copy).alias("shard"), n.alias("words"))
+    rows = rows.withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    draw = lambda copy, n: F.struct(copy.cast("int").alias("copy"), F.try_element_at("shards", copy.cast("int")).alias("shard"), n.alias("words"))
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before")))
     whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda c: draw(c, F.col("size"))))
     last = F.when(part > 0, F.array(draw(F.col("passes"), part)))
@@ -165,6 +188,6 @@ def mixture(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
 
 
 def mix_digest(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """One row per row of docs: doc_id, keep, size, source_size, target, taken (words of all draws dealt to a shard)."""
-    dealt = F.filter("draws", lambda d: d["shard"] < F.col("n_shards"))
+    """One row per row of docs: doc_id, keep, size, source_size, target, taken (words of all draws that the tree's leaves hold)."""
+    dealt = F.filter("draws", lambda d: d["shard"].isNotNull())
     return mixed(docs, **options).select("doc_id", *keep, "size", "source_size", "target", F.aggregate(dealt, F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"))

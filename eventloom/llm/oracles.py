@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import RULES, WINDOW
+from .quality_rules import RULES, WINDOW, path
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -25,7 +25,7 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
-OP9 = f"""WITH s AS (SELECT doc_id, source, CAST(len({WORDS.format(TEXT)}) AS BIGINT) AS size, substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS h FROM documents),
+OP9 = f"""WITH s AS (SELECT doc_id, source, CAST(len({WORDS.format(TEXT)}) AS BIGINT) AS size, substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5({TEXT})), 1, 8) AS h FROM documents),
 t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM t),
 c AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(rank - 1) % 3 + 1] AS w, 3.0::DOUBLE * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM r),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c),
@@ -36,16 +36,18 @@ SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least
 
 
 def op5(alpha: float = 0.01, delta: float = 0.05) -> str:
-    """The quality rules; figures, cutoffs and tests are written out from the same table of rules."""
+    """The quality rules; figures, the path of cutoffs and its tests are written out from the same table of rules."""
     figure = {
         "symbols": "n_symbols / greatest(word_chars, 1)", "dup_lines": "n_dup_lines / greatest(n_lines, 1)", "repeats": "n_repeat_words / greatest(n_words, 1)",
         "upper": "n_upper / greatest(word_chars, 1)", "word_length": "word_chars / greatest(n_words, 1)",
     }
-    share, tests = alpha / len(RULES), sum(len(cuts) for _, cuts in RULES.values())
-    counts = ", ".join(f"count(*) FILTER (WHERE {figure[r]} > {c}) AS {r}_{k}" for r, (_, cuts) in RULES.items() for k, c in enumerate(cuts))
-    tail = f"list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share}) + (n - i) * ln(1 - {share})) FOR i IN range(0, {{0}} + 1)])"
-    passed = lambda x: f"{x} < {share} * n AND {tail.format(x)} <= {delta} / ({tests} * (SELECT count(*) FROM o))"
-    cuts = ", ".join("coalesce(" + ", ".join(f"CASE WHEN {passed(f'{r}_{k}')} THEN {c} END" for k, c in enumerate(cuts)) + f") AS cut_{r}" for r, (_, cuts) in RULES.items())
+    steps = path()
+    wrong = lambda step: " OR ".join(f"{figure[r]} > {c}" for r, c in step.items())
+    counts = ", ".join(f"count(*) FILTER (WHERE {wrong(step)}) AS x{k}" for k, step in enumerate(steps) if step)
+    tail = f"list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha}) + (n - i) * ln(1 - {alpha})) FOR i IN range(0, {{0}} + 1)])"
+    failed = " ".join(f"WHEN NOT (x{k} < {alpha} * n AND {tail.format(f'x{k}')} <= {delta} / (SELECT count(*) FROM o)) THEN {k}" for k, step in enumerate(steps) if step)
+    at = f"CASE {failed} ELSE {len(steps)} END"
+    cuts = ", ".join(f"([{', '.join(str(step.get(r, 'NULL')) for step in steps)}])[step] AS cut_{r}" for r in RULES)
     over = " OR ".join(f"coalesce({figure[r]} > cut_{r}, false)" for r in RULES)
     return rf"""WITH w AS (SELECT doc_id, lang, {TEXT} AS text, {WORDS.format(TEXT)} AS w, list_filter(string_split({TEXT}, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
     p AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW} + 2)) AS i, w FROM w WHERE len(w) >= {WINDOW}), k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {WINDOW - 1}]) AS c FROM p),
@@ -53,7 +55,7 @@ def op5(alpha: float = 0.01, delta: float = 0.05) -> str:
     f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(text) - len(regexp_extract_all(text, '[\x20\x09-\x0D]')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
       len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN v USING (doc_id)),
     g AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f), y AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
-    o AS (SELECT lang, count(*) AS n, {counts} FROM g JOIN y USING (doc_id) WHERE NOT base_failed GROUP BY 1), c AS (SELECT lang, {cuts} FROM o)
+    o AS (SELECT lang, count(*) AS n, {counts} FROM g JOIN y USING (doc_id) WHERE NOT base_failed GROUP BY 1), t AS (SELECT *, {at} AS step FROM o), c AS (SELECT lang, {cuts} FROM t)
     SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM g LEFT JOIN c ON g.lang IS NOT DISTINCT FROM c.lang"""
 
 

@@ -219,7 +219,7 @@ def trained(docs: DataFrame) -> tuple[DataFrame, int, int]:
     return written(known.unionAll(lengths), "ppm-model"), int(n_all), int(n_distinct)
 
 
-def scored(docs: DataFrame, *, held_out, block_bytes: int = 24_000_000) -> DataFrame:
+def scored(docs: DataFrame, *, held_out, block_bytes: int = 16_000_000) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     held_out is a column that says which rows not to learn from.  A null or empty text is the end token and the end

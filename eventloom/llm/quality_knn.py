@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 
 from .common import row_map
-from .sampling import labelled_sample
+from .sampling import both_classes, fitted, sample_table
 
 CUT = 0.7
 CLASS_TERMS, GRAM_TERMS, REPEAT_TERMS = 4096, 4096, 16
@@ -120,8 +120,14 @@ class Space:
 
 
 def space_for(docs: DataFrame, labels: DataFrame, allowed: Column, *, per_class: int = 2000, most_chars: int = 60_000_000, dims: int = 48, neighbours: int = 15) -> Space:
-    """From at most per_class labelled documents a class; labels has doc_id and label."""
-    return Space(*labelled_sample(docs, labels, allowed, per_class, most_chars), dims, neighbours)
+    """From at most per_class labelled documents a class, in one task; labels has doc_id and label.  The driver gets the vectors only."""
+    sample, counts = sample_table(docs, labels, allowed, per_class, most_chars)
+
+    def fit(pairs):
+        both_classes(pairs, counts)
+        return Space(pairs, counts, dims, neighbours)
+
+    return fitted(sample, fit)
 
 
 def scored(docs: DataFrame, space: Space) -> DataFrame:

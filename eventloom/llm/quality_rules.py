@@ -1,14 +1,19 @@
 """Quality rules with risk-controlled thresholds; column expressions only.
 
-Base figures of a text feed rules of the form "reject if the figure exceeds a cutoff".  For each stratum (language)
-and rule, labelled good documents show how many a cutoff would reject falsely.  A cutoff is certified if, were its
-true false rejection rate as high as the rule's share of ``alpha``, so few false rejections would be seen with a
-probability of at most delta over the number of tests (exact binomial test, Bonferroni over all strata, rules and
-cutoffs).  The strictest certified cutoff is used; a rule without one is off in that stratum.
+Base figures of a text feed rules of the form "reject if the figure exceeds a cutoff".  A fixed path leads from no rule at
+all to the strictest cutoffs: in turn, each rule takes its next stricter cutoff.  For each stratum (language), labelled good
+documents show how many the rules of a step would together reject falsely.  A step is certified if, were its true false
+rejection rate alpha, so few false rejections would be seen with a probability of at most delta over the number of
+strata (exact binomial test).  Steps are tested in the order of the path up to the first that fails, so the steps of
+a stratum need no further correction (fixed-sequence testing); Bonferroni corrects for the strata.  With a probability of 1 - delta
+no stratum's rules reject more than alpha of its good documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,25 +66,35 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def path() -> list[dict[str, float]]:
+    """The cutoffs by rule after each step: in turn, each rule takes its next stricter cutoff."""
+    steps, now = [{}], {}
+    for k in range(max(len(cuts) for _, cuts in RULES.values())):
+        for name, (_, cuts) in RULES.items():
+            if k < len(cuts):
+                now = now | {name: cuts[-1 - k]}
+                steps.append(now)
+    return steps
+
+
 def certified_cutoffs(figures: DataFrame, labels: DataFrame, *, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """From figures (doc_id, stratum, base figures) and labels (doc_id, good), one row a stratum with a column per rule.
 
-    A rule that no cutoff of is certified is null.  Labelled documents that the base rules reject don't count, as the
-    cutoffs only judge the others.  A document with several labels is good only if all of them say so.
+    A rule that is not on at the last certified step is null.  Labelled documents that the base rules reject don't count, as
+    the cutoffs only judge the others.  A document with several labels is good only if all of them say so.
     """
     good = labels.where(F.col("good").isNotNull()).groupBy("doc_id").agg(F.min("good").alias("good")).where(F.col("good") == 1)
     seen = figures.where(~base_failed()).join(good.select("doc_id"), "doc_id")
-    rejected = [F.count_if(value() > cut).alias(f"{name}_{k}") for name, (value, cuts) in RULES.items() for k, cut in enumerate(cuts)]
-    counts = seen.groupBy("stratum").agg(F.count("*").alias("n"), *rejected)
-    share = alpha / len(RULES)
-    tests = sum(len(cuts) for _, cuts in RULES.values())
-    strata = counts.withColumn("n_strata", F.count("*").over(Window.partitionBy()))  # one row a stratum
-    level = delta / (tests * F.col("n_strata"))
-    cut = {}
-    for name, (_, cuts) in RULES.items():
-        passed = [F.when((F.col(f"{name}_{k}") < share * F.col("n")) & (binomial_tail(F.col("n"), F.col(f"{name}_{k}"), share) <= level), F.lit(c)) for k, c in enumerate(cuts)]
-        cut[name] = F.coalesce(*passed)
-    return strata.select("stratum", *[c.alias(f"cut_{name}") for name, c in cut.items()])
+    seen = seen.select("stratum", *[value().alias(f"_{name}") for name, (value, _) in RULES.items()])
+    steps = path()
+    wrong = lambda step: reduce(or_, [F.col(f"_{name}") > cut for name, cut in step.items()])
+    counts = seen.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(wrong(step)).alias(f"x{k}") for k, step in enumerate(steps) if step])
+    strata = counts.withColumn("level", delta / F.count("*").over(Window.partitionBy()))  # one row a stratum
+    passed = F.array(*[(F.col(f"x{k}") < alpha * F.col("n")) & (binomial_tail(F.col("n"), F.col(f"x{k}"), alpha) <= F.col("level")) for k, step in enumerate(steps) if step])
+    failed = F.array_position(passed, F.lit(False))
+    strata = strata.withColumn("step", F.when(failed == 0, F.lit(len(steps))).otherwise(failed).cast("int"))
+    cut = lambda name: F.element_at(F.array(*[F.lit(step.get(name)).cast("double") for step in steps]), F.col("step"))
+    return strata.select("stratum", *[cut(name).alias(f"cut_{name}") for name in RULES])
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:

@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents on at least as many partitions as there are cores; a file of one row group would be one task."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -23,11 +29,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_ppm_scores(spark, sf_dir):
-    return ppm.scored(table(spark, sf_dir, "documents"), held_out=ppm.fold(F.col("doc_id")))
+    return ppm.scored(documents(spark, sf_dir), held_out=ppm.fold(F.col("doc_id")))
 
 
 def op2_secret_scan(spark, sf_dir):
-    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+    return secrets.secret_spans(documents(spark, sf_dir))
 
 
 def op3_url_templates(spark, sf_dir):
@@ -35,20 +41,20 @@ def op3_url_templates(spark, sf_dir):
 
 
 def op4_minhash_dedup(spark, sf_dir):
-    return minhash_dedup.grouped(table(spark, sf_dir, "documents"))
+    return minhash_dedup.grouped(documents(spark, sf_dir))
 
 
 def op5_quality_rules(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
-    return quality_rules.judged(table(spark, sf_dir, "documents"), labels)
+    return quality_rules.judged(documents(spark, sf_dir), labels)
 
 
 def op6_decontamination(spark, sf_dir):
-    return suffix_decontam.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return suffix_decontam.decontamination_digest(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_quality_knn(spark, sf_dir):
-    docs, held = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    docs, held = documents(spark, sf_dir), remainder(F.col("doc_id"), 4) == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     space = quality_knn.space_for(docs, labels, ~held)
     return quality_knn.scored(docs.select("doc_id", "text"), space).select("doc_id", held.alias("held_out"), "score", "predicted")
@@ -60,17 +66,17 @@ def toxicity_network(docs: DataFrame, labels: DataFrame):
 
 
 def op8_toxicity_cnn(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     network = toxicity_network(docs, table(spark, sf_dir, "labels"))
     return toxicity_cnn.scored(docs.select("doc_id", "text"), network).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
 def op9_mixing(spark, sf_dir):
-    return mixing.mix_digest(table(spark, sf_dir, "documents"))
+    return mixing.mix_digest(documents(spark, sf_dir))
 
 
 def op10_token_counts(spark, sf_dir):
-    return token_fst.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
+    return token_fst.token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
 __all__ = ["oracle_sql", "queries", "table"]

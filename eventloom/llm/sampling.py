@@ -9,27 +9,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample_table(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int) -> tuple[DataFrame, dict[int, int]]:
+def sample_table(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int, most_text: int = 1_000_000) -> tuple[DataFrame, dict[int, int]]:
     """(h, doc_id, text, label) of at most per_class rows a class, and the number of allowed labelled rows a class.
 
     labels has doc_id and label (0 or 1, others are left out); allowed is a condition on doc_id.  The choice follows a
-    hash of the id, so reruns agree and no order of the tables matters.  Texts are whole; beyond most_chars
-    characters in all, further documents are left out of the sample.  Ids with two labels count as the lesser one, ids with
-    two texts have the lesser one.
+    hash of the id, so reruns agree and no order of the tables matters.  Texts are whole; one of more than most_text characters
+    is left out by itself, and beyond most_chars / 2 characters a class, further documents of that class are.  Ids with
+    two labels count as the lesser one, ids with two texts have the lesser one.
     """
     one = labels.where(allowed & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     counts = {int(r["label"]): int(r["n"]) for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_text)
+    there = one.join(texts.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
     chosen = None
     for label in (0, 1):
-        part = one.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class)
+        part = there.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
+    running = Window.partitionBy("label").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = chosen.withColumn("total", F.sum("n").over(running)).where(2 * F.col("total") <= most_chars).select("doc_id", "label")
     # broadcast: at most 2 * per_class rows
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    running = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = found.select("doc_id", "label", order.alias("h"), F.length("text").alias("n")).withColumn("total", F.sum("n").over(running))
-    kept = sized.where(F.col("total") <= most_chars).select("doc_id")
-    return found.join(F.broadcast(kept), "doc_id").select(order.alias("h"), "doc_id", "text", "label"), counts
+    found = texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return found.select(order.alias("h"), "doc_id", "text", "label"), counts
+
+
+def both_classes(sample: list[tuple[str, int]], counts: dict[int, int]) -> bool:
+    """Whether the sample has both classes; an error if labels of both exist but the bounds left one without a text."""
+    if len({label for _, label in sample}) == 2:
+        return True
+    if all(counts.get(k) for k in (0, 1)):
+        raise ValueError(f"labels of both classes exist {counts}, but the sample within its bounds has not both")
+    return False
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:

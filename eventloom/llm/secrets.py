@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -67,18 +68,30 @@ def base_spans(text: str, longest: int) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def uncovered(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of start to end outside the spans, which are sorted."""
-    out = []
-    for s, _, e in taken:
-        if s < end and start < e:
-            if start < s:
-                out.append((start, s))
-            start = max(start, e)
+def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the sorted spans cover; no two touch or overlap."""
+    starts, ends = [], []
+    for s, _, e in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def uncovered(start: int, end: int, taken: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """The parts of start to end outside the covered stretches; only those that it meets are looked at."""
+    out, k = [], bisect_right(taken[1], start)
+    while k < len(taken[0]) and taken[0][k] < end:
+        if start < taken[0][k]:
+            out.append((start, taken[0][k]))
+        start = taken[1][k]
+        k += 1
     return [*out, (start, end)] if start < end else out
 
 
-def entropy_spans(text: str, pieces: list[str], least: int, window: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def entropy_spans(text: str, pieces: list[str], least: int, window: int, taken: tuple[list[int], list[int]]) -> list[tuple[int, int, int]]:
     """Spans of random-looking candidates of at least `least` characters; base spans cut a candidate, and each part counts by itself."""
     out, at = [], 0
     for piece in pieces:
@@ -99,7 +112,7 @@ def spans_of(text: str | None, least: int, window: int) -> tuple[list, list]:
     pieces = text.split()
     longest = max(map(len, pieces), default=0)
     base = base_spans(text, longest)
-    return base, entropy_spans(text, pieces, least, window, base) if longest >= least else []
+    return base, entropy_spans(text, pieces, least, window, covered(base)) if longest >= least else []
 
 
 def joined(spans: list) -> list[str]:

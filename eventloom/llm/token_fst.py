@@ -6,10 +6,10 @@ that ends where the suffix begins and the token count there relative to the curr
 annotated with the change of the token count, so that the sum over a text is the library's count.
 States are determinised on demand and kept per worker up to ``max_states``; then the table starts afresh.
 
-A long text is cut into chunks.  Where two neighbouring characters occur together in no piece, any state is
-equal to the start state, so a chunk's map from entry state to (exit state, count) is its head before the
-first such place, the count of what lies between, and its tail after the last one.  These maps compose
-associatively; a prefix scan by doubling composes the maps of a document.
+A long text is cut into chunks, dealt over the tasks.  Where two neighbouring characters occur together in no piece, any
+state is equal to the start state.  A chunk's map from entry state to (exit state, count) therefore depends on the entry
+only up to the first such place: the map holds that head, the count of all that follows, and the one exit state.
+A chunk without such a place is all head.  These maps compose associatively; a prefix scan by doubling composes those of a text.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from .common import row_map, written
 
 #: Fixed values of the model format: the space mark and the kinds of pieces that plain text can match.
 SPACE_MARK = "▁"
@@ -152,26 +152,43 @@ class Transducer:
             return None
         return first, next(i for i in range(n - 1, 0, -1) if text[i - 1 : i + 1] not in pairs)
 
-    def chunk_map(self, text: str) -> tuple[str, int, str, bool]:
-        """(head, count between, tail, whether a cut exists); without a cut all is head."""
+    def follow(self, state: State, text: str) -> tuple[State, int]:
+        """(exit state, count) of a text read from a state."""
+        total = 0
+        for char in text:
+            state, change = state[char]
+            total += change
+        return state, total
+
+    def chunk_map(self, text: str) -> tuple[str, int, list[int], bool]:
+        """(head, count after it, exit state as numbers, whether a cut exists); without a cut all is head."""
         cut = self.cuts(text)
         if cut is None:
-            return text, 0, "", False
-        return text[: cut[0]], self.run(text[cut[0] : cut[1]]), text[cut[1] :], True
+            return text, 0, [], False
+        state, count = self.follow(self.start, text[cut[1] :])
+        return text[: cut[0]], self.run(text[cut[0] : cut[1]]) + count, [x for part in state.open for x in part], True
+
+    def known(self, numbers: list[int]) -> State:
+        """The state of a map's numbers; nodes and tokens are numbered by the pieces' order, so alike in every worker."""
+        return self.state(tuple(zip(numbers[::3], numbers[1::3], numbers[2::3], strict=True)))
 
     def compose(self, a: tuple, b: tuple) -> tuple:
+        """First a, then b."""
         if not a[3]:
             return (a[0] + b[0], b[1], b[2], b[3])
-        if not b[3]:
-            return (a[0], a[1], a[2] + b[0], True)
-        return (a[0], a[1] + self.run(a[2] + b[0]) + b[1], b[2], True)
+        state, count = self.follow(self.known(a[2]), b[0])
+        if b[3]:
+            return (a[0], a[1] + count + b[1], b[2], True)
+        return (a[0], a[1] + count, [x for part in state.open for x in part], True)
 
     def total(self, maps: list[tuple]) -> int:
         """Compose neighbours pairwise in rounds: the depth is logarithmic in the number of chunks."""
+        if len(self.states) > self.max_states:
+            self.reset()
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, count, tail, cut = maps[0]
-        return self.run(head) + count + (self.run(tail) if cut else 0)
+        head, count, _, _ = maps[0]
+        return self.run(head) + count
 
 
 def model_pieces(path: str) -> dict[str, float]:
@@ -193,10 +210,11 @@ def normal(text: str) -> str:
 def token_counts(docs: DataFrame, model_path: str, text: str = "text", limit: int = 4096, chunk_chars: int = 65_536) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
 
-    Null and empty texts have no bytes and no tokens.  Texts of any length are counted whole, by chunks.  Rows with
-    the same doc_id stay apart if their texts differ, and equal rows come back as often as they went in.
-    Other columns of docs are ignored, whatever their names.  An empty table gives an empty result.
-    The pieces are broadcast; their number is bounded by MAX_PIECES and never grows with the documents.
+    Null and empty texts have no bytes and no tokens.  Texts of any length are counted whole: those of up to chunk_chars
+    characters where they are, longer ones by chunks that go to many tasks.  Each row is counted by itself, so ids may repeat or be
+    null.  Other columns of docs are ignored, whatever their names.  An empty table gives an empty result.
+    The pieces are broadcast; their number is bounded by MAX_PIECES and never grows with the documents.  A worker's states
+    number at most max_states and one chunk's characters.
     """
     spark = docs.sparkSession
     pieces = spark.sparkContext.broadcast(model_pieces(model_path))
@@ -206,32 +224,29 @@ def token_counts(docs: DataFrame, model_path: str, text: str = "text", limit: in
             _COMPILED[model_path] = Transducer(pieces.value)
         return _COMPILED[model_path]
 
-    def chunk_maps(batches):
-        machine = compiled()
+    own = docs.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    is_long = F.length("text") >= chunk_chars  # a space mark is put before the text
+    short = row_map(own.where(~is_long), {"n_tokens": "bigint"}, lambda texts: [[compiled().run(normal(t)) for t in texts]], "text").select("doc_id", "n_bytes", "n_tokens")
+
+    def cut(batches):
         for batch in batches:
-            rows = []
-            for doc_id, key, size, value in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "n_bytes", "text"))):
+            for row, value in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 value = normal(value)
-                if len(value) <= chunk_chars:
-                    rows.append((doc_id, key, size, 0, "", machine.run(value), "", True))
-                else:
-                    rows += [(doc_id, key, size, k, *machine.chunk_map(value[i : i + chunk_chars])) for k, i in enumerate(range(0, len(value), chunk_chars))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema, strict=True)], schema=schema) if rows else pa.RecordBatch.from_pylist([], schema=schema)
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.xxhash64(F.col(text)).alias("text_key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spark_schema = StructType.fromDDL(f"doc_id {id_type}, text_key bigint, n_bytes bigint, chunk int, head string, count bigint, tail string, cut boolean")
-    schema = to_arrow_schema(spark_schema)
-    maps = slim.mapInArrow(chunk_maps, spark_schema)
-    whole = maps.groupBy("doc_id", "text_key", "n_bytes").agg(
-        F.sum(F.when(F.col("chunk") == 0, 1).otherwise(0)).alias("copies"),
-        F.array_sort(F.collect_set(F.struct("chunk", "head", "count", "tail", "cut"))).alias("maps"),
-    )
+                for i in range(0, len(value), 32 * chunk_chars):
+                    parts = [value[k : k + chunk_chars] for k in range(i, min(len(value), i + 32 * chunk_chars), chunk_chars)]
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(parts), pa.int64()), "chunk": pa.array(range(i // chunk_chars, i // chunk_chars + len(parts)), pa.int64()), "text": pa.array(parts, pa.string())})
+
+    def maps(texts):
+        return list(zip(*map(compiled().chunk_map, texts), strict=True)) or [[]] * 4
+
+    long = written(own.where(is_long).withColumn("row", F.monotonically_increasing_id()), "long-texts")  # written, so that every reading has the same row numbers
+    chunks = long.select("row", "text").mapInArrow(cut, "row bigint, chunk bigint, text string").repartition("row", "chunk")
+    mapped = row_map(chunks, {"head": "string", "count": "bigint", "exit": "array<bigint>", "cut": "boolean"}, maps, "text").drop("text")
+    scan = mapped.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "head", "count", "exit", "cut"))).alias("maps"))
 
     @F.pandas_udf("bigint")
     def composed(column):
-        machine = compiled()
-        return column.map(lambda maps: machine.total([(m["head"], m["count"], m["tail"], m["cut"]) for m in maps]))
+        return column.map(lambda maps: compiled().total([(m["head"], m["count"], m["exit"], m["cut"]) for m in maps]))
 
-    counted = whole.withColumn("n_tokens", composed("maps"))
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counted = long.select("row", "doc_id", "n_bytes").join(scan.select("row", composed("maps").alias("n_tokens")), "row").drop("row")
+    return short.unionByName(counted).withColumn("over_limit", F.col("n_tokens") > limit)

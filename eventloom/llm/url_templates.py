@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Hot, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values: (host, path, verdict).
@@ -31,7 +31,7 @@ SHAPES = (
     (r"^(?=.*[0-9])[0-9a-fA-F]{8,}$", "{hex}"),
     (r"^(?=.*[0-9])[A-Za-z0-9_-]{16,}$", "{id}"),
 )
-MERGED, FEW, WILD, TAIL = "{merged}", "{few}", "{any}", "{rest}"
+MERGED, FEW, WILD = "{merged}", "{few}", "{any}"
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -58,21 +58,28 @@ def shaped(segment: Column) -> Column:
 
 
 def shaped_path(path: Column, depth: int) -> Column:
-    """The path's segments with variable ones replaced; what lies deeper than depth is one tail segment."""
+    """The path's segments with variable ones replaced; what lies deeper than depth is whole, as one last segment of its own."""
     found = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), shaped)
-    return F.when(F.size(found) > depth, F.concat(F.slice(found, 1, depth), F.array(F.lit(TAIL)))).otherwise(found)
+    return F.when(F.size(found) > depth, F.concat(F.slice(found, 1, depth), F.array(F.array_join(F.slice(found, depth + 1, F.size(found)), "/")))).otherwise(found)
 
 
-def template_tree(urls: DataFrame, *, depth: int = 4, most_children: int = 64, support: int = 5, z: float = 1.96) -> DataFrame:
-    """From (host, segments, blocked 1/0/null), one row a distinct (host, segments): template, n, n_blocked, n_labelled."""
+def template_tree(urls: DataFrame, *, most_children: int = 64, support: int = 5, z: float = 1.96) -> DataFrame:
+    """From (host, segments, blocked 1/0/null), one row a distinct (host, segments): template, n, n_blocked, n_labelled.
+
+    Grown until no path has a further segment.  A host or level with very many branches, or a branch with very many paths, is
+    dealt over several tasks.
+    """
     counts = (F.count("*").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("long").alias("n_blocked"), F.count("blocked").alias("n_labelled"))
     rows = written(urls.groupBy("host", "segments").agg(*counts).withColumn("template", F.lit("")), "url-level")
-    for level in range(depth + 1):
+    for level in range(rows.agg(F.max(F.size("segments"))).first()[0] or 0):
         rows = rows.withColumn("child", F.get("segments", F.lit(level)))
         sums = [F.sum(c).alias(c) for c in ("n_blocked", "n_labelled")]
-        children = rows.where("child is not null").groupBy("host", "template", "child").agg(*sums)
+        children = rows.where("child is not null").groupBy("host", "template", "child").agg(*sums, F.count("*").alias("paths"))
+        children = written(children.withColumns({"node": F.xxhash64("host", "template"), "branch": F.xxhash64("host", "template", "child")}), "url-branches")
+        wide = Hot(children.groupBy("node").agg(F.count("*").alias("n")), "node")
+        deep = Hot(children.select("branch", F.col("paths").alias("n")), "branch")
         enough = F.col("n_labelled") >= support
-        nodes = children.groupBy("host", "template").agg(F.count_if(~enough & ~F.col("child").startswith("{")).alias("kinds"), F.sum(F.when(enough, F.col("n_blocked"))).alias("all_blocked"), F.sum(F.when(enough, F.col("n_labelled"))).alias("all_labelled"))
+        nodes = children.groupBy("host", "template", "node").agg(F.count_if(~enough & ~F.col("child").startswith("{")).alias("kinds"), F.sum(F.when(enough, F.col("n_blocked"))).alias("all_blocked"), F.sum(F.when(enough, F.col("n_labelled"))).alias("all_labelled"))
         others = F.col("all_labelled") - F.col("n_labelled")
         pooled = F.col("all_blocked") / F.col("all_labelled")
         gap = F.abs(F.col("n_blocked") / F.col("n_labelled") - (F.col("all_blocked") - F.col("n_blocked")) / others)
@@ -80,14 +87,14 @@ def template_tree(urls: DataFrame, *, depth: int = 4, most_children: int = 64, s
         apart = F.when(others > 0, gap > z * spread).otherwise(True)  # the only labelled branch has no like
         shape = F.col("child").startswith("{")
         name = F.when(shape, F.col("child")).when(~enough & (F.col("kinds") > most_children), F.lit(WILD)).when(~enough, F.lit(FEW)).when(apart, F.col("child")).otherwise(F.lit(MERGED))
-        named = children.join(nodes, ["host", "template"]).select("host", "template", "child", name.alias("name"))
-        grown = rows.join(named, ["host", "template", "child"], "left")
-        grown = grown.withColumn("template", F.when(F.col("name").isNotNull(), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")))
-        rows = written(grown.drop("child", "name"), "url-level")
+        named = wide.dealt(children, "branch").join(wide.copied(nodes), ["host", "template", "node", "_salt"]).select("host", "template", "child", "branch", name.alias("name"))
+        going = deep.dealt(rows.where("child is not null").withColumn("branch", F.xxhash64("host", "template", "child")), "segments")
+        grown = going.join(deep.copied(named), ["host", "template", "child", "branch", "_salt"]).withColumn("template", F.concat("template", F.lit("/"), "name"))
+        rows = written(grown.select(*rows.drop("child").columns).unionByName(rows.where("child is null").drop("child")), "url-level")
     return rows
 
 
-def judged(pages: DataFrame, *, rules=RULES, labelled: Column | None = None, cut: float = 0.8, prior_weight: float = 4.0, depth: int = 4, **options) -> DataFrame:
+def judged(pages: DataFrame, *, rules=RULES, labelled: Column | None = None, cut: float = 0.8, prior_weight: float = 4.0, depth: int = 8, **options) -> DataFrame:
     """One row per row of pages (page_id, url): page_id, host, path, rule, verdict, template, purity.
 
     labelled: 1 (block), 0 (allow) or null a row; if not given, the rules' verdicts.  A null url, or one without
@@ -101,12 +108,16 @@ def judged(pages: DataFrame, *, rules=RULES, labelled: Column | None = None, cut
     step = pages.withColumns({"host": host, "path": path}) if labelled is not None else pages.select("page_id", "url").withColumns({"host": host, "path": path})
     step = step.withColumns({"rule": rule, "by_rule": verdict}).withColumn("segments", shaped_path(F.col("path"), depth))
     rows = step.select("page_id", "host", "path", "rule", "by_rule", "segments", own.cast("int").alias("blocked"))
-    tree = template_tree(rows.select("host", "segments", "blocked"), depth=depth, **options)
+    tree = template_tree(rows.select("host", "segments", "blocked"), **options)
     totals = tree.agg(F.sum("n_blocked"), F.sum("n_labelled")).first()
     share = (totals[0] or 0) / (totals[1] or 1)
     sums = tree.groupBy("host", "template").agg(F.sum("n_blocked").alias("b"), F.sum("n_labelled").alias("m"))
     pure = sums.select("host", "template", "m", ((F.col("b") + prior_weight * share) / (F.col("m") + prior_weight)).alias("purity"))
-    found = tree.select("host", "segments", "template").join(pure, ["host", "template"])
-    out = rows.join(found, ["host", "segments"], "left")
+    same = F.xxhash64("host", "segments").alias("same")
+    hot = Hot(tree.select(same, "n").groupBy("same").agg(F.sum("n").alias("n")), "same")  # a front page may be a third of all rows
+    shared = Hot(tree.groupBy(F.xxhash64("host", "template").alias("node")).agg(F.count("*").alias("n")), "node")
+    pure = shared.copied(pure.withColumn("node", F.xxhash64("host", "template")))
+    found = shared.dealt(tree.select("host", "segments", "template", same, F.xxhash64("host", "template").alias("node")), "same").join(pure, ["host", "template", "node", "_salt"]).drop("node", "_salt")
+    out = hot.dealt(rows.withColumn("same", same), "page_id").join(hot.copied(found), ["host", "segments", "same", "_salt"], "left")
     by_method = F.when((F.col("m") > 0) & (F.col("purity") >= cut), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"), "template", "purity")
