@@ -1,16 +1,19 @@
 """Causal filters and ordered state machines per entity.
 
-Closed forms run as window sums.  Recursions run as an ordered fold in Python over one entity at a time (applyInPandas): a
-group is one entity's seasons or one game's events.  Elo alone needs all entities of a league in order; its group is the league.
+Recursions run as an ordered fold over sorted partitions, which hold many entities each and go through Python in Arrow batches, so
+neither an entity's rows nor a call for each of them are held at once.  Elo alone needs all entities of a league in order; its
+group is the league.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
@@ -18,16 +21,51 @@ def with_fields(df: DataFrame, columns: Sequence[str], **more) -> StructType:
     return StructType([*(df.schema[c] for c in columns), *(StructField(k, v) for k, v in more.items())])
 
 
+def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Callable, step: Callable, new: StructType) -> DataFrame:
+    """df and new columns: step(state, values) -> (state, new values) over each key's rows in order, from start().
+
+    values are the row's `columns`, None where null.  Rows are dealt by key and sorted; a key's state is carried from
+    batch to batch, so a key of any length is one pass.
+    """
+    schema = StructType([*df.schema.fields, *new.fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        last, state = None, None
+        for batch in batches:
+            out = []
+            own = [batch.column(c).to_pylist() for c in keys]
+            for key, values in zip(zip(*own, strict=True), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+                if key != last:
+                    last, state = key, start()
+                state, found = step(state, values)
+                out.append(found)
+            added = [pa.array(x, arrow.field(f.name).type) for f, x in zip(new.fields, zip(*out, strict=True), strict=True)] if out else [pa.array([], arrow.field(f.name).type) for f in new.fields]
+            yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)), *added], schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
 def decayed_mean(df: DataFrame, keys: Sequence[str], period: str, value: str, weight: str, rate: float, name: str = "filtered") -> DataFrame:
     """Adds the mean of all values up to the row, each weighted by weight * rate^(periods since): gaps count.
 
-    Both sums carry the same factor, so it cancels: sum(w x rate^-t) / sum(w rate^-t), with t from the key's first period.
+    Kept as (mean, weight), so no power grows with the length of a stream.  Missing values leave the mean; before the first one it is null.
     """
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy(period).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    factor = F.col(weight) * F.pow(F.lit(1.0 / rate), F.col(period) - F.min(period).over(whole))
-    both = df.withColumn("_f", F.when(F.col(value).isNotNull(), factor))
-    return both.withColumn(name, F.try_divide(F.sum(F.col("_f") * F.col(value)).over(upto), F.sum("_f").over(upto))).drop("_f")
+
+    def step(state, row):
+        at, x, w = row
+        last, mean, total = state
+        total *= rate ** (at - last) if last is not None else 1.0
+        if x is not None and w:
+            total += w
+            mean = x if mean is None else mean + w / total * (x - mean)
+        return (at, mean, total), (mean,)
+
+    return ordered_fold(df, keys, [period], [period, value, weight], lambda: (None, None, 0.0), step, doubles(name))
 
 
 def accumulated_noise(noise: float, phi: float, gap: Column) -> Column:
@@ -42,47 +80,39 @@ def kalman(df: DataFrame, keys: Sequence[str], period: str, value: str, variance
 
     A gap of g periods decays the state by phi^g.  A missing value leaves the prediction; nothing later is used.
     """
-    columns = [*keys, period, value, variance]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(period, kind="stable")
-        mean, var, last, out = prior_mean, prior_variance, None, []
-        for at, x, r in zip(rows[period], rows[value], rows[variance], strict=True):
-            gap = 0 if last is None else int(at - last)
-            if gap:
-                mean *= phi**gap
-                var = phi ** (2 * gap) * var + (noise * gap if phi == 1.0 else noise * (1 - phi ** (2 * gap)) / (1 - phi * phi))
-            predicted = mean
-            if pd.notna(x) and pd.notna(r):
-                gain = var / (var + r)
-                mean, var = mean + gain * (x - mean), (1 - gain) * var
-            out.append((predicted, mean, var))
-            last = at
-        return rows.assign(**dict(zip(("predicted", "filtered", "filtered_variance"), map(list, zip(*out, strict=True)), strict=True)))
-
-    kinds = dict.fromkeys(("predicted", "filtered", "filtered_variance"), DoubleType())
-    return df.select(*columns).groupBy(*keys).applyInPandas(fold, with_fields(df, columns, **kinds))
+    def step(state, row):
+        at, x, r = row
+        last, mean, var = state
+        gap = 0 if last is None else int(at - last)
+        if gap:
+            mean *= phi**gap
+            var = phi ** (2 * gap) * var + (noise * gap if phi == 1.0 else noise * (1 - phi ** (2 * gap)) / (1 - phi * phi))
+        predicted = mean
+        if x is not None and r is not None:
+            gain = var / (var + r)
+            mean, var = mean + gain * (x - mean), (1 - gain) * var
+        return (at, mean, var), (predicted, mean, var)
+
+    return ordered_fold(df.select(*keys, period, value, variance), keys, [period], [period, value, variance], lambda: (None, prior_mean, prior_variance), step, doubles("predicted", "filtered", "filtered_variance"))
 
 
 def smoothed_vectors(df: DataFrame, keys: Sequence[str], period: str, columns: Sequence[str], weight: float) -> DataFrame:
     """Exponential smoothing of shares per key, restarted after a gap, renormalised; adds the position of the greatest one."""
-    own = [*keys, period, *columns]
+    own = [f"_own_{c}" for c in columns]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(period, kind="stable").copy()
-        state, last, out = None, None, []
-        for at, *x in rows[[period, *columns]].itertuples(index=False):
-            fresh = state is None or at != last + 1
-            state = x if fresh else [(1 - weight) * s + weight * v for s, v in zip(state, x, strict=True)]
-            total = sum(state) or 1.0
-            state = [s / total for s in state]
-            out.append(state)
-            last = at
-        rows[list(columns)] = out
-        rows["leading"] = [int(max(range(len(s)), key=lambda k: (s[k], -k))) for s in out]
-        return rows
+    def step(state, row):
+        at, *x = row
+        last, now = state
+        fresh = now is None or at != last + 1
+        now = x if fresh else [(1 - weight) * a + weight * v for a, v in zip(now, x, strict=True)]
+        total = sum(now) or 1.0
+        now = [a / total for a in now]
+        return (at, now), (*now, max(range(len(now)), key=lambda k: (now[k], -k)))
 
-    return df.select(*own).groupBy(*keys).applyInPandas(fold, with_fields(df, own, leading=LongType()))
+    raw = df.select(*keys, period, *[F.col(c).alias(o) for c, o in zip(columns, own, strict=True)])
+    new = StructType([*doubles(*columns).fields, StructField("leading", LongType())])
+    return ordered_fold(raw, keys, [period], [period, *own], lambda: (None, None), step, new).drop(*own)
 
 
 def elo(games: DataFrame, league: Sequence[str], date: str, season: str, home: str, away: str, margin: str, *, k: float = 20.0, edge: float = 60.0, carry: float = 0.75, start: float = 1500.0) -> DataFrame:
@@ -116,19 +146,17 @@ def elo(games: DataFrame, league: Sequence[str], date: str, season: str, home: s
 def ewma_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], season: str, value: str, weight: float = 0.1, carry: float = 0.75) -> DataFrame:
     """Exponentially weighted mean of the rows before each one; a new season keeps `carry` of it.
 
-    Done as a fold over the ordered values inside the JVM: the state after i rows is a linear recursion.
+    A missing value counts as 0, and a missing season starts no new one.
     """
-    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.collect_list(F.struct(F.col(season).alias("s"), F.coalesce(F.col(value), F.lit(0.0)).cast("double").alias("v"))).over(window)
-    start = F.struct(F.lit(0.0).alias("m"), F.lit(None).cast(df.schema[season].dataType).alias("s"))
 
-    def step(acc, x):
-        kept = F.when(acc["s"].isNotNull() & (acc["s"] != x["s"]), acc["m"] * carry).otherwise(acc["m"])
-        return F.struct((kept * (1 - weight) + x["v"] * weight).alias("m"), x["s"].alias("s"))
+    def step(state, row):
+        mean, last = state
+        now, x = row
+        if last is not None and now is not None and last != now:
+            mean *= carry
+        return (mean * (1 - weight) + (x or 0.0) * weight, now), (mean,)
 
-    state = F.aggregate(seen, start, step)
-    done = F.when(state["s"].isNotNull() & (state["s"] != F.col(season)), state["m"] * carry).otherwise(state["m"])
-    return df.withColumn(f"{value}_ewma", done)
+    return ordered_fold(df, keys, order, [season, value], lambda: (0.0, None), step, doubles(f"{value}_ewma"))
 
 
 def simultaneous(df: DataFrame, keys: Sequence[str], at: Sequence[str], player: str, direction: str) -> DataFrame:

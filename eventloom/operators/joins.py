@@ -7,32 +7,61 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..contracts import ContractError
+from .filters import ordered_fold
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, start: str, end: str, ties: Sequence[str], *, closed: bool = False, how: str = "inner") -> DataFrame:
-    """Each left row with the interval that holds it: start <= at < end, or <= end if closed; null ends are open.
-
-    An equi-join on the keys with the range as its condition.  If intervals overlap, the latest start wins, then the
-    greatest `ties`; `left` needs a unique column set, all of whose columns it keeps.
-    """
-    above = (at <= F.col(end)) if closed else (at < F.col(end))
-    inside = reduce(lambda a, b: a & b, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys], (F.col(start) <= at) & (F.col(end).isNull() | above))
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, start: str) -> tuple[DataFrame, list[str]]:
+    """Both sides as one table of moments: keys, _at, _side (1: left), _l and _r (structs); right rows without a key match nothing."""
     rest = [c for c in right.columns if c not in keys]
     clash = set(rest) & set(left.columns)
     if clash:
         raise ContractError(f"columns on both sides: {sorted(clash)}")
-    both = left.alias("_l").join(right.alias("_r"), inside, how).select("_l.*", *[f"_r.{c}" for c in rest])
-    latest = Window.partitionBy(*left.columns).orderBy(F.desc(start), *[F.desc(t) for t in ties])
-    return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
+    l_rows = left.select(*keys, at.alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+    r_rows = right.dropna(subset=[*keys, start]).select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_side"), F.struct(*rest).alias("_r"))
+    return l_rows.unionByName(r_rows, allowMissingColumns=True), rest
+
+
+def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, start: str, end: str, ties: Sequence[str], *, closed: bool = False, how: str = "inner") -> DataFrame:
+    """Each left row with the interval that holds it: start <= at < end, or <= end if closed; null ends are open.
+
+    If intervals overlap, the latest start wins, then the greatest `ties`.  One pass over both sides in order of time: open
+    intervals lie on a stack, the latest start on top, and one that has ended never comes back, so the work is linear in the
+    rows, however many intervals a key has.  Equal left rows stay apart.  how: inner or left.
+    """
+    both, rest = _beside(left, right, keys, at, start)
+    both = both.withColumns({"_end": F.col(f"_r.{end}"), **{f"_t{k}": F.col(f"_r.{t}") for k, t in enumerate(ties)}})
+
+    def step(stack, row):
+        now, side, found, ends = row
+        if not side:
+            stack.append((ends, found))
+            return stack, (None,)
+        while stack and now is not None and stack[-1][0] is not None and (stack[-1][0] < now or (stack[-1][0] == now and not closed)):
+            stack.pop()
+        return stack, (stack[-1][1] if stack and now is not None else None,)
+
+    new = StructType([StructField("_found", both.schema["_r"].dataType)])
+    out = ordered_fold(both, keys, ["_at", "_side", *[f"_t{k}" for k in range(len(ties))]], ["_at", "_side", "_r", "_end"], list, step, new)
+    out = out.where("_side = 1" if how == "left" else "_side = 1 and _found is not null")
+    return out.select("_l.*", *[f"_found.{c}" for c in rest])
 
 
 def disjoint_interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, start: str, end: str, *, closed: bool = False, how: str = "inner") -> DataFrame:
-    """interval_join for intervals that don't overlap: no ranking, so no shuffle beyond the join's."""
-    above = (at <= F.col(end)) if closed else (at < F.col(end))
-    inside = reduce(lambda a, b: a & b, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys], (F.col(start) <= at) & (F.col(end).isNull() | above))
-    return left.alias("_l").join(right.alias("_r"), inside, how).select("_l.*", *[f"_r.{c}" for c in right.columns if c not in keys])
+    """interval_join for intervals that don't overlap: the last interval that began, if it has not ended.
+
+    One shuffle and one sort of both sides, without pairs; empty intervals hold nothing.  how: inner or left.
+    """
+    both, rest = _beside(left, right, keys, at, start)
+    upto = Window.partitionBy(*keys).orderBy("_at", "_side", F.asc_nulls_last(F.col(f"_r.{end}"))).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = (F.col("_at") <= F.col(f"_found.{end}")) if closed else (F.col("_at") < F.col(f"_found.{end}"))
+    out = both.withColumn("_found", F.last("_r", True).over(upto)).where("_side = 1")
+    out = out.withColumn("_found", F.when(F.col("_at").isNotNull() & F.col("_found").isNotNull() & (F.col(f"_found.{end}").isNull() | above), F.col("_found")))
+    if how == "inner":
+        out = out.where("_found is not null")
+    return out.select("_l.*", *[f"_found.{c}" for c in rest])
 
 
 def outside_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, start: str, end: str) -> DataFrame:
@@ -44,12 +73,18 @@ def outside_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str], at
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, left_at: str, right_at: str, ties: Sequence[str], tolerance: float) -> DataFrame:
     """Each left row with the nearest right row of its keys, at most `tolerance` away; ties go to the least `ties`.
 
-    The distance is part of the join's condition; the choice is a map-side pre-aggregated minimum, not a sort of all pairs.
+    Only the last right row up to the left one and the first from it on can be nearest; both come from sorted windows over the
+    two sides together, so no pairs are formed.
     """
-    near = F.abs(F.col(left_at) - F.col(right_at))
-    both = left.join(right, list(keys)).where(near <= tolerance).withColumn("gap", near)
-    own = [c for c in both.columns if c != left_id]
-    return both.groupBy(left_id).agg(F.min_by(F.struct(*own), F.struct("gap", *ties)).alias("_row")).select(left_id, "_row.*")
+    both, rest = _beside(left, right.withColumn("_when", F.col(right_at)), keys, F.col(left_at), "_when")
+    own = lambda side: [F.desc(F.col(f"_r.{t}")) if side == "before" else F.asc(F.col(f"_r.{t}")) for t in ties]
+    upto = Window.partitionBy(*keys).orderBy("_at", "_side", *own("before")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys).orderBy("_at", F.desc("_side"), *own("after")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumns({"_b": F.last("_r", True).over(upto), "_a": F.first("_r", True).over(after)}).where("_side = 1")
+    option = lambda x: F.when(F.abs(F.col("_at") - F.col(f"{x}._when")) <= tolerance, F.struct(F.abs(F.col("_at") - F.col(f"{x}._when")).alias("gap"), *[F.col(f"{x}.{t}").alias(f"_t{k}") for k, t in enumerate(ties)], F.col(x).alias("row")))
+    best = found.withColumn("_best", F.least(option("_b"), option("_a"))).where("_best is not null")
+    names = [c for c in left.columns if c != left_id]
+    return best.select(f"_l.{left_id}", *[f"_l.{c}" for c in names], *[f"_best.row.{c}" for c in rest if c != "_when"], "_best.gap")
 
 
 def unique_matches(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -102,3 +137,12 @@ def shifted_self_join(df: DataFrame, keys: Sequence[str], period: str, columns:
     """Rows that have a row of the same key `step` periods on, with both sets of columns."""
     later = df.select(*keys, (F.col(period) - step).alias(period), *[F.col(c).alias(f"next_{c}") for c in columns])
     return df.join(later, [*keys, period])
+
+
+def teammates(df: DataFrame, keys: Sequence[str], person: str) -> DataFrame:
+    """Ordered pairs of different members of the same group (a team's season): keys, person, other.
+
+    A group is a team, so its members are few; they are gathered once and paired in place.
+    """
+    members = df.groupBy(*keys).agg(F.array_sort(F.collect_set(person)).alias("_m"))
+    return members.select(*keys, "_m", F.explode("_m").alias(person)).select(*keys, person, F.explode("_m").alias("other")).where(F.col(person) != F.col("other"))

@@ -127,16 +127,62 @@ def cluster_counts(panel: DataFrame, numbers: Sequence[str], counts: Sequence[in
     return sorted(((k, score.evaluate(KMeans(k=k, seed=seed, featuresCol="features").fit(ready).transform(ready))) for k in counts), key=lambda x: (-x[1], x[0]))
 
 
+def component_signs(model: PipelineModel) -> list[float]:
+    """1 or -1 a component, so that its largest loading is positive; a PCA fixes components up to their sign only."""
+    loadings = next(x for x in model.stages if hasattr(x, "pc")).pc.toArray()
+    return [1.0 if loadings[abs(loadings[:, k]).argmax(), k] >= 0 else -1.0 for k in range(loadings.shape[1])]
+
+
+def adjusted_rand(df: DataFrame, a: str, b: str) -> float:
+    """The adjusted Rand index of two labellings: 1 if they are the same partition, about 0 for unrelated ones."""
+    table = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))  # one row a pair of labels
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    both = table.agg(pairs("n")).first()[0] or 0.0
+    left, right = (table.groupBy(c).agg(F.sum("n").alias("n")).agg(pairs("n")).first()[0] or 0.0 for c in (a, b))
+    n = table.agg(F.sum("n")).first()[0] or 0.0
+    chance = left * right / max(n * (n - 1) / 2, 1.0)
+    top = (left + right) / 2
+    return 1.0 if top == chance else (both - chance) / (top - chance)
+
+
+def stable_cluster_count(panel: DataFrame, numbers: Sequence[str], counts: Sequence[int], seeds: Sequence[int] = (0, 1), least: float = 0.8) -> list[dict]:
+    """Per number of clusters: k, silhouette, stability (the least adjusted Rand index between two seeds' fits) and stable.
+
+    The best comes first: stable ones by silhouette, then the others; ties take fewer clusters.
+    """
+    ready = Pipeline(stages=features(numbers)).fit(panel).transform(panel)
+    score = ClusteringEvaluator(featuresCol="features", metricName="silhouette")
+    out = []
+    for k in counts:
+        labelled = ready
+        for s in seeds:
+            labelled = KMeans(k=k, seed=s, featuresCol="features", predictionCol=f"_c{s}").fit(ready).transform(labelled)
+        stability = min((adjusted_rand(labelled, f"_c{a}", f"_c{b}") for i, a in enumerate(seeds) for b in seeds[i + 1 :]), default=1.0)
+        out.append({"k": k, "silhouette": score.setPredictionCol(f"_c{seeds[0]}").evaluate(labelled), "stability": stability, "stable": stability >= least})
+    return sorted(out, key=lambda r: (not r["stable"], -r["silhouette"], r["k"]))
+
+
+def stacked(df: DataFrame, fold: str, folds: Sequence, keys: Sequence[str], bases: dict[str, Callable[[DataFrame], PipelineModel]], meta: Callable[[DataFrame, list[str]], PipelineModel], label: str, name: str = "predicted") -> DataFrame:
+    """keys, fold, label, one out-of-fold column a base model, and the stack's prediction of them.
+
+    Both levels are out of fold: the stack that predicts a fold has seen neither its rows nor a base model fitted on them
+    in its own training columns.
+    """
+    out = df.select(*keys, fold, label)
+    for base, fit_one in bases.items():
+        out = out.join(out_of_fold(df, fold, folds, fit_one, base).select(*keys, base), list(keys))
+    return out_of_fold(out, fold, folds, lambda train: meta(train, list(bases)), name)
+
+
 def random_search(df: DataFrame, group: str, folds: int, options: dict[str, Sequence], tries: int, fit_one: Callable[[DataFrame, dict], PipelineModel], label: str, seed: int = 0) -> list[tuple[dict, float]]:
     """(options, held-out RMSE) of random choices, best first; whole groups are held out together."""
     import random
 
     rng = random.Random(seed)
-    parted = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(folds))).persist()
+    parted = df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(folds)))  # a hash, so every reading has the same folds
     out = []
     for _ in range(tries):
         chosen = {k: rng.choice(list(v)) for k, v in options.items()}
         held = out_of_fold(parted, "_fold", range(folds), lambda train, c=chosen: fit_one(train, c))
         out.append((chosen, held.agg(F.sqrt(F.avg((F.col(label) - F.col("predicted")) ** 2))).first()[0]))
-    parted.unpersist()
     return sorted(out, key=lambda x: x[1])

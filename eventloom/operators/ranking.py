@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rates import weighted_mean
+from .rates import quantiles, running_counts, weighted_mean
 
 
 def leaderboard(df: DataFrame, where: Column, order: Sequence[Column], offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -26,8 +26,7 @@ def leaderboard(df: DataFrame, where: Column, order: Sequence[Column], offset: i
 def rank_within(df: DataFrame, by: Sequence[str], value: str, eligible: Column, name: str = "rank", descending: bool = True) -> DataFrame:
     """Adds the least rank among eligible rows of the group; null for the others."""
     counts = df.where(eligible & F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("_n").over(order), F.lit(0)) + 1).cast("long").alias("_rank"))
+    ranks = running_counts(counts, by, value, "_n", descending).select(*by, value, (F.col("_before") + 1).cast("long").alias("_rank"))
     return df.join(ranks, [*by, value], "left").withColumn(name, F.when(eligible, F.col("_rank"))).drop("_rank")
 
 
@@ -85,13 +84,13 @@ def profile(base: DataFrame, key: str, tables: Mapping[str, tuple[DataFrame, Seq
 
 
 def median_of(df: DataFrame, where: Column, value: str) -> DataFrame:
-    return df.where(where).agg(F.percentile(value, 0.5).alias("median"))
+    return quantiles(df.where(where), (), value, {"median": 0.5})
 
 
 def quantile_bins(df: DataFrame, value: str, n: int, name: str = "bin") -> DataFrame:
     """Adds the number of the equal-count bin (edges at exact percentiles, right-closed, the first one closed on both sides)."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)]))).first()[0]
-    if edges is None:
+    edges = quantiles(df, (), value, {f"q{i}": i / n for i in range(n + 1)}).first()  # n + 1 numbers
+    if edges is None or edges[0] is None:
         return df.withColumn(name, F.lit(None).cast("int"))
     number = F.lit(n)
     for i in range(n - 1, 0, -1):

@@ -85,13 +85,48 @@ def weighted_zscore(df: DataFrame, by: Sequence[str], value: str, weight: str, n
     return with_group(df, group, by).withColumn(name, z).drop("_m", "_q")
 
 
+def running_counts(counts: DataFrame, by: Sequence[str], value: str, n: str = "_n", descending: bool = False, ranges: int = 64) -> DataFrame:
+    """Adds _before: how many rows of the group come before a value, from one row a distinct value with its count.
+
+    Within groups that is a window.  Without groups the values are cut into ranges at approximate quantiles (any cut gives the same
+    result), so no task sorts all of them; only the ranges' sums meet in one.
+    """
+    at = F.desc(value) if descending else F.asc(value)
+    if by:
+        order = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_before", F.coalesce(F.sum(n).over(order), F.lit(0)))
+    edges = counts.agg(F.approx_percentile(value, [k / ranges for k in range(1, ranges)], 1000)).first()[0] or []
+    rows = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value))) if edges else F.lit(0))
+    ahead = Window.orderBy(F.desc("_range") if descending else F.asc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
+    starts = rows.groupBy("_range").agg(F.sum(n).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(ahead), F.lit(0)).alias("_o"))
+    order = Window.partitionBy("_range").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_before", F.coalesce(F.sum(n).over(order), F.lit(0))).join(F.broadcast(starts), "_range")
+    return inside.withColumn("_before", F.col("_before") + F.col("_o")).drop("_range", "_o")
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, float]) -> DataFrame:
+    """One row a group: the exact (linearly interpolated) quantile of each share, {name: share}; null without values.
+
+    From running counts of distinct values: a sort that may spill, not a table of all values in memory.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    ranked = with_group(running_counts(counts, by, value), total, by)
+    x = F.col(value).cast("double")
+    at = lambda place: F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), x))
+    spots = {name: (F.col("_all") - 1) * F.lit(float(q)) for name, q in shares.items()}
+    ends = [f.alias(f"_{k}_{name}") for name, spot in spots.items() for k, f in (("lo", at(F.floor(spot))), ("hi", at(F.ceil(spot))), ("p", F.max(spot - F.floor(spot))))]
+    return ranked.groupBy(*by).agg(*ends).select(*by, *[(F.col(f"_lo_{n}") + F.col(f"_p_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in shares])
+
+
 def robust_scale(df: DataFrame, by: Sequence[str], columns: Sequence[str], limit: float = 5.0) -> DataFrame:
     """Fills missing values with the group's median, then (x - median) / IQR, standard deviation if the IQR is 0, clipped.
 
-    Exact percentiles, aggregated by group and joined back.
+    Exact quantiles of each group, joined back.
     """
-    stats = [f.alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.percentile(c, 0.5)), ("a", F.percentile(c, 0.25)), ("b", F.percentile(c, 0.75)), ("s", F.stddev_pop(c)))]
-    out = with_group(df, df.groupBy(*by).agg(*stats), by)
+    out = with_group(df, df.groupBy(*by).agg(*[F.stddev_pop(c).alias(f"_s_{c}") for c in columns]), by)
+    for c in columns:
+        out = with_group(out, quantiles(df, by, c, {f"_m_{c}": 0.5, f"_a_{c}": 0.25, f"_b_{c}": 0.75}), by)
     for c in columns:
         iqr = F.col(f"_b_{c}") - F.col(f"_a_{c}")
         scale = F.when(iqr > 1e-12, iqr).when(F.col(f"_s_{c}") > 1e-12, F.col(f"_s_{c}")).otherwise(1.0)
@@ -101,9 +136,13 @@ def robust_scale(df: DataFrame, by: Sequence[str], columns: Sequence[str], limit
 
 def median_imputed(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Missing values from the group's median, then from that of all rows, then 0."""
-    local = df.groupBy(*by).agg(*[F.percentile(c, 0.5).alias(f"_l_{c}") for c in columns])
-    total = df.agg(*[F.percentile(c, 0.5).alias(f"_t_{c}") for c in columns])
-    out = with_group(with_group(df, local, by), total, ())
+    out = df
+    for c in columns:
+        out = with_group(out, quantiles(df, by, c, {f"_l_{c}": 0.5}), by)
+        if by:
+            out = with_group(out, quantiles(df, (), c, {f"_t_{c}": 0.5}), ())
+        else:
+            out = out.withColumn(f"_t_{c}", F.col(f"_l_{c}"))
     return out.withColumns({c: F.coalesce(c, f"_l_{c}", f"_t_{c}", F.lit(0.0)) for c in columns}).drop(*[f"_{k}_{c}" for c in columns for k in "lt"])
 
 
@@ -113,8 +152,7 @@ def average_rank_percentile(df: DataFrame, by: Sequence[str], value: str, name:
     Ranks come from the distinct values and their counts, so ties cost one row.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_peers"))
-    order = Window.partitionBy(*by).orderBy(F.asc(value) if ascending else F.desc(value))
-    ranked = counts.withColumn("_before", F.coalesce(F.sum("_peers").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_peers").over(Window.partitionBy(*by)))
+    ranked = with_group(running_counts(counts, by, value, "_peers", not ascending), counts.groupBy(*by).agg(F.sum("_peers").alias("_all")), by)
     share = ranked.select(*by, value, (100.0 * (F.col("_before") + (F.col("_peers") + 1) / 2) / F.col("_all")).alias(name))
     return df.join(share, [*by, value], "left")
 
@@ -172,8 +210,7 @@ def probability_scores(df: DataFrame, keys: Sequence[str], outcome: str, probabi
     q = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
     basic = df.groupBy(*keys).agg(F.avg((p - y) ** 2).alias("brier"), F.avg(-(y * F.log(q) + (1 - y) * F.log(1 - q))).alias("log_loss"), F.avg(((p >= 0.5).cast("double") == y).cast("double")).alias("accuracy"), F.sum(y).alias("_n1"), F.sum(1 - y).alias("_n0"))
     ties = df.groupBy(*keys, probability).agg(F.count("*").alias("_n"), F.sum(y).alias("_y"))
-    order = Window.partitionBy(*keys).orderBy(probability).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = ties.withColumn("_r", F.coalesce(F.sum("_n").over(order), F.lit(0)) + (F.col("_n") + 1) / 2).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_y")).alias("_s"))
+    ranks = running_counts(ties, keys, probability).withColumn("_r", F.col("_before") + (F.col("_n") + 1) / 2).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_y")).alias("_s"))
     both = basic.join(ranks, list(keys)) if keys else with_group(basic, ranks, ())
     auc = ratio(F.col("_s") - F.col("_n1") * (F.col("_n1") + 1) / 2, F.col("_n1") * F.col("_n0"))
     return both.withColumn("auc", auc).drop("_n1", "_n0", "_s")
@@ -182,8 +219,9 @@ def probability_scores(df: DataFrame, keys: Sequence[str], outcome: str, probabi
 def spread_profile(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Unpivoted: by, metric, p10, median, p90, iqr."""
     long = df.unpivot(list(by), list(columns), "metric", "value")
-    p = lambda q: F.percentile("value", q)
-    return long.groupBy(*by, "metric").agg(p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"), (p(0.75) - p(0.25)).alias("iqr"))
+    found = quantiles(long, [*by, "metric"], "value", {"p10": 0.1, "_q1": 0.25, "median": 0.5, "_q3": 0.75, "p90": 0.9})
+    keys = long.select(*by, "metric").distinct()  # a metric without values stays, with nulls
+    return with_group(keys, found, [*by, "metric"]).select(*by, "metric", "p10", "median", "p90", (F.col("_q3") - F.col("_q1")).alias("iqr"))
 
 
 def line_by_group(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -209,5 +247,4 @@ def spread_between(df: DataFrame, residual: str, variance: str, high: float, rou
 
 def tier_targets(df: DataFrame, by: Sequence[str], value: str, quantile: float = 0.25) -> DataFrame:
     """Per group: the mean of the values up to its quantile."""
-    edges = df.groupBy(*by).agg(F.percentile(value, quantile).alias("_q"))
-    return df.join(edges, list(by)).groupBy(*by).agg(F.avg(F.when(F.col(value) <= F.col("_q"), F.col(value))).alias("target"))
+    return df.join(quantiles(df, by, value, {"_q": quantile}), list(by)).groupBy(*by).agg(F.avg(F.when(F.col(value) <= F.col("_q"), F.col(value))).alias("target"))

@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 
 
 def unit(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash of the parts; reruns agree."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) from the first 48 bits of an md5 over the parts' text; reruns agree."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def poisson_weight(u: Column, most: int = 12) -> Column:
-    """A Poisson(1) count by inverting its distribution at u: how often a bootstrap draws a cluster, when there are many."""
-    edges, total = [], 0.0
+def poisson_edges(most: int = 12) -> list[float]:
+    """Cumulative probabilities of Poisson(1)."""
+    out, total = [], 0.0
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)
-        edges.append(total)
+        out.append(total)
+    return out
+
+
+def poisson_weight(u: Column, most: int = 12) -> Column:
+    """A Poisson(1) count by inverting its distribution at u: how often a bootstrap draws a cluster, when there are many."""
     out = F.lit(most)
-    for k in reversed(range(most)):
-        out = F.when(u < edges[k], k).otherwise(out)
+    for k, edge in reversed(list(enumerate(poisson_edges(most)))):
+        out = F.when(u < edge, k).otherwise(out)
     return out
 
 
@@ -65,16 +71,24 @@ def rank_bands(draws: DataFrame, entity: str, draw: str, value: str, tops: Seque
     return ranked.groupBy(entity).agg(*[F.percentile("_rank", q).alias(f"rank_p{round(100 * q)}") for q in (0.05, 0.5, 0.95)], *[F.avg((F.col("_rank") <= t).cast("double")).alias(f"p_top{t}") for t in tops])
 
 
-def permuted(df: DataFrame, columns: Sequence[str], order: Sequence[str], seed: int) -> DataFrame:
+def permuted(df: DataFrame, columns: Sequence[str], order: Sequence[str], seed: int, rows: int = 100_000) -> DataFrame:
     """The columns' values dealt anew among the rows, jointly: for grouped permutation importance.
 
     Rows are numbered within hash buckets and values move within their bucket, so nothing is sorted as a whole.
     """
     from pyspark.sql import Window
 
-    size = 64
+    size = max(64, math.ceil(df.count() / rows))  # buckets of about `rows` rows
     own = Window.partitionBy("_b").orderBy(*order)
     dealt = Window.partitionBy("_b").orderBy(F.xxhash64(F.lit(seed), *[F.col(o) for o in order]), *order)
     base = df.withColumn("_b", F.pmod(F.xxhash64(*[F.col(o) for o in order]), F.lit(size)))
     values = base.select("_b", F.row_number().over(dealt).alias("_n"), *columns)
     return base.drop(*columns).withColumn("_n", F.row_number().over(own)).join(values, ["_b", "_n"]).select(*df.columns)
+
+
+def peak_bands(draws: DataFrame, entity: str, draw: str, period: str, value: str, weight: str, span: int, tops: Sequence[int] = (10, 25)) -> DataFrame:
+    """Rank bands of each entity's best window, chosen anew in every draw, so that the choice's own luck is part of the bands."""
+    from .ranking import best_row, calendar_windows
+
+    best = best_row(calendar_windows(draws, [draw, entity], period, value, weight, span), [draw, entity], "mean", ["window_start"])
+    return rank_bands(best, entity, draw, "mean", tops)

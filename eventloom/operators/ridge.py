@@ -1,6 +1,6 @@
 """Sparse block ridge by additive normal equations.
 
-A design is a long table (row, col, val).  Spark forms X'WX and X'Wy by a self-join within a row, which has as many entries as
+A design is a long table (row, col, val).  Spark forms X'WX from the pairs within a row, which has as many entries as
 a lineup has members, and a sum by (i, j) that is pre-aggregated in every task.  The system has one unknown a player, so
 its matrix, checked against MOST_COLUMNS, is solved on the driver.
 """
@@ -8,12 +8,17 @@ its matrix, checked against MOST_COLUMNS, is solved on the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ContractError
+from ..functions.scalars import ratio
+from .rates import weighted_mean, with_group
+from .resample import poisson_weight, unit
 
 MOST_COLUMNS = 8_000
 
@@ -41,9 +46,9 @@ def columns_of(design: DataFrame) -> list[tuple[str, str]]:
 def gram_entries(design: DataFrame, row: str) -> DataFrame:
     """(block_i, entity_i, block_j, entity_j, value) of X'X, lower triangle by (block, entity); `weight` counts if there."""
     weight = F.col("weight") if "weight" in design.columns else F.lit(1.0)
-    left = design.select(row, F.struct("block", "entity").alias("i"), (F.col("val") * weight).alias("v"))
-    right = design.select(row, F.struct("block", "entity").alias("j"), F.col("val").alias("u"))
-    sums = left.join(right, row).where("j <= i").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("value"))
+    members = design.groupBy(row).agg(F.collect_list(F.struct(F.struct("block", "entity").alias("c"), F.col("val").alias("u"), (F.col("val") * weight).alias("v"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["c"] <= a["c"]), lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["v"] * b["u"]).alias("x")))))
+    sums = members.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.x").alias("value"))
     return sums.select(F.col("i.block").alias("block_i"), F.col("i.entity").alias("entity_i"), F.col("j.block").alias("block_j"), F.col("j.entity").alias("entity_j"), "value")
 
 
@@ -151,6 +156,91 @@ def cross_validated(folds: Sequence[NormalEquations], candidates: Sequence[Mappi
     return sorted(out, key=lambda x: (x[1], -sum(x[0].values())))
 
 
+def coordinate_search(folds: Sequence[NormalEquations], start: Mapping[str, float], factor: float = 4.0, least: float = 1.1) -> tuple[dict[str, float], float]:
+    """(penalties, held-out error) by log-step coordinate search: each block's penalty is multiplied or divided by `factor`
+    as long as that lowers the error; when no block moves, the factor's root is tried, down to `least`.
+
+    Works on the folds' sums alone, so no step reads the rows again.  Ties keep the larger penalty.
+    """
+    now, error = dict(start), cross_validated(folds, [start])[0][1]
+    while factor >= least:
+        moved = False
+        for block in now:
+            best, found = cross_validated(folds, [now | {block: now[block] * factor}, now | {block: now[block] / factor}])[0]
+            if found < error - 1e-12 * abs(error):
+                now, error, moved = dict(best), found, True
+        if not moved:
+            factor **= 0.5
+    return now, error
+
+
+def grouped_equations(design: DataFrame, response: DataFrame, row: str, y: str, group: str, columns: Sequence | None = None) -> dict:
+    """{group: NormalEquations} of every season, fold or game of response's column `group`, from one pass over the rows.
+
+    The sums are additive, so any window, fold complement or bootstrap draw is a (weighted) sum of them.  The number of
+    groups times the entries of a Gram matrix is what reaches the driver: for seasons and folds, not for games.
+    """
+    columns = list(columns or columns_of(design))
+    at, p = {c: k for k, c in enumerate(columns)}, len(columns)
+    weighted = "weight" in response.columns
+    w = F.col("weight") if weighted else F.lit(1.0)
+    used = design.join(response.select(row, group, y, *(["weight"] if weighted else [])), row)
+    members = used.groupBy(row, group).agg(F.collect_list(F.struct(F.struct("block", "entity").alias("c"), F.col("val").alias("u"), (F.col("val") * w).alias("v"))).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["c"] <= a["c"]), lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["v"] * b["u"]).alias("x")))))
+    grams = members.select(group, F.explode(pairs).alias("p")).groupBy(group, "p.i", "p.j").agg(F.sum("p.x").alias("value"))
+    sides = used.groupBy(group, "block", "entity").agg(F.sum(F.col("val") * w * F.col(y)).alias("xy"), F.sum(F.col("val") * w).alias("exposure"))
+    totals = response.groupBy(group).agg(F.sum(w).alias("n"), F.sum(w * F.col(y)).alias("y"), F.sum(w * F.col(y) * F.col(y)).alias("yy"))
+    out = {r[group]: NormalEquations(columns, np.zeros((p, p)), np.zeros(p), np.zeros(p), r["n"] or 0.0, r["y"] or 0.0, r["yy"] or 0.0) for r in totals.collect()}
+    for g, i, j, v in grams.select(group, "i", "j", "value").collect():
+        i, j = at[i["block"], i["entity"]], at[j["block"], j["entity"]]
+        out[g].gram[i, j] = out[g].gram[j, i] = v
+    for g, b, e, v, x in sides.collect():
+        out[g].xy[at[b, e]], out[g].exposure[at[b, e]] = v, x
+    return out
+
+
+def rolling_fits(by_season: Mapping[int, NormalEquations], span: int, penalties: Mapping[str, float]) -> dict[int, tuple[np.ndarray, float]]:
+    """{last season: (coefficients, intercept)} of every window of `span` seasons that are all there."""
+    out = {}
+    for end in sorted(by_season):
+        own = [by_season.get(end - k) for k in range(span)]
+        if all(own):
+            out[end] = reduce(lambda a, b: a + b, own).solve(penalties)
+    return out
+
+
+def bootstrap_fits(spark, design: DataFrame, response: DataFrame, row: str, y: str, cluster: str, draws: Sequence[int], penalties: Mapping[str, float], seed: int, path: str) -> DataFrame:
+    """(draw, block, entity, beta) of refits on reweighted clusters, written draw by draw to `path`: a rerun computes only those missing.
+
+    response has row, cluster and y.  A draw's weights follow a hash of (seed, draw, cluster), so they need no state.
+    """
+    columns = columns_of(design)
+    for d in draws:
+        target = f"{path}/draw={d}"
+        try:
+            spark.read.parquet(target).limit(1).count()
+            continue
+        except AnalysisException:
+            pass
+        drawn = response.withColumn("weight", poisson_weight(unit(F.lit(seed), F.lit(d), F.col(cluster))).cast("double"))
+        found = NormalEquations.of(design, drawn, row, y, columns)
+        beta, _ = found.solve(penalties)
+        coefficients(spark, columns, beta).write.mode("overwrite").parquet(target)
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/draw={d}").withColumn("draw", F.lit(d)) for d in draws])
+
+
+def half_stability(first: NormalEquations, second: NormalEquations, penalties: Mapping[str, float]) -> dict[str, float]:
+    """{block: correlation} of the coefficients of two halves of the rows, over entities that both halves have."""
+    a, b = first.solve(penalties)[0], second.solve(penalties)[0]
+    both = (first.exposure > 0) & (second.exposure > 0)
+    out = {}
+    for block in dict.fromkeys(b for b, _ in first.columns):
+        own = both & np.array([c == block for c, _ in first.columns])
+        varies = own.sum() > 1 and a[own].std() > 0 and b[own].std() > 0
+        out[block] = float(np.corrcoef(a[own], b[own])[0, 1]) if varies else float("nan")
+    return out
+
+
 def coefficients(spark, columns: Sequence[tuple[str, str]], beta: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(b, e, float(v)) for (b, e), v in zip(columns, beta, strict=True)], "block string, entity string, beta double")
 
@@ -211,9 +301,47 @@ def prior_rows(priors: DataFrame, confidence: Column) -> DataFrame:
 
 def age_curve(deltas: DataFrame, age: str, delta: str, weight: str) -> DataFrame:
     """(age, mean change, curve): weighted mean change by age and its running sum."""
-    from pyspark.sql import Window
+    by_age = deltas.groupBy(age).agg(weighted_mean(F.col(delta), F.col(weight)).alias("change"))
+    return by_age.withColumn("curve", F.sum("change").over(Window.orderBy(age).rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # one row an age
 
-    from .rates import weighted_mean
 
-    by_age = deltas.groupBy(age).agg(weighted_mean(F.col(delta), F.col(weight)).alias("change"))
-    return by_age.withColumn("curve", F.sum("change").over(Window.orderBy(age).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def smoothed_age_curve(deltas: DataFrame, age: str, delta: str, weight: str, *, width: float = 2.0, reference: float | None = None) -> DataFrame:
+    """(age, weight, change, smooth, curve): the weighted mean change by age, a local-linear fit of it, and the fit's running sum.
+
+    The fit at an age is a weighted line over all ages, with weight * exp(-(distance / width)^2 / 2); where all weight lies on
+    one age, its mean.  With a reference age the curve is 0 there.  Works on one row an age, so the ages' table meets itself.
+    """
+    w = F.when(F.col(delta).isNotNull() & (F.col(weight) > 0), F.col(weight))
+    by_age = deltas.groupBy(age).agg(F.sum(w).alias("weight"), ratio(F.sum(w * F.col(delta)), F.sum(w)).alias("change")).where("weight > 0")
+    one = by_age.agg(F.collect_list(F.struct(F.col(age).cast("double").alias("a"), F.col("weight").alias("w"), F.col("change").alias("x"))).alias("all"))  # one entry an age
+    rows = with_group(by_age, one, ())
+    k = lambda r: r["w"] * F.exp(-0.5 * ((r["a"] - F.col(age)) / width) ** 2)
+    moment = lambda f: F.aggregate("all", F.lit(0.0), lambda acc, r: acc + k(r) * f(r))
+    d = lambda r: r["a"] - F.col(age)
+    rows = rows.withColumns({"_s0": moment(lambda r: F.lit(1.0)), "_s1": moment(d), "_s2": moment(lambda r: d(r) * d(r)), "_t0": moment(lambda r: r["x"]), "_t1": moment(lambda r: d(r) * r["x"])})
+    base = F.col("_s0") * F.col("_s2") - F.col("_s1") * F.col("_s1")
+    rows = rows.withColumn("smooth", F.when(base > 1e-12, (F.col("_s2") * F.col("_t0") - F.col("_s1") * F.col("_t1")) / base).otherwise(F.col("_t0") / F.col("_s0")))
+    rows = rows.withColumn("curve", F.sum("smooth").over(Window.orderBy(age).rowsBetween(Window.unboundedPreceding, Window.currentRow)))  # one row an age
+    if reference is not None:
+        rows = with_group(rows, rows.agg(F.min_by("curve", F.abs(F.col(age) - reference)).alias("_r")), ()).withColumn("curve", F.col("curve") - F.col("_r"))
+    return rows.select(age, "weight", "change", "smooth", "curve")
+
+
+def at_reference_age(df: DataFrame, curve: DataFrame, age: str, value: str, name: str) -> DataFrame:
+    """Adds the value less the curve at its age; ages beyond the curve take its nearest end."""
+    ends = curve.agg(F.min(age).alias("_lo"), F.max(age).alias("_hi"))
+    rows = with_group(df, ends, ()).withColumn("_age", F.greatest(F.least(F.col(age), F.col("_hi")), F.col("_lo")))
+    return rows.join(F.broadcast(curve.select(F.col(age).alias("_age"), F.col("curve").alias("_c"))), "_age", "left").withColumn(name, F.col(value) - F.col("_c")).drop("_age", "_lo", "_hi", "_c")  # one row an age
+
+
+def with_exits(df: DataFrame, keys: Sequence[str], period: str, value: str, weight: str, last: int, drop: float, share: float) -> DataFrame:
+    """Changes to the next period (keys, period, delta, weight, is_exit): real ones, and for keys without a next one a fall of `drop` at a low weight.
+
+    Rows of the last period have no next one to judge and leave no exit.  weight: the lesser of both periods, or share * own.
+    """
+    from .joins import shifted_self_join
+
+    pairs = shifted_self_join(df.select(*keys, period, value, weight), keys, period, [value, weight])
+    real = pairs.select(*keys, period, (F.col(f"next_{value}") - F.col(value)).alias("delta"), F.least(weight, f"next_{weight}").alias("weight"), F.lit(False).alias("is_exit"))
+    gone = df.where(F.col(period) < last).join(pairs.select(*keys, period), [*keys, period], "left_anti")
+    return real.unionByName(gone.select(*keys, period, F.lit(-float(drop)).alias("delta"), (share * F.col(weight)).alias("weight"), F.lit(True).alias("is_exit")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import checks
@@ -210,17 +210,22 @@ def name_resolve(spark, sf_dir):
     return joins.attach_id(named, known.withColumnRenamed("p_partkey", "resolved"), ["name_key"], "resolved").select("p_partkey", "name_key", "resolved")
 
 
-@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS a FROM orders WHERE o_orderkey % 7 <> 0), l AS (SELECT l_orderkey AS k, max(l_linestatus) AS b FROM lineitem GROUP BY 1)
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS a FROM orders WHERE o_totalprice >= 50000), l AS (SELECT l_orderkey AS k, max(l_linestatus) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
   SELECT k, CASE WHEN o.k IS NULL THEN 'missing_left' WHEN l.k IS NULL THEN 'missing_right' WHEN a IS DISTINCT FROM b THEN 'differs' ELSE 'ok' END AS issue FROM o FULL JOIN l USING (k)""")
 def full_outer_issue_ledger(spark, sf_dir):
-    left = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("a"))
-    right = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("b"))
+    """Dear orders against orders with a returned line: each feed has orders that the other lacks."""
+    left = table(spark, sf_dir, "orders").where("o_totalprice >= 50000").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("a"))
+    right = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_linestatus").alias("b"))
     return checks.full_outer_issues(left, right, ["k"], {"a": "b"}).select("k", "issue")
 
 
-@query("""SELECT c_custkey AS k, 'left_only' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'right_only' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority = '1-URGENT'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')
+  SELECT k, 'left_only' AS side FROM a WHERE k NOT IN (SELECT k FROM b) UNION ALL SELECT k, 'right_only' FROM b WHERE k NOT IN (SELECT k FROM a)""")
 def source_reconcile_anti(spark, sf_dir):
-    return checks.reconcile(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+    """Customers with urgent orders against customers with open ones."""
+    orders = table(spark, sf_dir, "orders")
+    one = lambda where: orders.where(where).select(F.col("o_custkey").alias("k"))
+    return checks.reconcile(one("o_orderpriority = '1-URGENT'"), one("o_orderstatus = 'P'"), ["k"])
 
 
 @query("SELECT l_orderkey, round(max(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), 2) AS a_l_extendedprice, round(max(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END), 2) AS r_l_extendedprice FROM lineitem GROUP BY 1")
@@ -283,9 +288,10 @@ def order_violations(spark, sf_dir):
     return ordered.order_violations(events(spark, sf_dir), ["user_id"], ORDER, "value", "event_id")
 
 
-@query("SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS total, 'orders' AS feed FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1 UNION ALL SELECT c_custkey, round(c_acctbal, 2), 'balance' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 2 = 0)")
+@query("""WITH o AS (SELECT o_custkey AS k, round(sum(o_totalprice), 2) AS total, 'orders' AS feed FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+  SELECT * FROM o UNION ALL SELECT c_custkey, round(c_acctbal, 2), 'balance' FROM customer WHERE c_custkey NOT IN (SELECT k FROM o)""")
 def preferred_feed(spark, sf_dir):
-    first = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("total")).withColumn("feed", F.lit("orders"))
+    first = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("total")).withColumn("feed", F.lit("orders"))
     second = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("total"), F.lit("balance").alias("feed"))
     return rounded(checks.prefer([first, second], ["k"]), "total", digits=2)
 
@@ -448,10 +454,15 @@ def search_ranked(spark, sf_dir):
     return ranking.search(table(spark, sf_dir, "part"), "p_name", "Red", ["p_name", "p_partkey"]).select("p_partkey", "p_name", "match_kind")
 
 
-@query()
+@query("""SELECT c_custkey, c_name, count(o_orderkey) AS n_orders, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey), '') AS order_keys, round(coalesce(sum(o_totalprice), 0), 2) AS total
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2""")
 def profile_nested(spark, sf_dir):
+    """A customer's nested orders, read back: their number, their keys in order and their sum."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderdate", "o_orderkey", "o_totalprice")
-    return ranking.profile(table(spark, sf_dir, "customer"), "c_custkey", {"orders": (orders, ["o_orderdate", "o_orderkey"])})
+    found = ranking.profile(table(spark, sf_dir, "customer"), "c_custkey", {"orders": (orders, ["o_orderdate", "o_orderkey"])})
+    own = F.coalesce("orders", F.array().cast(found.schema["orders"].dataType))
+    total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x["o_totalprice"])
+    return found.select("c_custkey", "c_name", F.size(own).cast("long").alias("n_orders"), F.array_join(F.transform(own, lambda x: x["o_orderkey"].cast("string")), ",").alias("order_keys"), F.round(total, 2).alias("total"))
 
 
 # filters -------------------------------------------------------------------------------------------------------------
@@ -480,7 +491,10 @@ def elo_batched(spark, sf_dir):
     return rounded(filters.elo(games, ["league"], "day", "season", "home", "away", "margin"), "home_before", "away_before")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, month(ts) AS s, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  k AS (SELECT user_id, event_id, n, s, 0.0::DOUBLE AS b, 0.1 * v AS m FROM o WHERE n = 1 UNION ALL
+  SELECT o.user_id, o.event_id, o.n, o.s, CASE WHEN o.s <> k.s THEN 0.75 * k.m ELSE k.m END, 0.9 * CASE WHEN o.s <> k.s THEN 0.75 * k.m ELSE k.m END + 0.1 * o.v FROM k JOIN o ON o.user_id = k.user_id AND o.n = k.n + 1)
+  SELECT event_id, round(b, 6) AS value_ewma FROM k""")
 def ewma_before(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("season", F.month("ts"))
     return rounded(filters.ewma_before(rows, ["user_id"], ORDER, "season", "value").select("event_id", "value_ewma"), "value_ewma")
@@ -503,24 +517,23 @@ def owner_machine(spark, sf_dir):
     return filters.owner_sequence(events(spark, sf_dir), ["user_id"], ORDER, anchor).select("event_id", "owner", "known_by")
 
 
-@query()
+@query(r"""WITH RECURSIVE w AS (SELECT l_suppkey, year(l_shipdate) AS year, avg(CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) AS n, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS r FROM lineitem GROUP BY ALL),
+  o AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY year) AS i FROM w), k AS (SELECT l_suppkey, year, i, a, n, r FROM o WHERE i = 1 UNION ALL
+  SELECT o.l_suppkey, o.year, o.i, CASE WHEN o.year = k.year + 1 THEN 0.6 * k.a + 0.4 * o.a ELSE o.a END, CASE WHEN o.year = k.year + 1 THEN 0.6 * k.n + 0.4 * o.n ELSE o.n END, CASE WHEN o.year = k.year + 1 THEN 0.6 * k.r + 0.4 * o.r ELSE o.r END
+  FROM k JOIN o ON o.l_suppkey = k.l_suppkey AND o.i = k.i + 1) SELECT l_suppkey, CAST(year AS INT) AS year, round(a, 6) AS "share_A", round(n, 6) AS "share_N", round(r, 6) AS "share_R" FROM k""")
 def affinity_smoothing(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate"))
     wide = lines.groupBy("l_suppkey", "year").agg(*[F.avg((F.col("l_returnflag") == f).cast("double")).alias(f"share_{f}") for f in "ANR"])
-    return rounded(filters.smoothed_vectors(wide, ["l_suppkey"], "year", ["share_A", "share_N", "share_R"], 0.4), "share_A", "share_N", "share_R")
+    return rounded(filters.smoothed_vectors(wide, ["l_suppkey"], "year", ["share_A", "share_N", "share_R"], 0.4).drop("leading"), "share_A", "share_N", "share_R")
 
 
 # normal equations and resampling -------------------------------------------------------------------------------------
 
 
-def order_design(spark, sf_dir, supplier: Column | None = None):
-    """An order as a row: its suppliers in one block, its line numbers in another.
-
-    supplier: the first block's entity; if not given, the supplier modulo 50, as the SQL of three of the queries says.
-    """
+def order_design(spark, sf_dir):
+    """An order as a row: its suppliers in one block, its line numbers in another."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    entity = F.pmod("l_suppkey", F.lit(50)) if supplier is None else supplier
-    rows = lines.groupBy("l_orderkey").agg(F.collect_set(entity).alias("s"), F.collect_set("l_linenumber").alias("n"))
+    rows = lines.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"), F.collect_set("l_linenumber").alias("n"))
     return ridge.lineup_design(rows, "l_orderkey", {"supplier": F.col("s"), "line": F.col("n")})
 
 
@@ -528,7 +541,7 @@ def order_response(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_totalprice") / 1000.0).alias("y"))
 
 
-DESIGN = "d AS (SELECT DISTINCT l_orderkey, 'supplier' AS b, CAST(l_suppkey % 50 AS VARCHAR) AS e FROM lineitem UNION SELECT DISTINCT l_orderkey, 'line', CAST(l_linenumber AS VARCHAR) FROM lineitem)"
+DESIGN = "d AS (SELECT DISTINCT l_orderkey, 'supplier' AS b, CAST(l_suppkey AS VARCHAR) AS e FROM lineitem UNION SELECT DISTINCT l_orderkey, 'line', CAST(l_linenumber AS VARCHAR) FROM lineitem)"
 
 
 @query(f"WITH {DESIGN} SELECT i.b AS block_i, i.e AS entity_i, j.b AS block_j, j.e AS entity_j, CAST(count(*) AS DOUBLE) AS value FROM d i JOIN d j USING (l_orderkey) WHERE j.b < i.b OR (j.b = i.b AND j.e <= i.e) GROUP BY ALL")
@@ -549,7 +562,7 @@ def ridge_two_param(spark, sf_dir):
 @query()
 def block_ridge(spark, sf_dir):
     """A coefficient for each supplier; an error beyond ridge.MOST_COLUMNS."""
-    found = ridge.NormalEquations.of(order_design(spark, sf_dir, F.col("l_suppkey")), order_response(spark, sf_dir), "l_orderkey", "y")
+    found = ridge.NormalEquations.of(order_design(spark, sf_dir), order_response(spark, sf_dir), "l_orderkey", "y")
     beta, mean = found.solve({"supplier": 10.0, "line": 5.0})
     beta, _ = found.recentered(beta, mean, ["supplier", "line"])
     return rounded(ridge.coefficients(spark, found.columns, beta), "beta")
@@ -562,7 +575,13 @@ def row_score_rollup(spark, sf_dir):
     return rounded(ridge.predicted(design, beta, "l_orderkey", 2.0), "predicted")
 
 
-@query()
+POISSON = " ".join(f"WHEN u < {e!r} THEN {k}" for k, e in enumerate(resample.poisson_edges()))
+
+
+@query(f"""WITH s AS (SELECT year(l_shipdate) AS year, l_orderkey, sum(l_discount - l_tax) AS v, count(*) AS n FROM lineitem GROUP BY ALL), d AS (SELECT unnest(range(0, 50)) AS draw),
+  u AS (SELECT draw, v, n, CAST(('0x' || substr(md5('7|' || draw || '|' || year || '|' || l_orderkey), 1, 12)) AS BIGINT) / 281474976710656.0 AS u FROM s, d), w AS (SELECT draw, v, n, CASE {POISSON} ELSE 12 END AS w FROM u),
+  m AS (SELECT draw, sum(w * v) / sum(w * n) AS mean FROM w GROUP BY 1)
+  SELECT round(avg(mean), 6) AS mean, round(stddev_samp(mean), 6) AS se, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high, avg(CASE WHEN mean > 0 THEN 1.0 ELSE 0.0 END) AS p_positive FROM m""")
 def cluster_bootstrap(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumns({"year": F.year("l_shipdate"), "loss": F.col("l_discount") - F.col("l_tax")})
     return rounded(resample.interval(resample.bootstrap_means(rows, ["year"], "l_orderkey", "loss", 50, 7), (), "mean"), "mean", "se", "low", "high")
@@ -588,3 +607,6 @@ def scalar_functions(spark, sf_dir):
     size = F.col("p_size")
     clock = F.format_string("PT%02dM%02d.50S", size % 12, size)
     return table(spark, sf_dir, "part").select("p_partkey", s.padded_id(F.col("p_partkey")).alias("padded"), s.tier(size, [(40, "large"), (20, "medium")], "small").alias("tier"), s.hinge(size.cast("double"), 25.0).alias("hinge"), clock.alias("clock"), s.iso_seconds(clock).alias("seconds"), s.elapsed_seconds(size % 6 + 1, F.lit(100.0)).alias("elapsed"))
+
+
+from . import domain  # noqa: E402, F401  registers its queries here

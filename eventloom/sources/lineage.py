@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def row_set_hash(df: DataFrame, keys: Sequence[str], parts: int = 256) -> str:
+def row_set_hash(df: DataFrame, keys: Sequence[str], parts: int = 4096) -> str:
     """SHA-256 of a row set, whatever its order: rows are hashed, joined in order within hash ranges, and those in turn.
 
     A range's hashes meet in one task; `parts` grows with the table.
@@ -44,6 +44,22 @@ def snapshot_id(parts: Sequence[tuple]) -> str:
     return hashlib.sha256(json.dumps(sorted(parts)).encode()).hexdigest()
 
 
+def pinned_problems(manifest: dict, root: str | Path, *, statuses: Sequence[str] = ("accepted",)) -> list[str]:
+    """What keeps a pinned set of artifacts from being used: missing fields or files, other hashes, a status that is not allowed.
+
+    manifest: status, and artifacts as {name: {path, sha256}}.
+    """
+    out = [] if manifest.get("status") in statuses else [f"status {manifest.get('status')!r} is none of {list(statuses)}"]
+    for name, entry in sorted(manifest.get("artifacts", {}).items()):
+        if not {"path", "sha256"} <= set(entry):
+            out.append(f"{name}: no path or hash")
+        elif not (Path(root) / entry["path"]).is_file():
+            out.append(f"{name}: no file")
+        elif file_sha256(Path(root) / entry["path"]) != entry["sha256"]:
+            out.append(f"{name}: other content")
+    return out if manifest.get("artifacts") else [*out, "no artifacts"]
+
+
 def latest(df: DataFrame, key: Sequence[str], at: Sequence[str]) -> DataFrame:
     """The last registered row of each key: an upsert table as an append-only one."""
     rest = [c for c in df.columns if c not in key]
