@@ -7,6 +7,7 @@ import hashlib
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -36,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _OPEN: list[list[str]] = []
+_SETTLED = [0.0]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,9 +47,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     for paths in _OPEN[-1:]:
         paths.append(path)
+    settled(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession) -> None:
+    """Collect the driver's garbage after a step, at most every few seconds: only then does Spark remove the step's shuffle files and broadcasts."""
+    if time.monotonic() - _SETTLED[0] > 5:
+        spark.sparkContext._jvm.System.gc()
+        _SETTLED[0] = time.monotonic()
+
+
 @contextmanager
 def intermediates(spark: SparkSession):
     """Tables written within the block are deleted at its end; what is read later must be written by other means."""

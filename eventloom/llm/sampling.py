@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settled
+
 
 def sample_table(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int, most_text: int = 1_000_000) -> tuple[DataFrame, dict[int, int]]:
     """(h, doc_id, text, label) of at most per_class rows a class, and the number of allowed labelled rows a class.
@@ -65,4 +67,5 @@ def fitted(sample: DataFrame, fit, rows: int = 500):
 
     one = sample.repartition(1).sortWithinPartitions("h", "doc_id").select("text", "label")
     found = one.mapInArrow(run, "model binary").first()
+    settled(sample.sparkSession)
     return pickle.loads(found["model"]) if found else fit([])  # no task runs for an empty sample
