@@ -276,14 +276,14 @@ def inferred_starters(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT DISTINCT year(o_orderdate) AS year, o_orderkey, l_suppkey, o_totalprice / 1000 AS d FROM orders JOIN lineitem ON l_orderkey = o_orderkey), p AS (SELECT year, l_suppkey, sum(d) AS played FROM s GROUP BY ALL),
-  q AS (SELECT year(l_shipdate) AS year, l_suppkey, sum(l_quantity) AS official FROM lineitem GROUP BY ALL) SELECT CAST(year AS INT) AS year, l_suppkey AS player, round(coalesce(played, 0), 2) AS played, round(coalesce(official, 0), 2) AS official, round(abs(coalesce(played, 0) - coalesce(official, 0)), 2) AS gap
+  q AS (SELECT year(l_shipdate) AS year, l_suppkey, sum(l_quantity) AS official FROM lineitem GROUP BY ALL) SELECT CAST(year AS INT) AS year, l_suppkey AS player, round(coalesce(played, 0), 6) AS played, round(coalesce(official, 0), 6) AS official, round(abs(coalesce(played, 0) - coalesce(official, 0)), 6) AS gap
   FROM p FULL JOIN q USING (year, l_suppkey) WHERE abs(coalesce(played, 0) - coalesce(official, 0)) > 50""")
 def played_time_gaps(spark, sf_dir):
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     stints = orders.join(lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("players")), "o_orderkey").withColumn("year", F.year("o_orderdate"))
     played = filters.played_time(stints, ["year"], "players", F.lit(0.0), F.col("o_totalprice") / 1000)
     official = lines.groupBy(F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("player")).agg(F.sum("l_quantity").alias("official"))
-    return rounded(filters.time_gaps(played, official, ["year"], 50.0), "played", "official", "gap", digits=2)
+    return rounded(filters.time_gaps(played, official, ["year"], 50.0), "played", "official", "gap")
 
 
 @query("""WITH l AS (SELECT l_orderkey, sum(l_extendedprice) AS summed FROM lineitem GROUP BY 1) SELECT o_orderkey AS l_orderkey, round(summed, 2) AS summed, o_totalprice AS total FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE abs(coalesce(summed, 0) - o_totalprice) > 150000""")
@@ -334,9 +334,9 @@ def smoothing_rows(spark, sf_dir):
     return ridge.smoothing_rows(supplier_years(spark, sf_dir), "l_suppkey", "year", F.lit(0.5), 3.0)
 
 
-@query("""SELECT CAST(s_suppkey AS VARCHAR) AS entity, round(s_acctbal / 100, 4) AS offense, round(CASE WHEN s_nationkey > 5 THEN -s_acctbal / 200 END, 4) AS defense, round(s_acctbal / 100 + CASE WHEN s_nationkey > 5 THEN -s_acctbal / 200 ELSE 0 END, 4) AS net FROM supplier""")
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS entity, round(s_acctbal / 100, 6) AS offense, round(CASE WHEN s_nationkey > 5 THEN -s_acctbal / 200 END, 6) AS defense, round(s_acctbal / 100 + CASE WHEN s_nationkey > 5 THEN -s_acctbal / 200 ELSE 0 END, 6) AS net FROM supplier""")
 def signed_ratings(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("entity"), "s_nationkey", (F.col("s_acctbal") / 10_000).alias("beta"))
     beta = rows.select(F.lit("plus").alias("block"), "entity", "beta").unionByName(rows.where("s_nationkey > 5").select(F.lit("minus").alias("block"), "entity", (F.col("beta") / 2).alias("beta")))
     out = ridge.ratings(beta, beta.select("block", "entity", F.lit(1.0).alias("exposure")), "plus", "minus")
-    return rounded(out.select("entity", "offense", "defense", "net"), "offense", "defense", "net", digits=4)
+    return rounded(out.select("entity", "offense", "defense", "net"), "offense", "defense", "net")
