@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, written
 
 
 def sample_table(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: int, most_chars: int, most_text: int = 1_000_000) -> tuple[DataFrame, dict[int, int]]:
-    """(h, doc_id, text, label) of at most per_class rows a class, and the number of allowed labelled rows a class.
+    """(h, doc_id, text, label) of at most per_class rows a class, and the number of allowed labelled documents a class.
 
     labels has doc_id and label (0 or 1, others are left out); allowed is a condition on doc_id.  The choice follows a
     hash of the id, so reruns agree and no order of the tables matters.  Texts are whole; one of more than most_text characters
@@ -20,10 +20,12 @@ def sample_table(docs: DataFrame, labels: DataFrame, allowed: Column, per_class:
     two labels count as the lesser one, ids with two texts have the lesser one.
     """
     one = labels.where(allowed & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    counts = {int(r["label"]): int(r["n"]) for r in one.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     order = F.md5(F.col("doc_id").cast("string").cast("binary"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_text)
-    there = one.join(texts.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = texts.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
+    there = written(one.join(sizes, "doc_id"), "labelled")
+    counts = {int(r["label"]): int(r["n"]) for r in there.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    there = there.where(F.col("n") <= most_text)
     chosen = None
     for label in (0, 1):
         part = there.where(F.col("label") == label).orderBy(order, "doc_id").limit(per_class)
@@ -36,11 +38,11 @@ def sample_table(docs: DataFrame, labels: DataFrame, allowed: Column, per_class:
 
 
 def both_classes(sample: list[tuple[str, int]], counts: dict[int, int]) -> bool:
-    """Whether the sample has both classes; an error if labels of both exist but the bounds left one without a text."""
+    """Whether the sample has both classes; an error if documents of both are labelled but the bounds left none of one."""
     if len({label for _, label in sample}) == 2:
         return True
     if all(counts.get(k) for k in (0, 1)):
-        raise ValueError(f"labels of both classes exist {counts}, but the sample within its bounds has not both")
+        raise ValueError(f"documents of both classes are labelled {counts}, but the sample within its bounds has not both")
     return False
 
 
