@@ -484,11 +484,18 @@ def kalman_filter(spark, sf_dir):
     return rounded(out.select("l_suppkey", "year", "predicted", "filtered", "filtered_variance"), "predicted", "filtered", "filtered_variance")
 
 
+def supplier_games(spark, sf_dir):
+    region = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("league"))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(region, "l_suppkey")
+    side = lambda k, c: F.min(F.when(F.col("l_linenumber") == k, F.struct("l_suppkey", "l_quantity", "l_shipdate")))[c]
+    games = lines.groupBy("league", "l_orderkey").agg(F.to_date(side(1, "l_shipdate")).alias("day"), side(1, "l_suppkey").alias("home"), side(2, "l_suppkey").alias("away"), (side(1, "l_quantity") - side(2, "l_quantity")).alias("margin"))
+    return games.where("home <> away").withColumn("season", F.year("day")).drop("l_orderkey")
+
+
 @query()
 def elo_batched(spark, sf_dir):
-    days = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.min("l_suppkey").alias("home"), F.max("l_suppkey").alias("away"), F.sum(F.when(F.col("l_returnflag") == "R", -1.0).otherwise(1.0)).alias("margin"))
-    games = days.where("home <> away").withColumns({"league": F.lit("all"), "season": F.year("day")})
-    return rounded(filters.elo(games, ["league"], "day", "season", "home", "away", "margin"), "home_before", "away_before")
+    """An order's first two lines are a game of their suppliers, if these are of one region, its league; quantities are the score."""
+    return rounded(filters.elo(supplier_games(spark, sf_dir), ["league"], "day", "season", "home", "away", "margin"), "home_before", "away_before")
 
 
 @query("""WITH RECURSIVE o AS (SELECT event_id, user_id, month(ts) AS s, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),

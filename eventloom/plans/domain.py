@@ -329,7 +329,7 @@ def changes_with_exits(spark, sf_dir):
     return rounded(ridge.with_exits(rows, ["l_suppkey"], "year", "quantity", "lines", 2001, 20.0, 0.25), "delta", digits=4)
 
 
-@query(f"""WITH {YEARS} SELECT 'smooth:' || a.l_suppkey || ':' || a.year AS row, a.l_suppkey, CAST(a.year + s AS INT) AS season, CAST(2 * s - 1 AS DOUBLE) AS val, 0.5 AS y, 3.0 AS weight FROM y a JOIN y b ON a.l_suppkey = b.l_suppkey AND b.year = a.year + 1, (SELECT unnest([0, 1]) AS s)""")
+@query(f"""WITH {YEARS} SELECT 'smooth:' || a.l_suppkey || ':' || a.year AS row, a.l_suppkey, CAST(a.year + s AS INT) AS season, CAST(2 * s - 1 AS DOUBLE) AS val, 0.5::DOUBLE AS y, 3.0::DOUBLE AS weight FROM y a JOIN y b ON a.l_suppkey = b.l_suppkey AND b.year = a.year + 1, (SELECT unnest([0, 1]) AS s)""")
 def smoothing_rows(spark, sf_dir):
     return ridge.smoothing_rows(supplier_years(spark, sf_dir), "l_suppkey", "year", F.lit(0.5), 3.0)
 
