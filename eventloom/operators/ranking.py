@@ -26,8 +26,8 @@ def leaderboard(df: DataFrame, where: Column, order: Sequence[Column], offset: i
 def rank_within(df: DataFrame, by: Sequence[str], value: str, eligible: Column, name: str = "rank", descending: bool = True) -> DataFrame:
     """Adds the least rank among eligible rows of the group; null for the others."""
     counts = df.where(eligible & F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    ranks = running_counts(counts, by, value, "_n", descending).select(*by, value, (F.col("_before") + 1).cast("long").alias("_rank"))
-    return df.join(ranks, [*by, value], "left").withColumn(name, F.when(eligible, F.col("_rank"))).drop("_rank")
+    ranks = running_counts(counts, by, value, "_n", descending).select(*by, value, (F.col("_before") + 1).cast("long").alias("_place"))
+    return df.join(ranks, [*by, value], "left").withColumn(name, F.when(eligible, F.col("_place"))).drop("_place")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -488,13 +488,13 @@ def supplier_games(spark, sf_dir):
     region = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("league"))
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(region, "l_suppkey")
     side = lambda k, c: F.min(F.when(F.col("l_linenumber") == k, F.struct("l_suppkey", "l_quantity", "l_shipdate")))[c]
-    games = lines.groupBy("league", "l_orderkey").agg(F.to_date(side(1, "l_shipdate")).alias("day"), side(1, "l_suppkey").alias("home"), side(2, "l_suppkey").alias("away"), (side(1, "l_quantity") - side(2, "l_quantity")).alias("margin"))
+    games = lines.groupBy("league", "l_orderkey").agg(F.to_date(F.date_trunc("week", side(1, "l_shipdate"))).alias("day"), side(1, "l_suppkey").alias("home"), side(2, "l_suppkey").alias("away"), (side(1, "l_quantity") - side(2, "l_quantity")).alias("margin"))
     return games.where("home <> away").withColumn("season", F.year("day")).drop("l_orderkey")
 
 
 @query()
 def elo_batched(spark, sf_dir):
-    """An order's first two lines are a game of their suppliers, if these are of one region, its league; quantities are the score."""
+    """An order's first two lines are a game of their suppliers, if these are of one region, its league; quantities are the score, and the games of a week are applied together."""
     return rounded(filters.elo(supplier_games(spark, sf_dir), ["league"], "day", "season", "home", "away", "margin"), "home_before", "away_before")
 
 
