@@ -188,6 +188,9 @@ def mixture(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
 
 
 def mix_digest(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """One row per row of docs: doc_id, keep, size, source_size, target, taken (words of all draws that the tree's leaves hold)."""
+    """One row per row of docs: doc_id, keep, size, source_size, target, taken (words of all draws that the tree's leaves hold) and
+    shards (those that the draws go to, copy by copy, comma-joined)."""
     dealt = F.filter("draws", lambda d: d["shard"].isNotNull())
-    return mixed(docs, **options).select("doc_id", *keep, "size", "source_size", "target", F.aggregate(dealt, F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"))
+    taken = F.aggregate(dealt, F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    shards = F.array_join(F.transform(dealt, lambda d: d["shard"].cast("string")), ",")
+    return mixed(docs, **options).select("doc_id", *keep, "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))

@@ -25,14 +25,32 @@ i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
-OP9 = f"""WITH s AS (SELECT doc_id, source, CAST(len({WORDS.format(TEXT)}) AS BIGINT) AS size, substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5({TEXT})), 1, 8) AS h FROM documents),
-t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM t),
+#: ln of the number of ways to choose {1} of {0}.
+CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+#: Probability of k marked ones among d of pop, of which m are marked.
+CHANCE = f"exp({CHOOSE.format('m', 'k')} + {CHOOSE.format('(pop - m)', '(d - k)')} - {CHOOSE.format('pop', 'd')})"
+OP9 = f"""WITH RECURSIVE s AS (SELECT doc_id, source, coalesce('=' || source, '') AS sk, CAST(len({WORDS.format(TEXT)}) AS BIGINT) AS size, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5({TEXT})), 1, 8) AS BIGINT) AS h FROM documents),
+t AS (SELECT source, sk, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM t),
 c AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(rank - 1) % 3 + 1] AS w, 3.0::DOUBLE * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM r),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM c),
-g AS (SELECT source, source_size, least(cap, (SELECT arg_min(lv, (cap / w, rank)) FROM l WHERE lv <= cap / w) * w) AS target FROM l),
-p AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
-b AS (SELECT *, CAST(round(target) AS BIGINT) - passes * source_size AS rest, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM b"""
+f AS (SELECT sk, source_size, least(cap, (SELECT arg_min(lv, (cap / w, rank)) FROM l WHERE lv <= cap / w) * w) AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes, CAST(greatest(1, ceil(source_size / 65536.0)) AS BIGINT) AS blocks FROM f),
+p AS (SELECT doc_id, s.sk, size, h, source_size, target, passes, blocks, (h * blocks) >> 32 AS block, CAST(round(target) AS BIGINT) - passes * source_size AS rest FROM s JOIN g ON s.sk = g.sk),
+b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY sk ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p),
+o AS (SELECT sk, block, coalesce(sum(sum(size)) OVER (PARTITION BY sk ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, any_value(rest) AS rest FROM p GROUP BY 1, 2),
+q AS (SELECT g.sk, CAST(any_value(passes) * any_value(blocks) + coalesce(max(block) FILTER (WHERE base < rest) + 1, 0) AS BIGINT) AS draws FROM g JOIN o ON o.sk = g.sk GROUP BY 1),
+z AS (SELECT list(sk ORDER BY sk) AS ks, list(draws ORDER BY sk) AS ds, greatest(4, CAST(ceil(log2(greatest(1.0, (SELECT sum(source_size) FROM g) / 67108864.0))) AS INT)) AS levels FROM q),
+e AS (SELECT 0 AS level, 0::BIGINT AS node, 1 AS i, ds AS q, list_sum(ds)::BIGINT AS pop, CAST(floor(list_sum(ds) / 2) AS BIGINT) AS d, []::BIGINT[] AS a FROM z WHERE len(ks) > 0
+ UNION ALL SELECT level + n.up, CASE WHEN n.up = 1 THEN node * 2 + side ELSE node END, CASE WHEN n.up = 1 THEN 1 ELSE i + 1 END, kids, CASE WHEN n.up = 1 THEN list_sum(kids)::BIGINT ELSE pop - m END, CASE WHEN n.up = 1 THEN CAST(floor(list_sum(kids) / 2) AS BIGINT) ELSE d - k END, CASE WHEN n.up = 1 THEN []::BIGINT[] ELSE list_append(a, k) END FROM (
+  SELECT y.*, side, CASE WHEN up = 0 THEN q WHEN side = 0 THEN list_append(a, k) ELSE [q[x] - list_append(a, k)[x] FOR x IN range(1, len(q) + 1)] END AS kids FROM (
+   SELECT x.*, CASE WHEN i = len(q) THEN 1 ELSE 0 END AS up, CASE WHEN high <= low THEN low ELSE least(high, low + len(list_filter([list_sum(list_slice(chances, 1, x)) FOR x IN range(1, len(chances) + 1)], lambda v: v < u))) END AS k FROM (
+    SELECT w.*, [{CHANCE} FOR k IN range(low, high + 1)] AS chances FROM (
+     SELECT v.*, greatest(0, d - (pop - m), CAST(floor(d * share - spread) AS BIGINT)) AS low, least(m, d, CAST(ceil(d * share + spread) AS BIGINT)) AS high FROM (
+      SELECT h.*, sqrt(d * share * (1 - share) * (pop - d) / greatest(pop - 1, 1)) * 9 + 9 AS spread FROM (
+       SELECT e.*, q[i] AS m, q[i] / greatest(pop, 1)::DOUBLE AS share, (CAST('0x' || substr(md5('17|' || level || '|' || node || '|' || ks[i]), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u FROM e, z WHERE level < levels) h) v) w) x) y, (SELECT unnest([0, 1]) AS side) WHERE up = 1 OR side = 0) n),
+j AS (SELECT ks[x] AS sk, node, q[x] AS n FROM e, z, (SELECT unnest(range(1, (SELECT len(ks) FROM z) + 1)) AS x) WHERE level = levels), k AS (SELECT sk, list(ends ORDER BY node) AS ends FROM (SELECT *, sum(n) OVER (PARTITION BY sk ORDER BY node) AS ends FROM j) GROUP BY 1),
+m AS (SELECT doc_id, size, source_size, target, passes, blocks, block, ends, greatest(0, least(size, rest - before)) AS part FROM b JOIN k ON k.sk = b.sk)
+SELECT doc_id, size, source_size, target, CAST(passes * size + part AS BIGINT) AS taken, array_to_string([len(list_filter(ends, lambda v: v <= y * blocks + block)) FOR y IN range(0, passes + CASE WHEN part > 0 THEN 1 ELSE 0 END)], ',') AS shards FROM m"""
 
 
 def op5(alpha: float = 0.01, delta: float = 0.05) -> str:

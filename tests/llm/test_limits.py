@@ -115,7 +115,6 @@ def test_certified_rules_reject_and_hold_on_other_labels(spark):
     rows = [row(i, i % 5 == 0) for i in range(6000)]
     figures = spark.createDataFrame(rows, "doc_id bigint, stratum string, n_words bigint, word_chars bigint, n_symbols bigint, n_upper bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint")
     labels = figures.select("doc_id", (F.col("doc_id") % 5 != 0).cast("int").alias("good"))
-    judged = quality_rules.judged  # noqa: F841  the operator itself is held against SQL; here the choice alone is
     cuts = quality_rules.certified_cutoffs(figures, labels.where("doc_id < 3000")).first()
     over = lambda r: any(value > cuts[f"cut_{name}"] for name, value in (("symbols", r[4] / r[3]), ("dup_lines", r[7] / r[6])) if cuts[f"cut_{name}"] is not None)
     other = [r for r in rows if r[0] >= 3000]
@@ -261,3 +260,49 @@ def test_stages_take_odd_rows(spark, sf_dir, odd, odd_rows, none, crowded, name)
         assert rows(out) == want
     else:
         assert rows(out) == texts  # nothing of it is in the benchmark
+
+
+# SQL -----------------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    def run(sf_dir, sql):
+        connection = duckdb.connect()
+        for t in ("documents", "labels", "benchmark"):
+            connection.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+        found = connection.execute(sql)
+        names = [d[0] for d in found.description]
+        order = sorted(range(len(names)), key=names.__getitem__)
+        return sorted(names), Counter(tuple(row[i] for i in order) for row in found.fetchall())
+
+    return run
+
+
+@pytest.mark.parametrize("name", ["op4_minhash_dedup", "op6_decontamination", "op9_mixing"])
+def test_queries_equal_their_sql(spark, sf_dir, duck, name):
+    got = q.queries()[name](spark, sf_dir)
+    names, want = duck(sf_dir, q.oracle_sql()[name])
+    assert sorted(got.columns) == names and Counter(map(tuple, got.select(*names).collect())) == want
+
+
+def test_active_rules_equal_their_sql(spark, duck):
+    """A looser bound, so that languages with a few dozen labels have rules."""
+    from eventloom.llm.oracles import op5
+
+    sf_dir = "/root/testdata/sf0.01"
+    labels = q.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("good"))
+    got = quality_rules.judged(q.table(spark, sf_dir, "documents"), labels, alpha=0.1, delta=0.5)
+    names, want = duck(sf_dir, op5(0.1, 0.5))
+    rows = Counter(map(tuple, got.select(*names).collect()))
+    assert rows == want and any(not r[names.index("base_failed")] and not r[names.index("kept")] for r in rows)
+
+
+def test_shards_are_the_leaves_of_the_tree(spark):
+    """Turning the tree off changes the query's result: the shards of the draws are the leaves' quotas."""
+    docs = spark.createDataFrame([(i, "a b c d", "xyz"[i % 3]) for i in range(600)], "doc_id bigint, text string, source string")
+    rows = mixing.mixed(docs, block_words=16, levels=3).select("source", "draws").collect()
+    per = Counter(d["shard"] for r in rows for d in r["draws"])
+    assert set(per) == set(range(8)) and mixing.mix_digest(docs, block_words=16, levels=3).select("shards").distinct().count() > 8
