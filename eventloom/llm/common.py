@@ -78,10 +78,12 @@ class Hot:
     """
 
     def __init__(self, counts: DataFrame, key: str, most: int = 2000, least: int = 64):
-        limit = max(least, (counts.agg(F.sum("n")).first()[0] or 0) // most)
-        found = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts"))
-        rows = found.collect()
-        self.key, self.parts = key, F.broadcast(counts.sparkSession.createDataFrame(rows, found.schema)) if rows else None
+        total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+        limit = max(least, (total or 0) // most)
+        self.key, self.parts = key, None
+        if (largest or 0) > limit:
+            found = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts"))
+            self.parts = F.broadcast(counts.sparkSession.createDataFrame(found.collect(), found.schema))
 
     def dealt(self, df: DataFrame, by: str) -> DataFrame:
         """df and _salt, a hash of the column `by` within the key's salts."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hangs its larger neighbours on the least node it knows."""
     both = _both(edges)
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(edges.where("u <> v").select("u", "v"), "edges")
     before = None
     for _ in range(most_rounds):
-        edges = written(_small_star(_large_star(edges)), "edges")
-        now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))).first())
+        seen = Observation()
+        step = _small_star(_large_star(edges)).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("digest"))
+        edges = written(step, "edges")
+        now = tuple(seen.get[x] for x in ("n", "digest"))  # gathered while writing
         if now == before or not now[0]:
             stars = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
             return stars.unionAll(stars.select(F.col("label").alias("node"), "label").distinct())

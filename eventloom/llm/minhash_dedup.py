@@ -277,15 +277,14 @@ def deduplicated(docs: DataFrame, *, percent: int = 85, stars: int = 1) -> DataF
 
     Rows that share an id, or have none, stay once for each text that is kept; an id that comes once needs no look at the text.
     """
-    rows = judged(docs, percent, stars).groupBy("doc_id", "node").agg(F.count("*").alias("_n"), F.max("kept").alias("_kept"))
-    rows = written(rows, "kept")
-    ids = rows.groupBy("doc_id").agg(F.sum("_n").alias("_copies"), F.max("_kept").alias("_kept")).where("_kept")
+    rows = written(judged(docs, percent, stars).select("doc_id", "node", F.col("kept").alias("_kept")), "kept")
+    ids = rows.groupBy("doc_id").agg(F.count("*").alias("_copies"), F.max("_kept").alias("_kept")).where("_kept")
     once = docs.join(ids.where("_copies = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
     several = written(ids.where("_copies > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "several")
     if not several.limit(1).count():
         return once
     rest = docs.join(several, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     keyed = row_map(rest, {"_node": "binary"}, set_keys, "text")
-    kept = rows.where("_kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_key"))
+    kept = rows.where("_kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_key")).distinct()
     keyed = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_node").eqNullSafe(F.col("_key")), "left_semi")
     return once.unionByName(keyed.select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id", "text"]))
