@@ -266,3 +266,23 @@ def test_the_rest_works_without_the_text_operators(tmp_path):
         n, m, text = said.stdout.split()
         assert int(n) > 100 and int(m) > 90 and text == "False"
         (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_lineup_replay_equals_a_plain_loop(spark, sf_dir):
+    years = defaultdict(lambda: defaultdict(set))
+    for r in catalog.table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("y"), "l_orderkey", "l_suppkey").collect():
+        years[r["y"]][r["l_orderkey"]].add(r["l_suppkey"])
+    want = []
+    for year, orders in years.items():
+        on = set(sorted(set().union(*orders.values()))[:5])
+        begun, n, ok = None, 0, len(on) == 5
+        for key in sorted(orders):
+            outs, ins = {p for p in orders[key] if p % 2}, {p for p in orders[key] if p % 2 == 0}
+            if len(outs) != len(ins) or not outs <= on or ins & on:
+                ok = False
+                continue
+            want.append((year, n, tuple(sorted(on)), begun, key, ok))
+            on, begun, n = (on - outs) | ins, key, n + 1
+        want.append((year, n, tuple(sorted(on)), begun, None, ok))
+    got = [(r["year"], r["stint"], tuple(r["players"]), r["start"], r["end"], r["ok"]) for r in catalog.lineup_replay(spark, sf_dir).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > len(years)
