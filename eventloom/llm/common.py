@@ -52,8 +52,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def settled(spark: SparkSession) -> None:
-    """Collect the driver's garbage after a step, at most every few seconds: only then does Spark remove the step's shuffle files and broadcasts."""
-    if time.monotonic() - _SETTLED[0] > 5:
+    """Collect the driver's garbage after a step, at most every second: only then does Spark remove the step's shuffle files and broadcasts."""
+    if time.monotonic() - _SETTLED[0] > 1:
         spark.sparkContext._jvm.System.gc()
         _SETTLED[0] = time.monotonic()
 
@@ -81,6 +81,7 @@ class Hot:
         total, largest = counts.agg(F.sum("n"), F.max("n")).first()
         limit = max(least, (total or 0) // most)
         self.key, self.parts = key, None
+        settled(counts.sparkSession)
         if (largest or 0) > limit:
             found = counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("_parts"))
             self.parts = F.broadcast(counts.sparkSession.createDataFrame(found.collect(), found.schema))

@@ -117,9 +117,7 @@ def sets(texts: list) -> list[list]:
 
 def estimate(a: Column, b: Column) -> Column:
     """The similarity from the share of equal bits, less the half that agrees by chance."""
-    unequal = F.lit(0)
-    for i in range(LANES // 64):
-        unequal = unequal + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    unequal = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     return 1 - 2 * unequal / LANES
 
 

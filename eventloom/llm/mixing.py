@@ -46,12 +46,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: float = 3.0) -> Data
 def leaf_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """From (source_key, draws), the splitting tree's leaves: (source_key, shard, n), n of the source's draws.
 
-    The tree holds one row a node with one number a source, never a document; it is written after every fourth level.
+    The tree holds one row a node with one number a source, never a document; it is written after every second level.
     """
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("source_key", F.col("draws").alias("n")))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
     for level in range(levels):
-        if level and level % 4 == 0:
-            node = written(node, "mix-tree")
+        if level and level % 2 == 0:
+            node = written(node, "mix-tree")  # keeps the plan small
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         start = F.struct(total.alias("population"), F.floor(total / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("left"))
 
