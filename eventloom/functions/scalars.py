@@ -144,6 +144,24 @@ def score_features(margin: Column, remaining: Column, total: float = PERIODS * P
     return {"margin": margin, "share_left": left / total, "pressure": margin / F.sqrt(left + 1), "late": margin * F.exp(-left / 300.0), "overtime": (remaining < 0).cast("int")}
 
 
+def seconds_to_play(remaining: Column, period_left: Column, overtime: Column) -> Column:
+    """What is left of regulation, or of the period in overtime; never below 0, null where the one that counts is null."""
+    left = F.when(holds(overtime), period_left).otherwise(remaining).cast("double")
+    return F.when(left.isNotNull(), F.greatest(left, F.lit(0.0)))
+
+
+def fading_features(strengths: dict[str, Column], to_play: Column, total: float = PERIODS * PERIOD_SECONDS) -> dict[str, Column]:
+    """Each pregame strength (rating gap, starters, form, rest) as it is and as it fades with the root of the time left."""
+    fade = F.sqrt(to_play / total)
+    return {k: v for name, c in strengths.items() for k, v in ((name, c), (f"{name}_remaining", c * fade))}
+
+
+def control_features(home_control: Column, elapsed: Column, to_play: Column, total: float = PERIODS * PERIOD_SECONDS) -> dict[str, Column]:
+    """Who has the ball (home 1, away -1, unknown null), its weight near the end, and its growth over regulation."""
+    sign = F.when(home_control, 1.0).when(~home_control, -1.0)
+    return {"control": sign, "control_pressure": sign / F.sqrt(to_play / 60.0 + 1), "control_late": sign * F.when(elapsed.isNotNull(), F.least(elapsed / total, F.lit(1.0)))}
+
+
 def neutral_probability(p: Column, mirrored: Column) -> Column:
     """The home side's probability with the home edge taken out."""
     return (p + 1 - mirrored) / 2

@@ -50,6 +50,19 @@ def state_features(spark, sf_dir):
     return rounded(out, "share_left", "pressure", "late", "neutral")
 
 
+@query("""WITH a AS (SELECT o_orderkey, o_orderkey % 3200 AS e, CAST(o_custkey % 41 - 20 AS DOUBLE) AS gap, CAST(o_custkey % 5 - 2 AS DOUBLE) AS rest, CASE o_orderstatus WHEN 'O' THEN 1.0 WHEN 'F' THEN -1.0 END AS c FROM orders),
+  b AS (SELECT *, CAST(CASE WHEN e > 2880 THEN 3180 - e ELSE 2880 - e END AS DOUBLE) AS r FROM a), d AS (SELECT *, greatest(r, 0) AS p FROM b)
+  SELECT o_orderkey, gap, round(gap * sqrt(p / 2880), 6) AS gap_remaining, rest, round(rest * sqrt(p / 2880), 6) AS rest_remaining, CAST(c AS DOUBLE) AS control, round(c / sqrt(p / 60 + 1), 6) AS control_pressure, round(c * least(e / 2880.0, 1), 6)::DOUBLE AS control_late FROM d""")
+def control_and_strength(spark, sf_dir):
+    """Pregame strengths that fade and control that grows with the clock; an order's status says who has the ball, if anyone."""
+    number = lambda c: F.expr(c).cast("double")
+    status, elapsed = F.col("o_orderstatus"), number("o_orderkey % 3200")
+    control = F.when(status == "O", True).when(status == "F", False)
+    to_play = s.seconds_to_play(2880 - elapsed, 3180 - elapsed, elapsed > 2880)
+    found = s.fading_features({"gap": number("o_custkey % 41 - 20"), "rest": number("o_custkey % 5 - 2")}, to_play) | s.control_features(control, elapsed, to_play)
+    return rounded(table(spark, sf_dir, "orders").select("o_orderkey", *[v.alias(k) for k, v in found.items()]), "gap_remaining", "rest_remaining", "control_pressure", "control_late")
+
+
 @query("""WITH a AS (SELECT o_orderkey, year(o_orderdate) AS y, CAST(o_orderdate AS DATE) AS d FROM orders) SELECT o_orderkey, CASE y WHEN 1999 THEN d BETWEEN DATE '1999-05-08' AND DATE '1999-06-25' ELSE d BETWEEN make_date(y, 4, 12) AND make_date(y, 6, 30) END AS in_playoffs FROM a""")
 def playoff_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", games.in_playoffs(F.year("o_orderdate"), F.to_date("o_orderdate")).alias("in_playoffs"))

@@ -401,3 +401,11 @@ def test_random_search_holds_groups_out(spark):
     df = spark.createDataFrame([(i % 20, x := rng.gauss(0, 1), 2 * x + rng.gauss(0, 0.1)) for i in range(300)], "g int, x double, y double")
     got = models.random_search(df, "g", 3, {"strength": [0.001, 100.0]}, 3, lambda train, c: models.weighted_ridge(train, ["x"], "y", None, c["strength"]), "y", seed=2)
     assert got[0][0]["strength"] == 0.001 and got[0][1] < 0.3
+
+
+def test_control_and_strength_features(spark):
+    rows = spark.createDataFrame([(1, 720.0, 100.0, False, 6.0, True, 2160.0), (2, -30.0, 0.0, True, 6.0, False, 3000.0), (3, None, 5.0, False, 6.0, None, None)], "i int, remaining double, left double, overtime boolean, gap double, home boolean, elapsed double")
+    to_play = s.seconds_to_play(F.col("remaining"), F.col("left"), F.col("overtime"))
+    found = {"to_play": to_play} | s.fading_features({"gap": F.col("gap")}, to_play) | s.control_features(F.col("home"), F.col("elapsed"), to_play)
+    got = [tuple(r) for r in rows.orderBy("i").select(*[F.round(c, 6).alias(k) for k, c in found.items()]).collect()]
+    assert got == [(720.0, 6.0, 3.0, 1.0, round(13**-0.5, 6), 0.75), (0.0, 6.0, 0.0, -1.0, -1.0, -1.0), (None, 6.0, None, None, None, None)]
