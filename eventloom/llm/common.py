@@ -66,8 +66,13 @@ def intermediates(spark: SparkSession):
         yield
     finally:
         for name in _OPEN.pop():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(spark, name)
+
+
+def removed(spark: SparkSession, name: str) -> None:
+    """Delete a table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 class Hot:

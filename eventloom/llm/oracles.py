@@ -77,5 +77,30 @@ def op5(alpha: float = 0.01, delta: float = 0.05) -> str:
     SELECT g.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM g LEFT JOIN c ON g.lang IS NOT DISTINCT FROM c.lang"""
 
 
+OP11 = f"""WITH d AS (SELECT doc_id, string_split({TEXT}, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (SELECT *, {LOWER.format("trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13))")} AS key FROM p),
+f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3), m AS (SELECT k.doc_id, i, l, coalesce(k.doc_id <> top, false) AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY 1"""
+
+OP12 = f"""WITH d AS (SELECT doc_id, {PLAIN_WORDS.format(LOWER.format(TEXT))} AS w FROM documents), b AS (SELECT item_id, {PLAIN_WORDS.format(LOWER.format(TEXT))} AS w FROM benchmark),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS nd, sum(len(w)) AS l FROM d), a AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(w) AS t FROM b) GROUP BY ALL),
+f AS (SELECT doc_id, any_value(n) AS n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY doc_id, t), g AS (SELECT t, CAST(floor(1000 * ln((2 * (SELECT nd FROM s) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f GROUP BY t),
+x AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l)))) AS BIGINT) AS score FROM a JOIN f USING (t) JOIN g USING (t), s GROUP BY 1, 2),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM x WHERE score > 0) SELECT * FROM r WHERE rank <= 20"""
+
+
+def op13(rounds: int = 6, parts: int = 8, entries: int = 16) -> str:
+    """Lloyd's rounds written out: assignments a0, a1, ... to codebooks c0, c1, ..."""
+    first = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0), u AS MATERIALIZED (SELECT id, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] AS x FROM v, range({parts}) AS r(p)),
+    c0 AS MATERIALIZED (SELECT p, id - 1 AS k, x AS c FROM u WHERE id <= {entries})"""
+    step = """, a{0} AS MATERIALIZED (SELECT id, p, any_value(x) AS x, arg_min(k, (e, k)) AS k, min(e) AS e FROM (SELECT u.id, u.p, k, x, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS e FROM u JOIN c{0} ON c{0}.p = u.p) GROUP BY 1, 2)"""
+    replace = """, s{0} AS (SELECT p, k, i, CAST(floor(CAST(sum(y) AS DOUBLE) / count(*)) AS BIGINT) AS y FROM (SELECT p, k, unnest(x) AS y, unnest(range(len(x))) AS i FROM a{0}) GROUP BY ALL),
+    c{1} AS MATERIALIZED (SELECT p, k, coalesce(n, c) AS c FROM c{0} LEFT JOIN (SELECT p, k, list(y ORDER BY i) AS n FROM s{0} GROUP BY 1, 2) USING (p, k))"""
+    return first + "".join(step.format(r) + replace.format(r, r + 1) for r in range(rounds)) + step.format(rounds) + f""", q AS (SELECT id, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, CAST(sum(e) AS BIGINT) AS error FROM a{rounds} GROUP BY 1),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM c{rounds})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN q USING (id), h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": OP4, "op5_quality_rules": op5(), "op6_decontamination": OP6, "op9_mixing": OP9}
+    return {"op4_minhash_dedup": OP4, "op5_quality_rules": op5(), "op6_decontamination": OP6, "op9_mixing": OP9, "op11_line_dedup": OP11, "op12_lexical_topk": OP12, "op13_vector_codes": op13()}

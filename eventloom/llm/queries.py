@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash_dedup, mixing, ppm, quality_knn, quality_rules, secrets, suffix_decontam, token_fst, toxicity_cnn, url_templates
+from . import lexical_topk, line_dedup, minhash_dedup, mixing, ppm, quality_knn, quality_rules, secrets, suffix_decontam, token_fst, toxicity_cnn, url_templates, vector_codes
 from .common import remainder
 from .oracles import oracle_sql
 
@@ -79,8 +79,22 @@ def op10_token_counts(spark, sf_dir):
     return token_fst.token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_line_dedup(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    index = line_dedup.LineIndex(spark).insert(docs)
+    return index.deduplicated(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_lexical_topk(spark, sf_dir):
+    return lexical_topk.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.encoded(table(spark, sf_dir, "embeddings"))
+
+
 __all__ = ["oracle_sql", "queries", "table"]
-OPERATORS = (op1_ppm_scores, op2_secret_scan, op3_url_templates, op4_minhash_dedup, op5_quality_rules, op6_decontamination, op7_quality_knn, op8_toxicity_cnn, op9_mixing, op10_token_counts)
+OPERATORS = (op1_ppm_scores, op2_secret_scan, op3_url_templates, op4_minhash_dedup, op5_quality_rules, op6_decontamination, op7_quality_knn, op8_toxicity_cnn, op9_mixing, op10_token_counts, op11_line_dedup, op12_lexical_topk, op13_vector_codes)
 
 
 def queries() -> dict:
