@@ -197,24 +197,29 @@ def replay_lineups(starters: DataFrame, moments: DataFrame, keys: Sequence[str],
     return both.select(*keys, "players", "moments").groupBy(*keys).applyInPandas(fold, schema)
 
 
+def backwards(order: Sequence[str]) -> list[Column]:
+    """The reverse of an ascending order: looking ahead is looking back there, which Spark does in one pass (a frame that ends behind the row is evaluated anew for each)."""
+    return [F.desc_nulls_last(c) for c in order]
+
+
 def owner_sequence(df: DataFrame, keys: Sequence[str], order: Sequence[str], anchor: Column) -> DataFrame:
     """Adds the owner of each row and how it is known: by its own anchor, the one before, or the next one.
 
     anchor: the owner where the row itself tells, else null.
     """
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(*backwards(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = df.withColumn("_a", anchor)
-    owner = F.coalesce("_a", F.last("_a", True).over(upto), F.first("_a", True).over(after))
-    how = F.when(F.col("_a").isNotNull(), "own").when(F.last("_a", True).over(upto).isNotNull(), "before").when(F.first("_a", True).over(after).isNotNull(), "after").otherwise("none")
+    owner = F.coalesce("_a", F.last("_a", True).over(upto), F.last("_a", True).over(after))
+    how = F.when(F.col("_a").isNotNull(), "own").when(F.last("_a", True).over(upto).isNotNull(), "before").when(F.last("_a", True).over(after).isNotNull(), "after").otherwise("none")
     return marked.withColumns({"owner": owner, "known_by": how}).drop("_a")
 
 
 def filled_between(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
     """A missing state is filled only if the one before and the one after agree."""
     upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    left, right = F.last(column, True).over(upto), F.first(column, True).over(after)
+    after = Window.partitionBy(*keys).orderBy(*backwards(order)).rowsBetween(Window.unboundedPreceding, -1)
+    left, right = F.last(column, True).over(upto), F.last(column, True).over(after)
     return df.withColumn(column, F.coalesce(F.col(column), F.when(left == right, left)))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,9 +64,12 @@ def disjoint_interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str
 
 
 def outside_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str], at: Column, start: str, end: str) -> DataFrame:
-    """Left rows that no interval holds."""
-    inside = reduce(lambda a, b: a & b, [F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys], (F.col(start) <= at) & (at < F.col(end)))
-    return left.alias("_l").join(right.alias("_r"), inside, "left_anti")
+    """Left rows that no interval holds: the latest end of all intervals that have begun is not behind them.  One sort of both sides; null ends hold nothing."""
+    spans = right.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end")).where("_end > _start")
+    both, _ = _beside(left, spans, keys, at, "_start")
+    upto = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("_last", F.max("_r._end").over(upto)).where("_side = 1")
+    return rows.where(F.col("_at").isNull() | F.col("_last").isNull() | (F.col("_at") >= F.col("_last"))).select("_l.*")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: str, left_at: str, right_at: str, ties: Sequence[str], tolerance: float) -> DataFrame:
@@ -77,10 +79,10 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     two sides together, so no pairs are formed.
     """
     both, rest = _beside(left, right.withColumn("_when", F.col(right_at)), keys, F.col(left_at), "_when")
-    own = lambda side: [F.desc(F.col(f"_r.{t}")) if side == "before" else F.asc(F.col(f"_r.{t}")) for t in ties]
-    upto = Window.partitionBy(*keys).orderBy("_at", "_side", *own("before")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy("_at", F.desc("_side"), *own("after")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumns({"_b": F.last("_r", True).over(upto), "_a": F.first("_r", True).over(after)}).where("_side = 1")
+    last = [F.desc(F.col(f"_r.{t}")) for t in ties]  # among equal times the least comes last, in either direction
+    upto = Window.partitionBy(*keys).orderBy("_at", "_side", *last).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_side", *last).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumns({"_b": F.last("_r", True).over(upto), "_a": F.last("_r", True).over(after)}).where("_side = 1")
     option = lambda x: F.when(F.abs(F.col("_at") - F.col(f"{x}._when")) <= tolerance, F.struct(F.abs(F.col("_at") - F.col(f"{x}._when")).alias("gap"), *[F.col(f"{x}.{t}").alias(f"_t{k}") for k, t in enumerate(ties)], F.col(x).alias("row")))
     best = found.withColumn("_best", F.least(option("_b"), option("_a"))).where("_best is not null")
     names = [c for c in left.columns if c != left_id]

@@ -32,6 +32,33 @@ def poisson_weight(u: Column, most: int = 12) -> Column:
     return out
 
 
+def poisson_hex(digits: Column) -> Column:
+    """A Poisson(1) count from six hexadecimal digits, compared as text with the edges of its distribution."""
+    out = F.lit(10)
+    for k, edge in reversed(list(enumerate(poisson_edges(10)))):
+        out = F.when(digits < F.lit(hex_edge(edge)), k).otherwise(out)
+    return out
+
+
+def hex_edge(edge: float) -> str:
+    return f"{math.floor(edge * (1 << 24)):06x}"
+
+
+def poisson_blocks(df: DataFrame, strata: Sequence[str], cluster: str, values: Sequence[str], repetitions: int, seed: int) -> DataFrame:
+    """(strata, draw, weight, values): sums over reweighted clusters, one row of df each; weight is the sum of the weights.
+
+    One md5 of (seed, block, strata, cluster) gives the weights of five draws, six digits each; a cluster's row is read once a block.
+    """
+    blocks = math.ceil(repetitions / 5)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_block").cast("string"), *[text(c) for c in (*strata, cluster)]).cast("binary")))
+    rows = rows.withColumns({f"_w{k}": poisson_hex(F.substring("_h", 6 * k + 1, 6)) for k in range(5)})
+    sums = rows.groupBy(*strata, "_block").agg(*[F.sum(f"_w{k}").alias(f"_n{k}") for k in range(5)], *[F.sum(F.col(f"_w{k}") * F.col(v)).alias(f"_v{k}_{i}") for k in range(5) for i, v in enumerate(values)])
+    each = F.explode(F.array(*[F.struct((F.col("_block") * 5 + k).alias("draw"), F.col(f"_n{k}").alias("weight"), *[F.col(f"_v{k}_{i}").alias(v) for i, v in enumerate(values)]) for k in range(5)]))
+    return sums.select(*strata, each.alias("_e")).select(*strata, "_e.*").where(F.col("draw") < repetitions)
+
+
 def cluster_draws(df: DataFrame, strata: Sequence[str], cluster: str, repetitions: int, seed: int) -> DataFrame:
     """(strata, cluster, draw, multiplicity): each draw reweights whole clusters; strata are drawn independently.
 

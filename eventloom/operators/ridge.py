@@ -23,11 +23,11 @@ from .resample import poisson_weight, unit
 MOST_COLUMNS = 8_000
 
 
-def lineup_design(df: DataFrame, row: str, blocks: Mapping[str, Column], home: Column | None = None) -> DataFrame:
-    """(row, block, entity, val): 1 for each member of a block's array; home, if given, in a block of its own."""
+def lineup_design(df: DataFrame, row: str, blocks: Mapping[str, Column], home: Column | None = None, numbers: Mapping[str, Column] | None = None) -> DataFrame:
+    """(row, block, entity, val): 1 for each member of a block's array; home and other numbers (a running margin, rest, a playoff flag), if given, are blocks of their own."""
     parts = [_members(name, members) for name, members in blocks.items()]
-    if home is not None:
-        parts.append(F.array(F.struct(F.lit("home").alias("block"), F.lit("home").alias("entity"), home.cast("double").alias("val"))))
+    for name, value in {**({} if home is None else {"home": home}), **(numbers or {})}.items():
+        parts.append(F.array(F.struct(F.lit(name).alias("block"), F.lit(name).alias("entity"), value.cast("double").alias("val"))))
     return df.select(row, F.explode(F.concat(*parts)).alias("_e")).select(row, "_e.*").where("val <> 0 and entity is not null")
 
 
@@ -94,8 +94,49 @@ class NormalEquations:
     def __add__(self, other: NormalEquations) -> NormalEquations:
         return NormalEquations(self.columns, self.gram + other.gram, self.xy + other.xy, self.exposure + other.exposure, self.n + other.n, self.y_sum + other.y_sum, self.yy + other.yy)
 
-    def penalty(self, penalties: Mapping[str, float]) -> np.ndarray:
-        return np.array([penalties[b] for b, _ in self.columns])
+    def penalty(self, penalties: Mapping[str, float] | np.ndarray) -> np.ndarray:
+        """The penalty of each coefficient, from one a block or one a coefficient (such as error variance over prior variance)."""
+        return penalties if isinstance(penalties, np.ndarray) else np.array([penalties[b] for b, _ in self.columns])
+
+    def with_prior(self, penalties: Mapping[str, float] | np.ndarray, prior: np.ndarray, mode: str, strength: float = 1.0, confidence: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+        """(coefficients, intercept) with a prior used in one of four ways.
+
+        zero: not at all.  target: the penalty pulls towards strength * prior.  offset: what strength * prior predicts is taken off the response, the
+        rest is fitted towards zero and the prior is added back.  dummy: each coefficient has a pseudo-row of its prior, which counts as `confidence`
+        rows (a number a coefficient) beside the penalty towards zero.
+        """
+        if mode == "zero":
+            return self.solve(penalties)
+        if mode == "target":
+            return self.solve(penalties, prior, strength)
+        d, own = self.penalty(penalties), strength * prior
+        if mode == "offset":
+            rest = self.y_sum - self.exposure @ own
+            mean = rest / self.n if self.n else 0.0
+            return own + np.linalg.solve(self.gram + np.diag(d), self.xy - self.gram @ own - mean * self.exposure), mean
+        if mode == "dummy" and confidence is not None:
+            mean = self.y_sum / self.n if self.n else 0.0
+            return np.linalg.solve(self.gram + np.diag(d + confidence), self.xy - mean * self.exposure + confidence * own), mean
+        raise ContractError(f"no prior mode {mode!r}, or no confidence")
+
+    def prior_center(self, priors: Mapping[tuple[str, str], float], blocks: Sequence[str], per: float = 100.0, test_exposure: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
+        """(prior coefficients, coverage): ratings per `per` rows become coefficients, and each block's exposure-weighted mean is taken off.
+
+        Entities without a rating stay at 0, the mean.  coverage: the share of each block's exposure (and of a test set's) that has a rating.
+        """
+        center, coverage = np.zeros(len(self.columns)), {}
+        has = np.array([c in priors for c in self.columns])
+        for block in blocks:
+            own = np.array([b == block for b, _ in self.columns])
+            rated = own & has
+            values = np.array([priors[c] / per for c, r in zip(self.columns, rated, strict=True) if r])
+            if self.exposure[rated].sum() > 0:
+                values = values - np.average(values, weights=self.exposure[rated])
+            center[rated] = values
+            coverage[block] = float(self.exposure[rated].sum() / self.exposure[own].sum()) if self.exposure[own].sum() else 0.0
+            if test_exposure is not None:
+                coverage[f"{block}_test"] = float(test_exposure[rated].sum() / test_exposure[own].sum()) if test_exposure[own].sum() else 0.0
+        return center, coverage
 
     def solve(self, penalties: Mapping[str, float], center: np.ndarray | None = None, scale: float = 1.0) -> tuple[np.ndarray, float]:
         """(coefficients, intercept) of ridge towards scale * center, on the response less its mean."""
