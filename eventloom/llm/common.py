@@ -9,10 +9,11 @@ import shutil
 import tempfile
 import time
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,12 +53,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def settled(spark: SparkSession) -> None:
-    """Collect the driver's garbage after a step, at most every second: only then does Spark remove the step's shuffle files and broadcasts."""
+    """After a step, at most every second: collect the driver's garbage, as only then Spark removes the step's shuffle files and broadcasts, and give freed memory back.
+
+    The driver's many short-lived threads leave freed native memory with the C library's allocator, which keeps it; after a few hundred jobs that is as much as the heap in
+    use.  A JVM without the command for it keeps the memory; nothing else changes.
+    """
     if time.monotonic() - _SETTLED[0] > 1:
-        spark.sparkContext._jvm.System.gc()
+        jvm = spark.sparkContext._jvm
+        jvm.System.gc()
+        with suppress(Py4JError):
+            trim_native_memory(spark)
         _SETTLED[0] = time.monotonic()
 
 
+def trim_native_memory(spark: SparkSession) -> None:
+    """What `jcmd System.trim_native_heap` does, in the driver itself: the diagnostic command's bean, called by its public interface."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds = array(jvm.java.lang.Class, 4)
+    kinds[0], kinds[1], kinds[2], kinds[3] = named("javax.management.ObjectName"), named("java.lang.String"), named("[Ljava.lang.Object;"), named("[Ljava.lang.String;")
+    values = array(jvm.Object, 4)
+    values[0], values[1], values[2], values[3] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", array(jvm.Object, 0), array(jvm.String, 0)
+    named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+
+
 @contextmanager
 def intermediates(spark: SparkSession):
     """Tables written within the block are deleted at its end; what is read later must be written by other means."""
