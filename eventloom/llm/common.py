@@ -41,12 +41,12 @@ _OPEN: list[list[str]] = []
 _SETTLED = [0.0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder once and read the table back."""
+def written(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Cut the lineage: write to the shared folder once and read the table back.  outer: it outlives the innermost block of intermediates()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/eventloom/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    for paths in _OPEN[-1:]:
+    for paths in _OPEN[-2:-1] if outer else _OPEN[-1:]:
         paths.append(path)
     settled(spark)
     return spark.read.schema(df.schema).parquet(path)

@@ -253,7 +253,8 @@ def _by_shard(filters: DataFrame, keys: DataFrame, each, schema: str) -> DataFra
         if held is not None:
             yield from held.end()
 
-    return both.repartition("shard").sortWithinPartitions("shard", "_kind").mapInArrow(run, schema)
+    # by a hash of the shard: above a join on the shard itself, a repartition by it would be left out, and the join may be replaced at run time
+    return both.repartition(F.xxhash64("shard")).sortWithinPartitions("shard", "_kind").mapInArrow(run, schema)
 
 
 class _held:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hot, row_map, words, written
+from .common import Hot, intermediates, row_map, words, written
 from .graph import components
 
 SHINGLE, ROWS = 5, 5
@@ -35,6 +35,7 @@ MISS, MOST_BANDS = 5e-7, 512
 LANES = 2048  # one bit each
 BLOCK = 1024
 CENTRES = 3
+TRIED = 2
 _RANDOM = np.random.default_rng(20260)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LANE_A = _RANDOM.integers(1, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -190,11 +191,15 @@ class Links:
         return both.where(100 * common >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def stars(self) -> DataFrame:
-        """For each class, the most similar centre of its buckets, confirmed; every bucket has up to CENTRES centres."""
+        """For each class, the more similar of the TRIED centres that it shares most buckets with, confirmed; every bucket has up to CENTRES centres.
+
+        A class and a centre share a bucket as often as they are similar, so that count tells which centres to compare; a link that this passes over is left to rest().
+        """
         least = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))["node"] for k in range(CENTRES)]
         centres = self.members.groupBy("bucket").agg(F.array_distinct(F.array(*least)).alias("centres"))
         pairs = self.members.join(self.hot.copied(centres), ["bucket", "_salt"]).select(F.col("node").alias("a"), F.explode("centres").alias("b")).where("a <> b")
-        pairs = written(pairs.distinct(), "star-pairs")
+        shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "b")), False).alias("_c"))  # at most CENTRES a bucket of a class
+        pairs = written(shared.select("a", F.explode(F.slice("_c", 1, TRIED)).alias("_c")).select("a", "_c.b"), "star-pairs")
         hot = Hot(pairs.groupBy("b").agg(F.count("*").alias("n")), "b")
         best = self.near(pairs, hot).groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b"))
         return written(self.confirmed(best, hot), "links")
@@ -247,21 +252,22 @@ def judged(docs: DataFrame, percent: int, stars: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = row_map(docs, {"n": "bigint", "node": "binary", "buckets": "array<bigint>"}, partial(sketches, bands=bands_for(percent)), "text")
     found = written(found.drop("text"), "sketches")
-    one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("buckets").alias("buckets"), F.count("*").alias("rows"))
-    classes = written(one, "classes")
-    links = Links(docs, classes.where("min_id is not null"), percent)
-    labels = links.sets.select("node", F.col("node").alias("label"))
-    if stars:
-        so_far = components(links.stars())
-        labels = written(labels.select("node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-    edges = links.rest(labels)
-    if edges.limit(1).count():
-        named = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
-        merged = components(edges.join(named("u", "x"), "u").join(named("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        labels = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    ids = classes.select("node", "min_id", "rows").join(labels, "node", "left")
-    least = ids.where("label is not null").groupBy("label").agg(F.min("min_id").alias("least"))
-    ids = written(ids.join(least, "label", "left").select("node", "rows", F.coalesce("least", "min_id").alias("component")), "components")
+    with intermediates(docs.sparkSession):  # sets, pairs and links go as soon as the components are written
+        one = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("min_id"), F.first("buckets").alias("buckets"), F.count("*").alias("rows"))
+        classes = written(one, "classes")
+        links = Links(docs, classes.where("min_id is not null"), percent)
+        labels = links.sets.select("node", F.col("node").alias("label"))
+        if stars:
+            so_far = components(links.stars())
+            labels = written(labels.select("node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
+        edges = links.rest(labels)
+        if edges.limit(1).count():
+            named = lambda x, y: labels.select(F.col("node").alias(x), F.col("label").alias(y))
+            merged = components(edges.join(named("u", "x"), "u").join(named("v", "y"), "v").select(F.col("x").alias("u"), F.col("y").alias("v")))
+            labels = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        ids = classes.select("node", "min_id", "rows").join(labels, "node", "left")
+        least = ids.where("label is not null").groupBy("label").agg(F.min("min_id").alias("least"))
+        ids = written(ids.join(least, "label", "left").select("node", "rows", F.coalesce("least", "min_id").alias("component")), "components", outer=True)
     hot = Hot(ids.select("node", F.col("rows").alias("n")), "node")
     rows = found.select("doc_id", "n", "node")
     out = hot.dealt(rows.where("node is not null"), "doc_id").join(hot.copied(ids.drop("rows")), ["node", "_salt"]).select("doc_id", "n", "node", "component")
@@ -275,7 +281,8 @@ def deduplicated(docs: DataFrame, *, percent: int = 85, stars: int = 1) -> DataF
 
     Rows that share an id, or have none, stay once for each text that is kept; an id that comes once needs no look at the text.
     """
-    rows = written(judged(docs, percent, stars).select("doc_id", "node", F.col("kept").alias("_kept")), "kept")
+    with intermediates(docs.sparkSession):
+        rows = written(judged(docs, percent, stars).select("doc_id", "node", F.col("kept").alias("_kept")), "kept", outer=True)
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("_copies"), F.max("_kept").alias("_kept")).where("_kept")
     once = docs.join(ids.where("_copies = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
     several = written(ids.where("_copies > 1 or doc_id is null").select(F.col("doc_id").alias("_id")), "several")
