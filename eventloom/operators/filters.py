@@ -21,6 +21,15 @@ def with_fields(df: DataFrame, columns: Sequence[str], **more) -> StructType:
     return StructType([*(df.schema[c] for c in columns), *(StructField(k, v) for k, v in more.items())])
 
 
+def dealt_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df with all rows of a key in one partition, whatever df is made of.
+
+    By a hash of the keys, not by the keys: Spark leaves a repartition by keys out if a join or a union below seems to be dealt by them already, and may then
+    replace that join by another at run time, which deals the rows in another way.  An operator in Python states no need of its own, so nothing would restore it.
+    """
+    return df.repartition(F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
+
+
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Callable, step: Callable, new: StructType) -> DataFrame:
     """df and new columns: step(state, values) -> (state, new values) over each key's rows in order, from start().
 
@@ -43,7 +52,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
             added = [pa.array(x, arrow.field(f.name).type) for f, x in zip(new.fields, zip(*out, strict=True), strict=True)] if out else [pa.array([], arrow.field(f.name).type) for f in new.fields]
             yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(i).type) for i, c in enumerate(batch.columns)), *added], schema=arrow)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt_by(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def doubles(*names: str) -> StructType:

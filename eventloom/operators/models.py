@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, FeatureHasher, Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ContractError
+from .rates import quantiles
 
 
 def chronological_split(df: DataFrame, key: str, date: str, share: float) -> DataFrame:
@@ -87,11 +90,19 @@ def prediction(model: PipelineModel, df: DataFrame, name: str = "predicted") ->
     return model.transform(df).withColumnRenamed("prediction", name).select(*df.columns, name)
 
 
-def out_of_fold(df: DataFrame, fold: str, folds: Iterable, fit_one: Callable[[DataFrame], PipelineModel], name: str = "predicted") -> DataFrame:
-    """Every row predicted by a model that has not seen its fold."""
+def stored(df: DataFrame, path: str | None, name: str) -> DataFrame:
+    """df through a table below path, so that what follows reads results and plans stay short; without a path df itself."""
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def out_of_fold(df: DataFrame, fold: str, folds: Iterable, fit_one: Callable[[DataFrame], PipelineModel], name: str = "predicted", path: str | None = None) -> DataFrame:
+    """Every row predicted by a model that has not seen its fold; with a path each fold's predictions are written there."""
     out = None
-    for k in folds:
-        part = prediction(fit_one(df.where(F.col(fold) != k)), df.where(F.col(fold) == k), name)
+    for i, k in enumerate(folds):
+        part = stored(prediction(fit_one(df.where(F.col(fold) != k)), df.where(F.col(fold) == k), name), path, f"fold-{i}")
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ContractError("no folds")
@@ -162,16 +173,171 @@ def stable_cluster_count(panel: DataFrame, numbers: Sequence[str], counts: Seque
     return sorted(out, key=lambda r: (not r["stable"], -r["silhouette"], r["k"]))
 
 
-def stacked(df: DataFrame, fold: str, folds: Sequence, keys: Sequence[str], bases: dict[str, Callable[[DataFrame], PipelineModel]], meta: Callable[[DataFrame, list[str]], PipelineModel], label: str, name: str = "predicted") -> DataFrame:
-    """keys, fold, label, one out-of-fold column a base model, and the stack's prediction of them.
+def stacked(df: DataFrame, fold: str, folds: Sequence, keys: Sequence[str], bases: dict[str, Callable[[DataFrame], PipelineModel]], meta: Callable[[DataFrame, list[str]], PipelineModel], label: str, name: str = "predicted", path: str | None = None) -> DataFrame:
+    """keys, fold, label, one column a base model and the stack's prediction, all out of fold on both levels.
+
+    The stack that predicts fold k is trained on the other folds' rows, and a row of fold j there has its base columns from models fitted without the rows of both j and
+    k; the rows of k have theirs from models fitted without k.  So no label of k reaches the stack that predicts it.  A model without two folds serves both of them:
+    n (n + 1) / 2 fits a base model.  With a path predictions are written there, so no plan holds more than one model.
+    """
+    folds = list(folds)
+    if len(folds) < 3:
+        raise ContractError("nested folds need three folds or more")
+    parts: dict = {k: [] for k in folds}
+    for i, k in enumerate(folds):
+        for j in folds[i:]:
+            rest, held = df.where(~F.col(fold).isin([j, k])), df.where(F.col(fold).isin([j, k]))
+            columns = held
+            for base, fit_one in bases.items():
+                columns = prediction(fit_one(rest), columns, base)
+            found = stored(columns.select(*keys, fold, label, *bases), path, f"without-{i}-{folds.index(j)}")
+            if j == k:
+                parts[k].append(found)
+            else:  # for the stack of k the rows of j, and the other way round
+                parts[k].append(found.where(F.col(fold) == j))
+                parts[j].append(found.where(F.col(fold) == k))
+    out = None
+    for i, k in enumerate(folds):
+        rows = reduce(DataFrame.unionByName, parts[k])
+        model = meta(rows.where(F.col(fold) != k), list(bases))
+        part = stored(prediction(model, rows.where(F.col(fold) == k), name), path, f"stack-{i}")
+        out = part if out is None else out.unionByName(part)
+    return out
 
-    Both levels are out of fold: the stack that predicts a fold has seen neither its rows nor a base model fitted on them
-    in its own training columns.
+
+class HashedLogistic:
+    """Multinomial (or two-class) logistic regression over hashed one-hot categories and standardised numbers.
+
+    Categories of any number share `buckets` columns, so no dictionary of ids is gathered; an id that was not trained on has its bucket's weight, which is 0 unless it
+    collides.  Each step's gradient is added up over the rows by a tree of tasks.
+    """
+
+    def __init__(self, categories: Sequence[str], numbers: Sequence[str], label: str, buckets: int = 1 << 18, strength: float = 1e-5, rounds: int = 100, tolerance: float = 1e-6):
+        self.categories, self.numbers, self.label, self.buckets, self.strength, self.rounds, self.tolerance = list(categories), list(numbers), label, buckets, strength, rounds, tolerance
+
+    def fit(self, train: DataFrame) -> HashedLogistic:
+        """The classes are the labels' values in order, few of them; numbers are standardised by the training rows."""
+        self.classes = [r[0] for r in train.where(F.col(self.label).isNotNull()).select(self.label).distinct().orderBy(self.label).collect()]
+        if len(self.classes) < 2:
+            raise ContractError("one class is none to tell apart")
+        row = train.agg(*[f(c).alias(f"{n}_{c}") for c in self.numbers for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if self.numbers else {}
+        self.scale = {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in self.numbers}
+        model = LogisticRegression(labelCol="_label", featuresCol="features", family="multinomial", regParam=self.strength, maxIter=self.rounds, tol=self.tolerance, standardization=False, aggregationDepth=3)
+        self.model = model.fit(self._ready(train.where(F.col(self.label).isNotNull())))
+        self.iterations, self.converged = self.model.summary.totalIterations, self.model.summary.totalIterations < self.rounds
+        return self
+
+    def _ready(self, df: DataFrame) -> DataFrame:
+        label = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(self.label)) - 1
+        rows = df.withColumns({"_label": label.cast("double"), **{f"_c_{c}": F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.categories}, **{f"_n_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / d for c, (m, d) in self.scale.items()}})
+        hashed = FeatureHasher(inputCols=[f"_c_{c}" for c in self.categories], outputCol="_hashed", numFeatures=self.buckets, categoricalCols=[f"_c_{c}" for c in self.categories]).transform(rows)
+        return VectorAssembler(inputCols=["_hashed", *[f"_n_{c}" for c in self.numbers]], outputCol="features").transform(hashed)
+
+    def probabilities(self, df: DataFrame, name: str = "p") -> DataFrame:
+        """df and an array of the classes' probabilities, in the order of `classes`."""
+        return self.model.transform(self._ready(df)).withColumn(name, vector_to_array("probability")).select(*df.columns, name)
+
+    def losses(self, df: DataFrame) -> DataFrame:
+        """df with loss (-log of the label's probability, at most that of 1e-15) and squared (the Brier score over classes); rows with a label that was not trained on have null."""
+        at = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(self.label))
+        own = F.when(at > 0, F.element_at("_p", F.greatest(at, F.lit(1)).cast("int")))
+        squared = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x * x) - 2 * own + 1
+        return self.probabilities(df, "_p").withColumns({"loss": -F.log(F.greatest(own, F.lit(1e-15))), "squared": F.when(own.isNotNull(), squared)}).drop("_p")
+
+
+def added_signal(panel: DataFrame, is_train: str, cluster: str, categories: Sequence[str], extra: Sequence[str], numbers: Sequence[str], label: str, draws: int = 200, seed: int = 7, **options) -> DataFrame:
+    """(model, rows, log_loss, brier, iterations, converged, better): whether `extra` categories tell more, on rows that are not trained on.
+
+    better: the share of draws of whole clusters (games) in which the larger model's summed loss is the lesser one; null for the smaller model.
+    """
+    from .resample import poisson_blocks
+
+    train, test = panel.where(F.col(is_train)), panel.where(~F.col(is_train))
+    fits = [HashedLogistic([*categories, *more], numbers, label, **options).fit(train) for more in ((), tuple(extra))]
+    scored = fits[1].losses(fits[0].losses(test).withColumnsRenamed({"loss": "_loss0", "squared": "_squared0"})).where("loss is not null and _loss0 is not null")
+    sums = scored.groupBy(cluster).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("_loss0", "_squared0", "loss", "squared")])
+    total = sums.agg(*[F.sum(c).alias(c) for c in ("n", "_loss0", "_squared0", "loss", "squared")]).first()
+    drawn = poisson_blocks(sums.withColumn("d", F.col("loss") - F.col("_loss0")), [], cluster, ["d"], draws, seed)
+    better = drawn.agg(F.avg((F.col("d") < 0).cast("double"))).first()[0]
+    n = total["n"] or 0
+    rows = [(kind, n, total[a] / n if n else None, total[b] / n if n else None, f.iterations, f.converged, p) for kind, f, a, b, p in (("smaller", fits[0], "_loss0", "_squared0", None), ("larger", fits[1], "loss", "squared", better))]
+    return panel.sparkSession.createDataFrame(rows, "model string, rows long, log_loss double, brier double, iterations int, converged boolean, better double")
+
+
+def residual_projection(transitions: DataFrame, origin: str, base: Column, target: str, basis: Sequence[str], weight: str, strength: float, first: int) -> DataFrame:
+    """transitions with base and predicted: an AR(1) base and a ridge of what it leaves on an age basis, each origin from earlier ones only.
+
+    A fit for origin s uses rows with origin < s - 1, whose targets lie before s; basis columns are standardised by their unweighted mean and deviation over those
+    rows, the ridge is weighted and its intercept free.  Sums by origin are added up over time, so the rows are read once; origins before `first` or with fewer than two earlier
+    rows have the base alone.
+    """
+    rows = transitions.withColumn("base", base).withColumn("_r", F.col(target) - F.col("base"))
+    usable = rows.where(F.col("_r").isNotNull() & (F.col(weight) > 0))
+    for c in basis:
+        usable = usable.where(F.col(c).isNotNull())
+    names = list(basis)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    w = F.col(weight)
+    sums = usable.groupBy(origin).agg(
+        F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * F.col("_r")).alias("wr"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)], *[F.sum(F.col(c) * F.col(c)).alias(f"q{i}") for i, c in enumerate(names)],
+        *[F.sum(w * F.col(c)).alias(f"wx{i}") for i, c in enumerate(names)], *[F.sum(w * F.col(c) * F.col("_r")).alias(f"wxr{i}") for i, c in enumerate(names)], *[F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"wxx{i}_{j}") for i, j in pairs],
+    )
+    by = {r[origin]: r.asDict() for r in sums.collect()}  # one row a season
+    fits = []
+    for s in sorted(r[0] for r in rows.select(origin).distinct().collect() if r[0] is not None):
+        own = [r for o, r in by.items() if o < s - 1]
+        total = lambda k: float(sum(r[k] for r in own))  # noqa: E731, B023
+        if s < first or total("n") < 2:
+            continue
+        n, sw, wr = total("n"), total("w"), total("wr")
+        mean = np.array([total(f"s{i}") / n for i in range(len(names))])
+        sd = np.sqrt(np.maximum([total(f"q{i}") / n - mean[i] ** 2 for i in range(len(names))], 0.0))
+        sd[sd < 1e-12] = 1.0
+        center, slopes = np.array([total(f"wx{i}") / sw for i in range(len(names))]), np.array([total(f"wxr{i}") for i in range(len(names))])
+        gram = np.zeros((len(names),) * 2)
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = total(f"wxx{i}_{j}") - sw * center[i] * center[j]
+        beta = np.linalg.solve(gram / np.outer(sd, sd) + strength * np.eye(len(names)), (slopes - center * wr) / sd) / sd
+        fits.append((s, float(wr / sw - beta @ center), [float(b) for b in beta]))
+    kind = transitions.schema[origin].dataType.simpleString()
+    table = transitions.sparkSession.createDataFrame(fits, f"{origin} {kind}, _a double, _b array<double>")
+    both = rows.join(F.broadcast(table), origin, "left")  # one row a season
+    fit = F.col("_a") + sum((F.col("_b")[i] * F.col(c) for i, c in enumerate(names)), F.lit(0.0))
+    return both.withColumn("predicted", F.col("base") + F.coalesce(fit, F.lit(0.0))).drop("_r", "_a", "_b")
+
+
+def spline_basis(x: Column, knots: Sequence[float], degree: int = 3, name: str = "spline") -> list[Column]:
+    """B-spline basis of a column as expressions: len(knots) + degree - 1 columns that are not negative and sum to 1; beyond the outer knots x counts as the knot.
+
+    knots: ascending, the outer ones included; see exact_knots.
     """
-    out = df.select(*keys, fold, label)
-    for base, fit_one in bases.items():
-        out = out.join(out_of_fold(df, fold, folds, fit_one, base).select(*keys, base), list(keys))
-    return out_of_fold(out, fold, folds, lambda train: meta(train, list(bases)), name)
+    if len(knots) < 2 or any(a >= b for a, b in zip(knots, knots[1:], strict=False)):
+        raise ContractError("knots must rise")
+    full = [knots[0]] * degree + [float(k) for k in knots] + [knots[-1]] * degree
+    at = F.greatest(F.lit(float(knots[0])), F.least(F.lit(float(knots[-1])), x.cast("double")))
+    last = max(i for i in range(len(full) - 1) if full[i] < full[i + 1])
+    level = [((at >= full[i]) & ((at <= full[i + 1]) if i == last else (at < full[i + 1]))).cast("double") if full[i] < full[i + 1] else F.lit(0.0) for i in range(len(full) - 1)]
+    for d in range(1, degree + 1):
+        part = lambda i, d=d: (at - full[i]) / (full[i + d] - full[i]) if full[i + d] > full[i] else F.lit(0.0)
+        rest = lambda i, d=d: (full[i + d + 1] - at) / (full[i + d + 1] - full[i + 1]) if full[i + d + 1] > full[i + 1] else F.lit(0.0)
+        level = [part(i) * level[i] + rest(i) * level[i + 1] for i in range(len(level) - 1)]
+    return [c.alias(f"{name}_{i}") for i, c in enumerate(level)]
+
+
+def exact_knots(df: DataFrame, column: str, count: int) -> list[float]:
+    """Distinct exact quantiles at equal steps, the ends included."""
+    steps = {f"q{i}": i / (count - 1) for i in range(count)}
+    row = quantiles(df.select(column), (), column, steps).first()
+    return sorted({float(row[q]) for q in steps if row is not None and row[q] is not None})
+
+
+def spline_logistic(train: DataFrame, splined: dict[str, Sequence[float]], numbers: Sequence[str], label: str, strength: float = 1e-4) -> Callable[[DataFrame], DataFrame]:
+    """A logistic regression on spline bases of some columns (name: knots) and standardised others; returns a function that adds p."""
+    bases = {c: [b.alias(f"{c}_{i}") for i, b in enumerate(spline_basis(F.col(c), k, name=c))] for c, k in splined.items()}
+    names = [f"{c}_{i}" for c, own in bases.items() for i in range(len(own) - 1)]  # they sum to 1, as the intercept does
+    wide = lambda df: df.select("*", *[b for own in bases.values() for b in own[:-1]])
+    model = win_probability(wide(train), [*names, *numbers], label, strength)
+    return lambda df: probability(model, wide(df)).drop(*names)
 
 
 def random_search(df: DataFrame, group: str, folds: int, options: dict[str, Sequence], tries: int, fit_one: Callable[[DataFrame, dict], PipelineModel], label: str, seed: int = 0) -> list[tuple[dict, float]]:

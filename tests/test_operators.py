@@ -335,13 +335,14 @@ def test_chronological_split_keeps_games_whole(spark):
     assert got.where("is_train").select("g").distinct().count() == 6 and got.groupBy("g").agg(F.count_distinct("is_train").alias("n")).where("n > 1").count() == 0
 
 
-def test_models_learn(spark):
+def test_models_learn(spark, tmp_path):
     rng = random.Random(2)
     rows = []
     for i in range(800):
         x, z = rng.gauss(0, 1), rng.choice("pq")
         rows.append((i % 4, x, z, int(rng.random() < 1 / (1 + 2.718 ** (-2 * x))), float(rng.random() < 0.5) + (z == "p"), 3 * x + rng.gauss(0, 0.1), 1.0 + i % 3))
-    df = spark.createDataFrame(rows, "fold int, x double, z string, win int, points double, y double, w double").cache()
+    spark.createDataFrame(rows, "fold int, x double, z string, win int, points double, y double, w double").write.parquet(f"{tmp_path}/panel")
+    df = spark.read.parquet(f"{tmp_path}/panel")
     win = models.probability(models.win_probability(df, ["x"], "win"), df)
     assert rates.probability_scores(win, [], "win", "p").first()["auc"] > 0.8
     points = models.prediction(models.expected_points(df, ["x"], ["z"], "points"), df).groupBy("z").agg(F.avg("predicted").alias("m"))
