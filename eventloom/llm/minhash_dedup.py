@@ -35,7 +35,6 @@ MISS, MOST_BANDS = 5e-7, 512
 LANES = 2048  # one bit each
 BLOCK = 1024
 CENTRES = 3
-TRIED = 2
 _RANDOM = np.random.default_rng(20260)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LANE_A = _RANDOM.integers(1, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -178,11 +177,6 @@ class Links:
         left, right = (self.sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in "ab")
         return hot.dealt(pairs.join(left, "a"), "a").join(hot.copied(right), ["b", "_salt"]).drop("_salt")
 
-    def near(self, pairs: DataFrame, hot: Hot) -> DataFrame:
-        """Pairs (a, b) whose sizes and estimate leave the threshold in reach, with the estimate."""
-        both = self.both(pairs, hot, "n", "signature").where(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        return both.withColumn("similar", estimate(F.col("signature_a"), F.col("signature_b"))).where(F.col("similar") >= self.cut).select("a", "b", "similar")
-
     def confirmed(self, pairs: DataFrame, hot: Hot) -> DataFrame:
         """Edges (u, v) of the pairs (a, b) that reach the threshold on their full sets."""
         both = self.both(pairs.select("a", "b"), hot, "shingles")
@@ -191,18 +185,16 @@ class Links:
         return both.where(100 * common >= self.percent * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def stars(self) -> DataFrame:
-        """For each class, the more similar of the TRIED centres that it shares most buckets with, confirmed; every bucket has up to CENTRES centres.
+        """For each class, the centre that it shares most buckets with, confirmed; every bucket has up to CENTRES centres.
 
-        A class and a centre share a bucket as often as they are similar, so that count tells which centres to compare; a link that this passes over is left to rest().
+        A class and a centre share a bucket as often as they are similar, so that count tells which centre to take; a link that this passes over is left to rest().
         """
         least = [F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node"))["node"] for k in range(CENTRES)]
         centres = self.members.groupBy("bucket").agg(F.array_distinct(F.array(*least)).alias("centres"))
         pairs = self.members.join(self.hot.copied(centres), ["bucket", "_salt"]).select(F.col("node").alias("a"), F.explode("centres").alias("b")).where("a <> b")
-        shared = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.sort_array(F.collect_list(F.struct("n", "b")), False).alias("_c"))  # at most CENTRES a bucket of a class
-        pairs = written(shared.select("a", F.explode(F.slice("_c", 1, TRIED)).alias("_c")).select("a", "_c.b"), "star-pairs")
-        hot = Hot(pairs.groupBy("b").agg(F.count("*").alias("n")), "b")
-        best = self.near(pairs, hot).groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b"))
-        return written(self.confirmed(best, hot), "links")
+        best = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+        best = written(best, "star-pairs")
+        return written(self.confirmed(best, Hot(best.groupBy("b").agg(F.count("*").alias("n")), "b")), "links")
 
     def labelled(self, labels: DataFrame) -> DataFrame:
         """Members of buckets that hold several labels."""
