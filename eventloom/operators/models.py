@@ -242,7 +242,7 @@ class HashedLogistic:
         at = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(self.label))
         own = F.when(at > 0, F.element_at("_p", F.greatest(at, F.lit(1)).cast("int")))
         squared = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x * x) - 2 * own + 1
-        return self.probabilities(df, "_p").withColumns({"loss": -F.log(F.greatest(own, F.lit(1e-15))), "squared": F.when(own.isNotNull(), squared)}).drop("_p")
+        return self.probabilities(df, "_p").withColumns({"loss": F.when(own.isNotNull(), -F.log(F.greatest(own, F.lit(1e-15)))), "squared": F.when(own.isNotNull(), squared)}).drop("_p")
 
 
 def added_signal(panel: DataFrame, is_train: str, cluster: str, categories: Sequence[str], extra: Sequence[str], numbers: Sequence[str], label: str, draws: int = 200, seed: int = 7, **options) -> DataFrame:

@@ -195,7 +195,7 @@ def role_report(panel: DataFrame, entity: str, period: str, numbers: Sequence[st
     hashed = F.pmod(F.xxhash64(entity), F.lit(parts))
     rand = []
     for p in range(parts):
-        other = RoleMap.fit(scaled.where(hashed != p), period, numbers, development, dims, k)
+        other = RoleMap.fit(scaled.where(hashed != p), period, numbers, development, dims, k, least_rows=1)
         both = found.assigned(later, keys).select(*keys, F.col("role").alias("_a")).join(other.assigned(later, keys).select(*keys, F.col("role").alias("_b")), keys)
         rand.append(adjusted_rand(both, "_a", "_b"))
     pairs = shifted_self_join(assigned.select(*keys, "role", *names), [entity], period, ["role", *names]).where(~(F.col(period) + 1).isin(list(development)))

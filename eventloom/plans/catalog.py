@@ -616,4 +616,4 @@ def scalar_functions(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", s.padded_id(F.col("p_partkey")).alias("padded"), s.tier(size, [(40, "large"), (20, "medium")], "small").alias("tier"), s.hinge(size.cast("double"), 25.0).alias("hinge"), clock.alias("clock"), s.iso_seconds(clock).alias("seconds"), s.elapsed_seconds(size % 6 + 1, F.lit(100.0)).alias("elapsed"))
 
 
-from . import domain, files, forward, lineups  # noqa: E402, F401  they register their queries here
+from . import domain, files, forward, lineups, selection  # noqa: E402, F401  they register their queries here

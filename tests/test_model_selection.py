@@ -35,7 +35,7 @@ def panel(spark, tmp_path_factory):
     return spark.read.parquet(path)
 
 
-def plain_multinomial(rows, categories, strength, rounds=3000):
+def plain_multinomial(rows, categories, strength, rounds=600):
     """Held-out log loss of a dense fit by accelerated descent, one column an id, numbers standardised."""
     train = [r for r in rows if r[5]]
     names = {c: k for k, c in enumerate(sorted({(i, r[i]) for r in train for i in categories}, key=str))}
@@ -66,7 +66,7 @@ def plain_multinomial(rows, categories, strength, rounds=3000):
 
 def test_hashed_logistic_is_near_a_dense_fit(panel):
     rows = shots(6000)
-    model = models.HashedLogistic(["s"], ["x"], "zone", strength=1e-3).fit(panel.where("train"))
+    model = models.HashedLogistic(["s"], ["x"], "zone", buckets=1 << 15, strength=1e-3).fit(panel.where("train"))
     held = model.losses(panel.where("not train"))
     got = held.agg(F.avg("loss")).first()[0]
     assert got == pytest.approx(plain_multinomial(rows, [1], 1e-3), rel=0.01) and got < 0.95 * np.log(3)
@@ -76,7 +76,7 @@ def test_hashed_logistic_is_near_a_dense_fit(panel):
 
 
 def test_unknown_classes_and_ids_have_defined_losses(spark, panel):
-    model = models.HashedLogistic(["s"], ["x"], "zone", rounds=5).fit(panel.where("train"))
+    model = models.HashedLogistic(["s"], ["x"], "zone", buckets=1 << 12, rounds=5).fit(panel.where("train"))
     odd = spark.createDataFrame([(1, "never seen", 1, 1.0, "a", False), (1, None, 1, None, "b", False), (1, "s1", 1, 2.0, "new", False), (1, "s1", 1, 2.0, None, False)], SHOTS)
     got = [r["loss"] for r in model.losses(odd).collect()]
     assert got[0] > 0 and got[1] > 0 and got[2] is None and got[3] is None
@@ -85,7 +85,7 @@ def test_unknown_classes_and_ids_have_defined_losses(spark, panel):
 
 
 def test_added_signal_is_seen_and_noise_is_not(panel):
-    run = lambda extra: {r["model"]: r for r in models.added_signal(panel, "train", "game", ["s"], [extra], ["x"], "zone", draws=100, strength=1e-3).collect()}
+    run = lambda extra: {r["model"]: r for r in models.added_signal(panel, "train", "game", ["s"], [extra], ["x"], "zone", draws=100, buckets=1 << 14, strength=1e-3).collect()}
     told = run("d")
     assert told["larger"]["log_loss"] < told["smaller"]["log_loss"] - 0.01 and told["larger"]["better"] > 0.95 and told["larger"]["brier"] < told["smaller"]["brier"] and told["smaller"]["better"] is None
     assert told["smaller"]["rows"] == 1800

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventloom import contracts
+from eventloom.contracts import ContractError
 from eventloom.sources import lineage, readers
 from eventloom.streaming import live
 
@@ -118,3 +119,53 @@ def test_runs_in_a_stream(spark, tmp_path):
     batches = [[row(1, "a"), row(2, "a")], [row(3, "a"), row(4, "b")], [row(5, "c")]]
     got = run_stream(spark, tmp_path, batches, "k bigint, n bigint, e string, v double", lambda s: live.runs(s, "k", "n", "e", "v"))
     assert sorted(got) == [(1, 1, "a", 1, 3, 3, 3.0), (1, 2, "b", 4, 4, 1, 1.0)]
+
+
+def test_hashes_of_row_sets_add_up(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 7 > 0, F.col("id") * 1.5).alias("v"), (F.col("id") % 3).cast("string").alias("s"))
+    whole = lineage.row_set_sums(df)
+    assert whole == lineage.row_set_sums(df.repartition(9, "s").select("s", "v", "id")) == lineage.merged_sums([lineage.row_set_sums(df.where("id < 77")), lineage.row_set_sums(df.where("id >= 77"))])
+    assert lineage.row_set_hash(df) != lineage.row_set_hash(df.unionAll(df.limit(1))) and lineage.row_set_hash(df) != lineage.row_set_hash(df.withColumn("v", F.coalesce("v", F.lit(0.0))))
+    two = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    assert lineage.row_set_hash(two.limit(1)) != lineage.row_set_hash(two.where("x = 'a'")) and lineage.row_set_sums(two.limit(0)) == (0, 0)
+
+
+def test_publication_survives_a_failed_write(spark, tmp_path):
+    root, df = str(tmp_path / "table"), spark.range(10).withColumn("v", F.col("id") * 2)
+    with pytest.raises(ContractError, match="nothing is published"):
+        lineage.published(spark, root)
+    first = lineage.publish(df, root, status="accepted")
+    bad = df.withColumn("v", F.when(F.col("id") < 9, F.col("v")).otherwise(F.raise_error("broken").cast("bigint")))
+    with pytest.raises(Exception, match="broken"):
+        lineage.publish(bad, root)
+    assert lineage.published(spark, root, verify=True).count() == 10 and lineage.read_manifest(spark, f"{root}/current.json") == first
+    second = lineage.publish(df.where("id > 4"), root, status="draft")
+    assert lineage.published(spark, root, verify=True).count() == 5 and second["previous"] == [first["version"]]
+    third = lineage.publish(df.where("id > 8"), root, status="accepted")
+    assert sorted(p.name for p in (tmp_path / "table" / "versions").iterdir()) == sorted([second["version"], third["version"]])
+    assert not list((tmp_path / "table").glob("*.partial"))
+
+
+def test_bundles_pin_what_is_accepted(spark, tmp_path):
+    one, two, target = str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "bundle.json")
+    lineage.publish(spark.range(5), one, status="accepted")
+    with pytest.raises(ContractError, match="two: nothing"):
+        lineage.bundle(spark, {"one": one, "two": two}, target)
+    lineage.publish(spark.range(7), two, status="draft")
+    with pytest.raises(ContractError, match="two: status 'draft'"):
+        lineage.bundle(spark, {"one": one, "two": two}, target)
+    lineage.publish(spark.range(7), two, status="accepted")
+    made = lineage.bundle(spark, {"one": one, "two": two}, target)
+    assert lineage.read_manifest(spark, target) == made and [made["tables"][t]["rows"] for t in ("one", "two")] == [5, 7]
+    spark.range(6).write.mode("overwrite").parquet(made["tables"]["two"]["path"])
+    with pytest.raises(ContractError, match="not those"):
+        lineage.bundle(spark, {"one": one, "two": two}, target)
+
+
+def test_splices_below_a_gate_are_refused(spark):
+    old = spark.range(60).select((F.col("id") % 12).alias("k"), (2018 + F.col("id") % 5).cast("int").alias("y"), (F.col("id") * 1.0).alias("v"))
+    new = old.withColumn("v", F.col("v") + 0.1)
+    assert lineage.spliced_if_alike(old, new, ["k"], "y", 2020, "v").where("y >= 2020 and v <> round(v)").count() == 36
+    for change, gate in ((new.where("k < 6"), "coverage"), (new.withColumn("v", -F.col("v")), "correlation"), (new.withColumn("v", 2 * F.col("v")), "sd_ratio"), (new.limit(3), "keys")):
+        with pytest.raises(ContractError, match=gate):
+            lineage.spliced_if_alike(old, change, ["k"], "y", 2020, "v")
