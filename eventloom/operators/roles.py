@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import ContractError
 from .joins import shifted_self_join
-from .models import adjusted_rand
+from .models import adjusted_rand, stored
 from .rates import quantiles, with_group
 
 
@@ -177,10 +177,10 @@ def best_matching(gain: np.ndarray) -> list[int]:
     return out
 
 
-def role_report(panel: DataFrame, entity: str, period: str, numbers: Sequence[str], development: Sequence, dims: int, k: int, *, least_filled: float = 0.8, gates: Gates = Gates(), parts: int = 3) -> tuple[RoleMap, DataFrame, dict]:
+def role_report(panel: DataFrame, entity: str, period: str, numbers: Sequence[str], development: Sequence, dims: int, k: int, path: str, *, least_filled: float = 0.8, gates: Gates = Gates(), parts: int = 3) -> tuple[RoleMap, DataFrame, dict]:
     """(map, assignments of all eligible rows, measures with the gates that they pass).
 
-    Eligible rows have at least `least_filled` of the numbers.  Stability is measured on later periods: the adjusted Rand index against refits that
+    Eligible rows have at least `least_filled` of the numbers; scaled, they are written below `path`, as every round of clustering reads them.  Stability is measured on later periods: the adjusted Rand index against refits that
     leave out one of `parts` hash parts of the development rows, the share of entities that keep their role from one period to the next, the median cosine of their axes,
     and the least and greatest share of a role.
     """
@@ -188,6 +188,7 @@ def role_report(panel: DataFrame, entity: str, period: str, numbers: Sequence[st
     marked = panel.withColumn("_filled", filled)
     eligible = marked.where(F.col("_filled") >= least_filled - 1e-12).drop("_filled")
     scaled = scaled_within(eligible.select(entity, period, *[F.col(c).cast("double").alias(c) for c in numbers]), period, numbers)
+    scaled = stored(scaled, path, "scaled")
     keys, names = [entity, period], [f"axis_{i + 1}" for i in range(dims)]
     found = RoleMap.fit(scaled, period, numbers, development, dims, k)
     assigned = found.assigned(scaled, keys)

@@ -197,9 +197,9 @@ ROLE_NUMBERS = ["a", "b", "c", "d"]
 ROLE_ROWS = "p int, s int, a double, b double, c double, d double"
 
 
-def test_roles_do_not_depend_on_order_partitions_or_refits(spark):
+def test_roles_do_not_depend_on_order_partitions_or_refits(spark, tmp_path):
     rows = season_rows()
-    run = lambda r, parts: roles.role_report(spark.createDataFrame(r, ROLE_ROWS).repartition(parts), "p", "s", ROLE_NUMBERS, [2001, 2002], 3, 4)
+    run = lambda r, parts: roles.role_report(spark.createDataFrame(r, ROLE_ROWS).repartition(parts), "p", "s", ROLE_NUMBERS, [2001, 2002], 3, 4, f"{tmp_path}/{parts}", parts=2)
     found, assigned, measures = run(rows, 3)
     assert measures["passed"] and measures["refit_rand"] == pytest.approx(1.0) and measures["same_role"] == pytest.approx(1.0) and measures["coverage"] == 1.0
     first = {(r["p"], r["s"]): r for r in assigned.collect()}
@@ -213,16 +213,16 @@ def test_roles_do_not_depend_on_order_partitions_or_refits(spark):
     assert roles.released(assigned, measures) is assigned
 
 
-def test_role_gates_refuse_what_moves(spark):
-    _, assigned, measures = roles.role_report(spark.createDataFrame(season_rows(drift=0.7), ROLE_ROWS), "p", "s", ROLE_NUMBERS, [2001, 2002], 3, 4, gates=roles.Gates(same_role=0.9))
+def test_role_gates_refuse_what_moves(spark, tmp_path):
+    _, assigned, measures = roles.role_report(spark.createDataFrame(season_rows(drift=0.7), ROLE_ROWS), "p", "s", ROLE_NUMBERS, [2001, 2002], 3, 4, f"{tmp_path}/a", parts=2, gates=roles.Gates(same_role=0.9))
     assert not measures["passed"] and not measures["gates"]["same_role"]
     with pytest.raises(ContractError, match="same_role"):
         roles.released(assigned, measures)
     frame = spark.createDataFrame(season_rows(), ROLE_ROWS)
     with pytest.raises(ContractError, match="1999"):
-        roles.role_report(frame, "p", "s", ROLE_NUMBERS, [1999, 2001], 3, 4)
+        roles.role_report(frame, "p", "s", ROLE_NUMBERS, [1999, 2001], 3, 4, f"{tmp_path}/b")
     with pytest.raises(ContractError, match="too few"):
-        roles.role_report(frame.where("p < 5"), "p", "s", ROLE_NUMBERS, [2001], 3, 4)
+        roles.role_report(frame.where("p < 5"), "p", "s", ROLE_NUMBERS, [2001], 3, 4, f"{tmp_path}/c")
 
 
 def test_scaling_within_a_period(spark):
