@@ -317,10 +317,9 @@ def sandwich(equations: NormalEquations, penalties: Mapping[str, float], scores:
 
 
 def two_parameters(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Least squares of y on 1 and x by closed-form sums."""
-    n, sx, sy = F.count("*"), F.sum(x), F.sum(y)
-    slope = F.try_divide(n * F.sum(F.col(x) * F.col(y)) - sx * sy, n * F.sum(F.col(x) * F.col(x)) - sx * sx)
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(slope.alias("slope"), F.try_divide(sy - slope * sx, n).alias("intercept"))
+    """Least squares of y on 1 and x from centred sums: products of raw sums overflow 64 bits and cancel in doubles once there are many rows."""
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"))
 
 
 def smoothing_rows(seasons: DataFrame, entity: str, season: str, expected: Column, weight: float) -> DataFrame:

@@ -410,3 +410,11 @@ def test_control_and_strength_features(spark):
     found = {"to_play": to_play} | s.fading_features({"gap": F.col("gap")}, to_play) | s.control_features(F.col("home"), F.col("elapsed"), to_play)
     got = [tuple(r) for r in rows.orderBy("i").select(*[F.round(c, 6).alias(k) for k, c in found.items()]).collect()]
     assert got == [(720.0, 6.0, 3.0, 1.0, round(13**-0.5, 6), 0.75), (0.0, 6.0, 0.0, -1.0, -1.0, -1.0), (None, 6.0, None, None, None, None)]
+
+
+def test_two_parameters_of_large_keys(spark):
+    """The products of the sums of such keys pass 64 bits."""
+    big = 3_000_000_000
+    rows = [(k, big + i, 2.5 * i + k) for k in (1, 2) for i in range(50)] + [(3, 7, 1.0), (1, None, 5.0), (2, 5, None)]
+    got = {r["k"]: (r["slope"], r["intercept"]) for r in ridge.two_parameters(spark.createDataFrame(rows, "k int, x bigint, y double"), ["k"], "x", "y").collect()}
+    assert all(got[k] == pytest.approx((2.5, k - 2.5 * big)) for k in (1, 2)) and got[3] == (None, None)
