@@ -164,9 +164,10 @@ def share_of_progress(df: DataFrame, keys: Sequence[str], number: str) -> DataFr
 def without_decided(df: DataFrame, game: Sequence[str], period: str, order: Sequence[str], margin: Column, base: Mapping[int, int], slope: float = 8.0) -> DataFrame:
     """Rows played before the game is decided: the margin before the row is within base[period] + floor(slope * (1 - progress)).
 
-    margin: what a row adds to the running margin.
+    margin: what a row adds to the running margin.  The bound is judged on nine decimals, so that the order in which doubles are added does not decide a
+    margin that lies just on it.
     """
     numbered = share_of_progress(df.withColumn("_n", F.row_number().over(_stream([*game, period], order))), [*game, period], "_n")
     running = F.coalesce(F.sum(margin).over(before(game, [period, *order])), F.lit(0.0))
     limit = reduce(lambda acc, kv: F.when(F.col(period) == kv[0], F.lit(kv[1])).otherwise(acc), base.items(), F.lit(min(base.values())))
-    return numbered.withColumn("margin_before", running).where(F.abs("margin_before") <= limit + F.floor(slope * (1 - F.col("progress")))).drop("_n")
+    return numbered.withColumn("margin_before", running).where(F.abs(F.round("margin_before", 9)) <= limit + F.floor(slope * (1 - F.col("progress")))).drop("_n")

@@ -418,3 +418,10 @@ def test_two_parameters_of_large_keys(spark):
     rows = [(k, big + i, 2.5 * i + k) for k in (1, 2) for i in range(50)] + [(3, 7, 1.0), (1, None, 5.0), (2, 5, None)]
     got = {r["k"]: (r["slope"], r["intercept"]) for r in ridge.two_parameters(spark.createDataFrame(rows, "k int, x bigint, y double"), ["k"], "x", "y").collect()}
     assert all(got[k] == pytest.approx((2.5, k - 2.5 * big)) for k in (1, 2)) and got[3] == (None, None)
+
+
+def test_a_margin_on_the_bound_is_undecided(spark):
+    """Forty times 0.1 add up to more than 4 in doubles."""
+    rows = spark.createDataFrame([("g", 1, i, 0.1) for i in range(60)], "g string, p int, i int, v double")
+    kept = ordered.without_decided(rows, ["g"], "p", ["i"], F.col("v"), {1: 4}, slope=0.0).select("i").collect()
+    assert max(r["i"] for r in kept) == 40 and len(kept) == 41
