@@ -2,7 +2,7 @@
 
 A design is a long table (row, col, val).  Spark forms X'WX from the pairs within a row, which has as many entries as
 a lineup has members, and a sum by (i, j) that is pre-aggregated in every task.  The system has one unknown a player, so
-its matrix, checked against MOST_COLUMNS, is solved on the driver.
+its matrix, checked against MOST_COLUMNS, is solved on the driver; packed.py has the form for more.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,11 +37,9 @@ def _members(name: str, members: Column) -> Column:
 
 
 def columns_of(design: DataFrame) -> list[tuple[str, str]]:
-    """The coefficients' (block, entity) in a fixed order; an error beyond MOST_COLUMNS."""
-    found = design.select("block", "entity").distinct().orderBy("block", "entity").limit(MOST_COLUMNS + 1).collect()
-    if len(found) > MOST_COLUMNS:
-        raise ContractError(f"more than {MOST_COLUMNS} coefficients")
-    return [(r["block"], r["entity"]) for r in found]
+    """The coefficients' (block, entity) in a fixed order: names only, a row a coefficient."""
+    found = design.select("block", "entity").distinct().toArrow().sort_by([("block", "ascending"), ("entity", "ascending")])
+    return list(zip(found["block"].to_pylist(), found["entity"].to_pylist(), strict=True))
 
 
 def gram_entries(design: DataFrame, row: str) -> DataFrame:
@@ -68,6 +67,8 @@ class NormalEquations:
     @classmethod
     def of(cls, design: DataFrame, response: DataFrame, row: str, y: str, columns: Sequence | None = None) -> NormalEquations:
         columns = list(columns or columns_of(design))
+        if len(columns) > MOST_COLUMNS:
+            raise ContractError(f"more than {MOST_COLUMNS} coefficients; packed.equations takes any number")
         at = {c: k for k, c in enumerate(columns)}
         weighted = "weight" in response.columns
         used = design.join(response.select(row, *(["weight"] if weighted else [])), row)
@@ -145,6 +146,10 @@ class NormalEquations:
         right = self.xy - mean * self.exposure + (0.0 if center is None else scale * d * center)
         return np.linalg.solve(self.gram + np.diag(d), right), mean
 
+    def solutions(self, candidates: Sequence[Mapping[str, float]]) -> list[tuple[np.ndarray, float]]:
+        """What solve gives for each set of penalties."""
+        return [self.solve(c) for c in candidates]
+
     def residual(self, beta: np.ndarray, penalties: Mapping[str, float], center: np.ndarray | None = None) -> float:
         """The largest entry of the normal equations' residual."""
         d = self.penalty(penalties)
@@ -222,6 +227,8 @@ def grouped_equations(design: DataFrame, response: DataFrame, row: str, y: str,
     groups times the entries of a Gram matrix is what reaches the driver: for seasons and folds, not for games.
     """
     columns = list(columns or columns_of(design))
+    if len(columns) > MOST_COLUMNS:
+        raise ContractError(f"more than {MOST_COLUMNS} coefficients; packed.SeasonSums takes any number")
     at, p = {c: k for k, c in enumerate(columns)}, len(columns)
     weighted = "weight" in response.columns
     w = F.col("weight") if weighted else F.lit(1.0)
@@ -283,7 +290,8 @@ def half_stability(first: NormalEquations, second: NormalEquations, penalties: M
 
 
 def coefficients(spark, columns: Sequence[tuple[str, str]], beta: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(b, e, float(v)) for (b, e), v in zip(columns, beta, strict=True)], "block string, entity string, beta double")
+    blocks, entities = zip(*columns, strict=True) if columns else ((), ())
+    return spark.createDataFrame(pa.table({"block": pa.array(blocks, pa.string()), "entity": pa.array(entities, pa.string()), "beta": pa.array(np.asarray(beta, float))}))
 
 
 def predicted(design: DataFrame, beta: DataFrame, row: str, intercept: float) -> DataFrame:

@@ -11,8 +11,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..contracts import ContractError
 from .packed import SeasonSums
@@ -34,8 +36,11 @@ def retrodicted(design: DataFrame, response: DataFrame, fits: Mapping, row: str,
     if any(len(f) != k for f in fits.values()):
         raise ContractError("every fold has the same candidates")
     kind = response.schema[season].dataType.simpleString()
-    table = [(s, *c, [float(b[i]) for _, b, _ in own]) for s, own in fits.items() for i, c in enumerate(own[0][0])]
-    betas = spark.createDataFrame(table, f"_s {kind}, block string, entity string, _b array<double>")
+    parts = []
+    for s, own in fits.items():  # a row a season and coefficient
+        names, values = own[0][0], np.column_stack([b for _, b, _ in own]).astype(float).ravel()
+        parts.append(pa.table({"_s": pa.array([s] * len(names), to_arrow_type(response.schema[season].dataType)), "block": pa.array([b for b, _ in names], pa.string()), "entity": pa.array([e for _, e in names], pa.string()), "_b": pa.FixedSizeListArray.from_arrays(values, k).cast(pa.list_(pa.float64()))}))
+    betas = F.broadcast(spark.createDataFrame(pa.concat_tables(parts)))
     means = spark.createDataFrame([(s, [float(m) for *_, m in own]) for s, own in fits.items()], f"_s {kind}, _m array<double>")
     rows = response.select(row, F.col(season).alias("_s"), F.col(cluster).alias("_c"), F.col(y).cast("double").alias("_y"), (F.lit(1.0) if sign is None else sign.cast("double")).alias("_sign")).join(F.broadcast(means), "_s")
     known = design.join(rows.select(row, "_s"), row).join(betas, ["_s", "block", "entity"], "left")
@@ -63,7 +68,7 @@ def window_fits(sums: SeasonSums, candidates: Sequence[Mapping[str, float]], tes
         train = sums.window(t - span, t - 1)
         own = train.exposure != 0
         columns = [c for c, x in zip(train.columns, own, strict=True) if x]
-        out[t] = [(columns, b[own], m) for b, m in (train.solve(c) for c in candidates)]
+        out[t] = [(columns, b[own], m) for b, m in train.solutions(candidates)]
     return out
 
 
@@ -144,7 +149,7 @@ def select_then_confirm(sums: SeasonSums, design: DataFrame, response: DataFrame
         train = sums.window(first, last)
         own = train.exposure != 0
         columns = [c for c, x in zip(train.columns, own, strict=True) if x]
-        fits = {test: [(columns, b[own], m) for b, m in (train.solve(c) for c in options)]}
+        fits = {test: [(columns, b[own], m) for b, m in train.solutions(options)]}
         return {r["candidate"]: r for r in margin_scores(retrodicted(design, response, fits, row, y, season, cluster, sign), ["candidate"]).collect()}
 
     chosen = judged(selection, candidates)

@@ -168,6 +168,58 @@ def test_season_variances_equal_a_dense_sandwich_and_resume(league, spark, tmp_p
             assert r["variance_net"] == pytest.approx(cov[a, a] + cov[b, b] - 2 * cov[a, b])
 
 
+def test_tables_solve_what_matrices_do(league, spark, tmp_path, monkeypatch):
+    """Beyond DENSE_COLUMNS coefficients no matrix is fetched: windows, penalties, variances and the plain ridge are the same."""
+    _, df, design = league
+    response, penalties = df.drop("weight"), {"o": 20.0, "d": 10.0}
+    dense = packed.SeasonSums.build(design, response, "row", "y", "season", str(tmp_path / "dense"))
+    variances = lambda path: {(r["season"], r["entity"]): r for r in packed.season_variances(design, response, "row", "y", "season", "game", penalties, "o", "d", str(path), [2001, 2005]).collect()}
+    want = variances(tmp_path / "a")
+    monkeypatch.setattr(packed, "DENSE_COLUMNS", 50)
+    monkeypatch.setattr(packed, "matrix", lambda *a: pytest.fail("a matrix was fetched"))
+    tiled = packed.SeasonSums(spark, str(tmp_path / "dense"))
+    for window in ((2001, 2002), (2003, 2005)):
+        monkeypatch.setattr(packed, "DENSE_COLUMNS", 2000)
+        monkeypatch.undo()
+        a = dense.window(*window)
+        monkeypatch.setattr(packed, "DENSE_COLUMNS", 50)
+        monkeypatch.setattr(packed, "matrix", lambda *a: pytest.fail("a matrix was fetched"))
+        b = tiled.window(*window)
+        assert b.gram is None and np.allclose(b.times(np.eye(len(b.columns))[:, :3]), a.gram[:, :3]) and np.allclose(b.diagonal(), np.diag(a.gram))
+        for (x, m), (z, n) in zip(a.solutions(PENALTIES), b.solutions(PENALTIES), strict=True):
+            assert np.allclose(x, z, atol=1e-10) and m == pytest.approx(n)
+        beta, mean = b.solve(penalties)
+        assert b.residual(beta, penalties) < 1e-8 and b.squared_error(beta, mean) == pytest.approx(a.squared_error(beta, mean))
+    got = variances(tmp_path / "b")
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert [got[k][c] for c in ("variance_plus", "variance_minus", "covariance", "variance_net")] == pytest.approx([r[c] for c in ("variance_plus", "variance_minus", "covariance", "variance_net")])
+
+
+def test_components_are_joined_and_binned():
+    label = np.arange(8)
+    packed._join(label, np.array([5, 7, 3]), np.array([2, 5, 1]))
+    assert label.tolist() == [0, 1, 2, 1, 4, 2, 6, 2]
+    bins, places = packed._bins(label, 3)
+    assert all(len(set(bins[label == k])) == 1 for k in set(label)) and max(np.bincount(bins)) == 3
+    assert len(set(zip(bins.tolist(), places.tolist(), strict=True))) == 8
+
+
+@pytest.mark.parametrize("fraction", [0.02, 0.9])
+def test_clusters_products_are_whole(spark, fraction):
+    """Sparse and dense vectors, several tiles and strips, cluster ids of text, one null."""
+    rng = np.random.default_rng(int(100 * fraction))
+    n, p = 40, 700
+    x = rng.normal(size=(n, p)) * (rng.random((n, p)) < fraction)
+    rows = [(int(1 + c % 2), f"c{c}" if c else None, int(i), float(x[c, i])) for c, i in zip(*np.nonzero(x), strict=True)]
+    vectors = spark.createDataFrame(rows, "season int, c string, i int, score double")
+    for strips in (1, 3):
+        got = np.zeros((2, p, p))
+        for r in packed.entries(packed.outer_tiles(vectors, "season", "c", strips)).collect():
+            got[r["group"] - 1, r["i"], r["j"]] += r["value"]
+        assert all(np.allclose(got[s], np.tril(x[s::2].T @ x[s::2])) for s in (0, 1))
+
+
 def test_prior_modes_equal_dense_fits(league, sums):
     rows, *_ = league
     found = sums.window(2001, 2004)
