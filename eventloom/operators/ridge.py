@@ -295,8 +295,11 @@ def coefficients(spark, columns: Sequence[tuple[str, str]], beta: np.ndarray) ->
 
 
 def predicted(design: DataFrame, beta: DataFrame, row: str, intercept: float) -> DataFrame:
-    """(row, predicted, unknown): the sum of the coefficients, and how many entries have none."""
-    both = design.join(beta, ["block", "entity"], "left")
+    """(row, predicted, unknown): the sum of the coefficients, and how many entries have none.
+
+    The coefficients are sent to every task: dealt by coefficient, all rows that a frequent one is in would meet in one task.
+    """
+    both = design.join(F.broadcast(beta), ["block", "entity"], "left")
     return both.groupBy(row).agg((F.sum(F.col("val") * F.coalesce("beta", F.lit(0.0))) + intercept).alias("predicted"), F.count_if(F.col("beta").isNull()).alias("unknown"))
 
 

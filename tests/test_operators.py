@@ -425,3 +425,15 @@ def test_a_margin_on_the_bound_is_undecided(spark):
     rows = spark.createDataFrame([("g", 1, i, 0.1) for i in range(60)], "g string, p int, i int, v double")
     kept = ordered.without_decided(rows, ["g"], "p", ["i"], F.col("v"), {1: 4}, slope=0.0).select("i").collect()
     assert max(r["i"] for r in kept) == 40 and len(kept) == 41
+
+
+def test_a_coefficient_of_every_row_is_not_dealt_to_one_task(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        design = spark.range(1000).select(F.col("id").alias("row"), F.lit("b").alias("block"), F.lit("e").alias("entity"), F.lit(2.0).alias("val"))
+        out = ridge.predicted(design, spark.createDataFrame([("b", "e", 0.5)], "block string, entity string, beta double"), "row", 1.0)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().toString()
+        assert {(r["predicted"], r["unknown"]) for r in out.collect()} == {(2.0, 0)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
