@@ -178,32 +178,46 @@ def replay_lineups(starters: DataFrame, moments: DataFrame, keys: Sequence[str],
     """Stints from starters (keys, players) and moments (keys, at, outs, ins): keys, stint, players, start, end, ok.
 
     A moment applies if as many leave as come, all who leave are on and none who come is; players in both sets net out.
-    Otherwise the lineup stays and ok is false from there on.
+    Otherwise the lineup stays and ok is false from there on.  A key's moments go by in order and are never gathered, so a key may have any number of them.
     """
-    both = starters.join(moments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(at, "outs", "ins"))).alias("moments")), list(keys), "left")
-    element = starters.schema["players"].dataType
+    from pyspark.sql.types import BooleanType
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in rows.to_dict("records"):
-            on, begun, ok, n = set(row["players"]), None, len(set(row["players"])) == size, 0
-            for m in row["moments"] if row["moments"] is not None else []:
-                outs, ins = set(m["outs"]) - set(m["ins"]), set(m["ins"]) - set(m["outs"])
+    kind, element = moments.schema[at].dataType, starters.schema["players"].dataType
+    schema = StructType([*(starters.schema[k] for k in keys), StructField("stint", LongType()), StructField("players", element), StructField("start", kind), StructField("end", kind), StructField("ok", BooleanType())])
+    arrow = to_arrow_schema(schema)
+    nothing = lambda c, of: F.lit(None).cast(of.schema[c].dataType).alias(c)
+    first = starters.select(*keys, F.lit(0).alias("_kind"), "players", nothing(at, moments), nothing("outs", moments), nothing("ins", moments))
+    later = moments.join(starters.select(*keys), list(keys), "left_semi").select(*keys, F.lit(1).alias("_kind"), nothing("players", starters), at, "outs", "ins")
+
+    def run(batches):
+        key = None
+        for batch in batches:
+            out = []
+            own = zip(*(batch.column(c).to_pylist() for c in keys), strict=True)
+            for now, k, players, moment, outs, ins in zip(own, *(batch.column(c).to_pylist() for c in ("_kind", "players", at, "outs", "ins")), strict=True):
+                if k == 0:
+                    if key is not None:
+                        out.append((*key, n, sorted(on), begun, None, ok))
+                    key, on, begun, n = now, set(players), None, 0
+                    ok = len(on) == size
+                    continue
+                outs, ins = set(outs) - set(ins), set(ins) - set(outs)
                 if not outs and not ins:
                     continue
                 if len(outs) != len(ins) or not outs <= on or ins & on:
                     ok = False
                     continue
-                out.append([*(row[k] for k in keys), n, sorted(on), begun, m[at], ok])
-                on, begun, n = (on - outs) | ins, m[at], n + 1
-            out.append([*(row[k] for k in keys), n, sorted(on), begun, None, ok])
-        return pd.DataFrame(out, columns=[*keys, "stint", "players", "start", "end", "ok"]).astype({"start": "object", "end": "object"})
+                out.append((*key, n, sorted(on), begun, moment, ok))
+                on, begun, n = (on - outs) | ins, moment, n + 1
+            yield rows_of(out)
+        if key is not None:
+            yield rows_of([(*key, n, sorted(on), begun, None, ok)])
 
-    from pyspark.sql.types import BooleanType
+    def rows_of(out):
+        columns = list(zip(*out, strict=True)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    kind = moments.schema[at].dataType
-    schema = StructType([*(starters.schema[k] for k in keys), StructField("stint", LongType()), StructField("players", element), StructField("start", kind), StructField("end", kind), StructField("ok", BooleanType())])
-    return both.select(*keys, "players", "moments").groupBy(*keys).applyInPandas(fold, schema)
+    return dealt_by(first.unionByName(later), keys).sortWithinPartitions(*keys, "_kind", at, "outs", "ins").mapInArrow(run, schema)
 
 
 def backwards(order: Sequence[str]) -> list[Column]:

@@ -437,3 +437,14 @@ def test_a_coefficient_of_every_row_is_not_dealt_to_one_task(spark):
         assert {(r["predicted"], r["unknown"]) for r in out.collect()} == {(2.0, 0)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_replay_streams_a_key_of_many_moments(spark):
+    """Moments are not gathered into one value a key, and the state lives on from batch to batch."""
+    starters = spark.createDataFrame([("a", [1, 2, 3, 4, 5]), ("b", [1, 2, 3, 4, 5])], "k string, players array<int>")
+    rows = spark.range(30_000).select(F.lit("a").alias("k"), F.col("id").alias("t"), F.array(F.when(F.col("id") % 2 == 0, 1).otherwise(6)).alias("outs"), F.array(F.when(F.col("id") % 2 == 0, 6).otherwise(1)).alias("ins"))
+    moments = rows.unionByName(rows.limit(1).withColumn("k", F.lit("no starters")))
+    out = filters.replay_lineups(starters, moments, ["k"], "t")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {r["k"]: r.asDict() for r in out.groupBy("k").agg(F.count("*").alias("n"), F.max("stint").alias("last"), F.count_if(~F.col("ok")).alias("wrong"), F.max("end").alias("end")).collect()}
+    assert got == {"a": {"k": "a", "n": 30_001, "last": 30_000, "wrong": 0, "end": 29_999}, "b": {"k": "b", "n": 1, "last": 0, "wrong": 0, "end": None}}
