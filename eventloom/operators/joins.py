@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,10 +142,15 @@ def shifted_self_join(df: DataFrame, keys: Sequence[str], period: str, columns:
     return df.join(later, [*keys, period])
 
 
-def teammates(df: DataFrame, keys: Sequence[str], person: str) -> DataFrame:
+def teammates(df: DataFrame, keys: Sequence[str], person: str, parts: int = 96) -> DataFrame:
     """Ordered pairs of different members of the same group (a team's season): keys, person, other.
 
-    A group is a team, so its members are few; they are gathered once and paired in place.
+    Members are dealt by a hash of the group and of themselves over `parts` tasks, and meet the group's list there, so a large group's pairs are made by
+    many tasks.  The list is gathered once a group; the pairs are as many as the squares of the groups' sizes.
     """
-    members = df.groupBy(*keys).agg(F.array_sort(F.collect_set(person)).alias("_m"))
-    return members.select(*keys, "_m", F.explode("_m").alias(person)).select(*keys, person, F.explode("_m").alias("other")).where(F.col(person) != F.col("other"))
+    members = df.select(*keys, person).distinct()
+    lists = members.groupBy(*keys).agg(F.array_sort(F.collect_set(person)).alias("_m"))
+    dealt = members.repartition(parts, F.xxhash64(*[F.col(k) for k in keys], F.col(person)))
+    same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    both = dealt.join(F.broadcast(lists.withColumnsRenamed({k: f"_g_{k}" for k in keys})), reduce(lambda a, b: a & b, same))
+    return both.select(*keys, person, F.explode("_m").alias("other")).where(F.col(person) != F.col("other"))

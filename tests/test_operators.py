@@ -448,3 +448,11 @@ def test_replay_streams_a_key_of_many_moments(spark):
     assert "collect_list" not in out._jdf.queryExecution().toString()
     got = {r["k"]: r.asDict() for r in out.groupBy("k").agg(F.count("*").alias("n"), F.max("stint").alias("last"), F.count_if(~F.col("ok")).alias("wrong"), F.max("end").alias("end")).collect()}
     assert got == {"a": {"k": "a", "n": 30_001, "last": 30_000, "wrong": 0, "end": 29_999}, "b": {"k": "b", "n": 1, "last": 0, "wrong": 0, "end": None}}
+
+
+def test_a_large_group_is_paired_by_many_tasks(spark):
+    df = spark.range(400).select(F.lit(1).alias("team"), F.col("id").alias("p")).unionByName(spark.createDataFrame([(None, 7), (None, 8), (2, 9)], "team int, p bigint"))
+    out = joins.teammates(df.unionByName(df), ["team"], "p")
+    assert out.select(F.spark_partition_id().alias("n")).distinct().count() > 20
+    assert out.where("team = 1").count() == 400 * 399 == out.where("team = 1").distinct().count()
+    assert sorted(tuple(r) for r in out.where("team is null or team = 2").collect()) == [(None, 7, 8), (None, 8, 7)]
