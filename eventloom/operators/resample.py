@@ -32,6 +32,19 @@ def poisson_weight(u: Column, most: int = 12) -> Column:
     return out
 
 
+def poisson_digest(digest: Column, most: int = 12) -> Column:
+    """poisson_weight of the number that a digest's first 12 hexadecimal digits are, by comparing texts: the digest is taken once and no digit is converted."""
+    out = F.lit(most)
+    for k, edge in reversed([(k, f"{e:012x}" if e < 1 << 48 else "g") for k, e in enumerate(_whole_edges(most))]):
+        out = F.when(digest < F.lit(edge), k).otherwise(out)
+    return out
+
+
+def _whole_edges(most: int) -> list[int]:
+    """For each edge of Poisson(1) the first number of 48 bits that is not below it."""
+    return [math.ceil(e * (1 << 48)) for e in poisson_edges(most)]
+
+
 def poisson_hex(digits: Column) -> Column:
     """A Poisson(1) count from six hexadecimal digits, compared as text with the edges of its distribution."""
     out = F.lit(10)
@@ -65,19 +78,25 @@ def cluster_draws(df: DataFrame, strata: Sequence[str], cluster: str, repetition
     A multiplicity depends on (seed, draw, stratum, cluster) only, so draws can be computed anywhere and resumed.
     """
     clusters = df.select(*strata, cluster).distinct()
-    drawn = clusters.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    return drawn.withColumn("multiplicity", poisson_weight(unit(F.lit(seed), F.col("draw"), *[F.col(s) for s in strata], F.col(cluster))))
+    return _digested(clusters, strata, cluster, repetitions, seed).select(*strata, cluster, "draw", poisson_digest(F.col("_h")).alias("multiplicity"))
+
+
+def _digested(clusters: DataFrame, strata: Sequence[str], cluster: str, repetitions: int, seed: int) -> DataFrame:
+    """A row a cluster and draw with _h, the md5 of (seed, draw, strata, cluster); a cluster's own text is made once."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*strata, cluster)])
+    first = F.array(*[F.lit(f"{seed}|{draw}|") for draw in range(repetitions)])
+    drawn = clusters.withColumn("_t", text).select(*clusters.columns, "_t", F.posexplode(first).alias("draw", "_f"))
+    return drawn.withColumn("_h", F.md5(F.concat("_f", "_t").cast("binary"))).drop("_t", "_f")
 
 
 def bootstrap_means(df: DataFrame, strata: Sequence[str], cluster: str, value: str, repetitions: int, seed: int) -> DataFrame:
-    """(draw, mean): the mean of value over reweighted clusters.
+    """(draw, mean): the mean of value over reweighted clusters, with the weights of cluster_draws.
 
-    Values are summed by cluster first, so a draw multiplies clusters, not rows.
+    Values are summed by cluster first, so a draw multiplies clusters, not rows; a cluster and draw costs one digest.
     """
     sums = df.groupBy(*strata, cluster).agg(F.sum(value).alias("_v"), F.count(value).alias("_n"))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    w = poisson_weight(unit(F.lit(seed), F.col("draw"), *[F.col(s) for s in strata], F.col(cluster)))
-    return drawn.withColumn("_w", w).groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum(F.col("_w") * F.col("_n"))).alias("mean"))
+    drawn = _digested(sums, strata, cluster, repetitions, seed).withColumn("_w", poisson_digest(F.col("_h")))
+    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum(F.col("_w") * F.col("_n"))).alias("mean"))
 
 
 def interval(draws: DataFrame, keys: Sequence[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
