@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..contracts import conform, require, stripped
 from ..functions.scalars import first_number_in
+from ..operators.filters import dealt_by
 
 
 def season_parquet(spark: SparkSession, pattern: str, columns: Sequence[str], optional: StructType | None = None) -> DataFrame:
@@ -130,7 +131,10 @@ class _Table(HTMLParser):
 
 
 def html_tables(pages: DataFrame, key: str, html: str, table_id: str | None = None) -> DataFrame:
-    """(key, table_id, row, cells) of the tables of each page, or of the one with an id; null pages have none."""
+    """(key, table_id, row, cells) of the tables of each page, or of the one with an id; null pages have none.
+
+    Pages are dealt over the tasks first: parsing costs far more than reading, and pages made of a small file would be one task's.
+    """
     import pandas as pd
 
     def parse(frames):
@@ -143,7 +147,7 @@ def html_tables(pages: DataFrame, key: str, html: str, table_id: str | None = No
             yield pd.DataFrame(out, columns=[key, "table_id", "row", "cells"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(parse, f"{key} {kind}, table_id string, row int, cells array<string>")
+    return dealt_by(pages.select(key, html), [key, html]).mapInPandas(parse, f"{key} {kind}, table_id string, row int, cells array<string>")
 
 
 def typed_cells(rows: DataFrame, names: Sequence[str], numbers: Sequence[str]) -> DataFrame:
@@ -155,7 +159,12 @@ def typed_cells(rows: DataFrame, names: Sequence[str], numbers: Sequence[str]) -
 
 def consistent(df: DataFrame, parts: Sequence[str], total: str, tolerance: float) -> DataFrame:
     """Rows whose parts add up to the total within a tolerance."""
-    return df.where(F.abs(sum((F.col(p) for p in parts), F.lit(0.0)) - F.col(total)) <= tolerance)
+    return df.where(adds_up(parts, total, tolerance))
+
+
+def adds_up(parts: Sequence[str], total: str, tolerance: float) -> Column:
+    """Whether the parts add up to the total within a tolerance; null if one of them is."""
+    return F.abs(sum((F.col(p) for p in parts), F.lit(0.0)) - F.col(total)) <= tolerance
 
 
 def page_number(html: Column, pattern: str) -> Column:
