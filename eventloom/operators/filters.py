@@ -30,6 +30,17 @@ def dealt_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
 
 
+def dealt_by_size(df: DataFrame, keys: Sequence[str], rows: int = 500_000) -> DataFrame:
+    """df dealt by its keys over as many tasks as its number of rows asks for, so that a task's memory does not grow with the input.
+
+    A grouping by (some of) the keys and a join by them keep that dealing.  df is counted, so it is a table as read, not a result; a small one is left as it is.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // rows)), *keys)
+
+
 def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], start: Callable, step: Callable, new: StructType) -> DataFrame:
     """df and new columns: step(state, values) -> (state, new values) over each key's rows in order, from start().
 

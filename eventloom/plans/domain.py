@@ -139,7 +139,9 @@ def shooting_over_mix(spark, sf_dir):
 def matchup_points_saved(spark, sf_dir):
     """A line's number is its scorer, its supplier the defender, its order the game."""
     flag = lambda c, v: F.sum(F.when(F.col(c) == v, 1.0).otherwise(0.0))
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("person_id"), F.col("l_suppkey").alias("matchups_person_id")).agg(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    lines = filters.dealt_by_size(lines, ["l_orderkey", "l_linenumber", "l_suppkey"])  # nearly every line is a group of its own
+    rows = lines.groupBy(F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("person_id"), F.col("l_suppkey").alias("matchups_person_id")).agg(
         F.sum("l_quantity").alias("partial_possessions"), F.count("*").cast("double").alias("matchup_field_goals_made"), flag("l_returnflag", "R").alias("matchup_three_pointers_made"), flag("l_linestatus", "F").alias("matchup_free_throws_made")
     )
     made = F.col("matchup_field_goals_made")
