@@ -539,7 +539,7 @@ def affinity_smoothing(spark, sf_dir):
 
 def order_design(spark, sf_dir):
     """An order as a row: its suppliers in one block, its line numbers in another."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    lines = filters.dealt_by_size(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber"), ["l_orderkey"])
     rows = lines.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s"), F.collect_set("l_linenumber").alias("n"))
     return ridge.lineup_design(rows, "l_orderkey", {"supplier": F.col("s"), "line": F.col("n")})
 
