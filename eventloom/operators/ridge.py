@@ -13,7 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contracts import ContractError
@@ -42,13 +42,42 @@ def columns_of(design: DataFrame) -> list[tuple[str, str]]:
     return list(zip(found["block"].to_pylist(), found["entity"].to_pylist(), strict=True))
 
 
-def gram_entries(design: DataFrame, row: str) -> DataFrame:
-    """(block_i, entity_i, block_j, entity_j, value) of X'X, lower triangle by (block, entity); `weight` counts if there."""
+def number_table(spark: SparkSession, columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """(block, entity, i), a row a coefficient."""
+    blocks, entities = zip(*columns, strict=True) if columns else ((), ())
+    return F.broadcast(spark.createDataFrame(pa.table({"block": pa.array(blocks, pa.string()), "entity": pa.array(entities, pa.string()), "i": pa.array(range(len(columns)), pa.int32())})))
+
+
+def pair_sums(entries: DataFrame, row: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, i, j, x), j up to i: sums of v * u over the pairs of a row's entries (row, groups, i, u, v).
+
+    A row's entries are sorted by number and each meets those up to it; two entries of one number meet both ways.
+    """
+    members = entries.groupBy(row, *groups).agg(F.sort_array(F.collect_list(F.struct("i", "u", "v"))).alias("m"))
+    first = members.select(*groups, "m", F.posexplode("m").alias("_k", "_a"))
+    both = first.select(*groups, "_k", "_a", F.posexplode(F.slice("m", F.lit(1), F.col("_k") + 1)).alias("_l", "_b"))
+    a, b = F.col("_a"), F.col("_b")
+    twice = F.when(a["i"].eqNullSafe(b["i"]) & (F.col("_k") != F.col("_l")), b["v"] * a["u"]).otherwise(0.0)
+    return both.select(*groups, a["i"].alias("i"), b["i"].alias("j"), (a["v"] * b["u"] + twice).alias("x")).groupBy(*groups, "i", "j").agg(F.sum("x").alias("x"))
+
+
+def _numbered_entries(design: DataFrame, columns: Sequence[tuple[str, str]], *keys: str) -> DataFrame:
+    """(keys, i, u, v): the design's entries with their coefficient's number, null for an unknown one."""
     weight = F.col("weight") if "weight" in design.columns else F.lit(1.0)
-    members = design.groupBy(row).agg(F.collect_list(F.struct(F.struct("block", "entity").alias("c"), F.col("val").alias("u"), (F.col("val") * weight).alias("v"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["c"] <= a["c"]), lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["v"] * b["u"]).alias("x")))))
-    sums = members.select(F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.x").alias("value"))
-    return sums.select(F.col("i.block").alias("block_i"), F.col("i.entity").alias("entity_i"), F.col("j.block").alias("block_j"), F.col("j.entity").alias("entity_j"), "value")
+    return design.join(number_table(design.sparkSession, columns), ["block", "entity"], "left").select(*keys, "i", F.col("val").alias("u"), (F.col("val") * weight).alias("v"))
+
+
+def gram_entries(design: DataFrame, row: str) -> DataFrame:
+    """(block_i, entity_i, block_j, entity_j, value) of X'X, lower triangle by (block, entity); `weight` counts if there.
+
+    Pairs are summed by the coefficients' numbers, in the order of their names; the names are joined to the sums.
+    """
+    columns = columns_of(design)
+    names = number_table(design.sparkSession, columns)
+    sums = pair_sums(_numbered_entries(design, columns, row), row).withColumnRenamed("x", "value")
+    for x in "ij":
+        sums = sums.join(F.broadcast(names.toDF(f"block_{x}", f"entity_{x}", x)), x)
+    return sums.select("block_i", "entity_i", "block_j", "entity_j", "value")
 
 
 def moments(design: DataFrame, response: DataFrame, row: str, y: str) -> DataFrame:
@@ -74,14 +103,10 @@ class NormalEquations:
         used = design.join(response.select(row, *(["weight"] if weighted else [])), row)
         p = len(columns)
         gram, xy, exposure = np.zeros((p, p)), np.zeros(p), np.zeros(p)
-        numbers = design.sparkSession.createDataFrame([(*c, k) for c, k in at.items()], "block string, entity string, k int")
-        numbered = gram_entries(used, row)
-        for x in "ij":  # broadcast: at most MOST_COLUMNS rows
-            numbered = numbered.join(F.broadcast(numbers.toDF(f"block_{x}", f"entity_{x}", x)), [f"block_{x}", f"entity_{x}"], "left")
-        found = numbered.select("i", "j", "value").toArrow()  # at most MOST_COLUMNS^2 / 2 sums of 16 bytes, fewer as it is sparse
+        found = pair_sums(_numbered_entries(used, columns, row), row).toArrow()  # at most MOST_COLUMNS^2 / 2 sums of 16 bytes, fewer as it is sparse
         if found["i"].null_count or found["j"].null_count:
             raise ContractError("the design has a column that is not among the coefficients")
-        i, j, v = (found[c].to_numpy() for c in ("i", "j", "value"))
+        i, j, v = (found[c].to_numpy() for c in ("i", "j", "x"))
         gram[i, j] = gram[j, i] = v
         for b, e, v, x in moments(design, response, row, y).collect():
             xy[at[b, e]], exposure[at[b, e]] = v, x
@@ -233,14 +258,11 @@ def grouped_equations(design: DataFrame, response: DataFrame, row: str, y: str,
     weighted = "weight" in response.columns
     w = F.col("weight") if weighted else F.lit(1.0)
     used = design.join(response.select(row, group, y, *(["weight"] if weighted else [])), row)
-    members = used.groupBy(row, group).agg(F.collect_list(F.struct(F.struct("block", "entity").alias("c"), F.col("val").alias("u"), (F.col("val") * w).alias("v"))).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["c"] <= a["c"]), lambda b: F.struct(a["c"].alias("i"), b["c"].alias("j"), (a["v"] * b["u"]).alias("x")))))
-    grams = members.select(group, F.explode(pairs).alias("p")).groupBy(group, "p.i", "p.j").agg(F.sum("p.x").alias("value"))
+    grams = pair_sums(_numbered_entries(used, columns, row, group), row, [group])
     sides = used.groupBy(group, "block", "entity").agg(F.sum(F.col("val") * w * F.col(y)).alias("xy"), F.sum(F.col("val") * w).alias("exposure"))
     totals = response.groupBy(group).agg(F.sum(w).alias("n"), F.sum(w * F.col(y)).alias("y"), F.sum(w * F.col(y) * F.col(y)).alias("yy"))
     out = {r[group]: NormalEquations(columns, np.zeros((p, p)), np.zeros(p), np.zeros(p), r["n"] or 0.0, r["y"] or 0.0, r["yy"] or 0.0) for r in totals.collect()}
-    for g, i, j, v in grams.select(group, "i", "j", "value").collect():
-        i, j = at[i["block"], i["entity"]], at[j["block"], j["entity"]]
+    for g, i, j, v in grams.select(group, "i", "j", "x").collect():
         out[g].gram[i, j] = out[g].gram[j, i] = v
     for g, b, e, v, x in sides.collect():
         out[g].xy[at[b, e]], out[g].exposure[at[b, e]] = v, x

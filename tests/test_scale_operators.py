@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from eventloom.contracts import ContractError
 from eventloom.operators import filters, joins, models, ranking, rates, resample, ridge
-from eventloom.plans import catalog
+from eventloom.plans import catalog, forward
 from eventloom.sources import lineage
 
 
@@ -286,3 +286,55 @@ def test_lineup_replay_equals_a_plain_loop(spark, sf_dir):
         want.append((year, n, tuple(sorted(on)), begun, None, ok))
     got = [(r["year"], r["stint"], tuple(r["players"]), r["start"], r["end"], r["ok"]) for r in catalog.lineup_replay(spark, sf_dir).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > len(years)
+
+
+# growth --------------------------------------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bootstrap_takes_a_digest_a_draw_and_converts_none(spark):
+    rows = spark.createDataFrame([(i // 3, i % 2, None if i % 7 == 0 else i / 10) for i in range(300)] + [(None, 1, 2.0)], "game int, season int, v double")
+    weight = resample.poisson_weight(resample.unit(F.lit(7), F.col("draw"), F.col("season"), F.col("game")))
+    draws = rows.select("season", "game").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("w", weight)
+    multiplicities = {(r["season"], r["game"], r["draw"]): r["multiplicity"] for r in resample.cluster_draws(rows, ["season"], "game", 40, 7).collect()}
+    assert multiplicities == {(r["season"], r["game"], r["draw"]): r["w"] for r in draws.collect()}
+    want = {}
+    for d in range(40):
+        own = [(multiplicities[r["season"], r["game"], d], r["v"]) for r in rows.collect() if r["v"] is not None]
+        want[d] = sum(w * v for w, v in own) / sum(w for w, _ in own)
+    got = resample.bootstrap_means(rows, ["season"], "game", "v", 40, 7)
+    assert {r["draw"]: r["mean"] for r in got.collect()} == pytest.approx(want)
+    assert plan_of(got).count("md5(") == 1 and "conv(" not in plan_of(got)
+
+
+def test_html_ratings_parse_each_page_once_and_on_many_tasks(spark, sf_dir):
+    plan = catalog.QUERIES["html_ratings"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Repartition" in plan[plan.index("MapInPandas") :]
+
+
+def test_dealing_by_size_bounds_the_rows_of_a_task(spark, monkeypatch):
+    df = spark.range(3000).select((F.col("id") % 1500).alias("k"), "id")
+    assert filters.dealt_by_size(df, ["k"], 3000) is df
+    dealt = filters.dealt_by_size(df, ["k"], 100)
+    sizes = dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) == 30 and max(r["count"] for r in sizes) < 300
+    grouped = dealt.groupBy("k").agg(F.count("*").alias("n"))
+    assert grouped.rdd.getNumPartitions() == 30 and grouped.count() == 1500  # the grouping keeps the dealing
+    seen = []
+    monkeypatch.setattr(filters, "dealt_by_size", lambda df, keys, *a: seen.append(list(keys)) or df)
+    for name in ("gram_moments", "gram_entries", "matchup_points_saved"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert seen == [["l_orderkey"], ["l_orderkey"], ["l_orderkey", "l_linenumber", "l_suppkey"]]
+
+
+def test_pairs_are_numbers_without_lambdas(spark, design_rows):
+    design, _ = design_rows
+    assert "lambda" not in plan_of(ridge.gram_entries(design, "row"))
+
+
+def test_supplied_rows_are_read_back(spark, sf_dir):
+    rows = forward.supplied(spark, sf_dir)
+    assert "Join" not in plan_of(rows) and rows.count() == rows.distinct().count() > 0
