@@ -35,6 +35,8 @@ MISS, MOST_BANDS = 5e-7, 512
 LANES = 2048  # one bit each
 BLOCK = 1024
 CENTRES = 3
+SHINGLES = 1 << 22  # of a block's sets, on average
+CELL = ("bucket", "low", "i", "high", "j")
 _RANDOM = np.random.default_rng(20260)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LANE_A = _RANDOM.integers(1, 2**31, LANES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -121,16 +123,20 @@ def estimate(a: Column, b: Column) -> Column:
     return 1 - 2 * unequal / LANES
 
 
-def block_pairs(table: pa.Table, percent: int, cut: float, rows: int = 64) -> pa.Table:
-    """Pairs between two blocks of a bucket, or within one: other label, size and estimate in reach, first shared band here."""
+def block_candidates(table: pa.Table, percent: int, cut: float, rows: int = 64) -> pa.Table:
+    """Members of two blocks of a bucket, or of one, that have a candidate there, with their candidates: other label, size and estimate in reach, first shared band here.
+
+    (bucket, low, i, high, j, node, others): a row a member, others being the candidates to its right; each pair comes once.
+    """
     nodes, labels = (np.array(table.column(c).to_pylist(), dtype=object) for c in ("node", "label"))
     n, own, size_class = (table.column(c).to_numpy() for c in ("n", "own", "size_class"))
     signature = np.array(table.column("signature").to_pylist(), dtype=np.int64).view(np.uint64)
     buckets = np.array(table.column("buckets").to_pylist(), dtype=np.int64)
-    bucket, low, i, high, j = (table.column(c)[0].as_py() for c in ("bucket", "low", "i", "high", "j"))
+    cell = {c: table.column(c)[0].as_py() for c in CELL}
+    bucket, low, i, high, j = cell.values()
     label = np.unique([x.hex() for x in labels], return_inverse=True)[1]
     left, right = np.flatnonzero((own == i) & (size_class == low)), np.flatnonzero((own == j) & (size_class == high))
-    out_a, out_b = [], []
+    found: dict = {}
     for start in range(0, len(left), rows):
         a = left[start : start + rows]
         unequal = np.zeros((len(a), len(right)), dtype=np.int32)
@@ -142,11 +148,43 @@ def block_pairs(table: pa.Table, percent: int, cut: float, rows: int = 64) -> pa
             near &= a[:, None] < right[None]
         x, y = np.nonzero(near)
         x, y = a[x], right[y]
-        equal = buckets[x] == buckets[y]
-        first = buckets[x, equal.argmax(1)] == bucket if len(x) else np.zeros(0, dtype=bool)
-        out_a += nodes[x[first]].tolist()
-        out_b += nodes[y[first]].tolist()
-    return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+        if len(x):
+            equal = buckets[x] == buckets[y]
+            first = buckets[x, equal.argmax(1)] == bucket
+            for one, other in zip(x[first].tolist(), y[first].tolist(), strict=True):
+                found.setdefault(one, []).append(nodes[other])
+                found.setdefault(other, [])
+    out = {c: pa.array([cell[c]] * len(found), pa.int64()) for c in CELL}
+    return pa.table({**out, "node": pa.array(nodes[list(found)].tolist() if found else [], pa.binary()), "others": pa.array(list(found.values()), pa.list_(pa.binary()))})
+
+
+def block_links(table: pa.Table, percent: int) -> pa.Table:
+    """Edges (u, v) of what block_candidates found in a cell, confirmed on the full sets (shingles, sorted); of links within a component of the cell, only as many as hold it together."""
+    nodes = table.column("node").to_pylist()
+    sets = [x.values.to_numpy().view(np.uint64) for x in table.column("shingles").combine_chunks()]
+    at = {x: k for k, x in enumerate(nodes)}
+    root = list(range(len(nodes)))
+
+    def top(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    u, v = [], []
+    for k, others in enumerate(table.column("others").to_pylist()):
+        mine = sets[k]
+        for m in (at[x] for x in others):
+            x, y = top(k), top(m)
+            if x == y:
+                continue
+            place = np.minimum(np.searchsorted(mine, sets[m]), len(mine) - 1)
+            common = int((mine[place] == sets[m]).sum())
+            if 100 * common >= percent * (len(mine) + len(sets[m]) - common):
+                root[max(x, y)] = min(x, y)
+                u.append(nodes[k])
+                v.append(nodes[m])
+    return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
 
 def few(df: DataFrame, most: int = 100_000) -> DataFrame:
@@ -206,15 +244,15 @@ class Links:
         """All pairs across labels within the buckets that hold several, confirmed.
 
         Sets in reach of each other differ by at most one size class.  The members of a bucket and size class are compared block by
-        block, BLOCK by BLOCK rows on average, so neither a task nor a shuffle holds a bucket's pairs: only those that
-        pass the estimate leave the task, each in one of its buckets.
+        block, BLOCK by BLOCK rows on average and fewer where sets are large.  No pair leaves a task: what passes the estimate is listed with
+        its members, a row each, these meet again with their full sets, and links leave as far as they hold components together.
         """
         size_class = F.floor(F.log(F.col("n").cast("double")) / -math.log(self.percent / 100 - 1e-9) if self.percent < 100 else F.col("n"))
         traits = self.sets.select("node", "n", "signature", "buckets", size_class.cast("long").alias("size_class"))
-        open_ = written(self.labelled(labels).join(traits.select("node", "size_class"), "node"), "open")
-        sizes = open_.groupBy("bucket", "size_class").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        open_ = written(self.labelled(labels).join(traits.select("node", "size_class", "n"), "node"), "open")
+        sizes = open_.groupBy("bucket", "size_class").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("blocks"))
         by_class = sizes.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("size_class", "blocks"))).alias("blocks"))  # few size classes
-        rows = open_.drop("size_class").join(self.hot.copied(by_class), ["bucket", "_salt"]).join(traits, "node")
+        rows = open_.drop("size_class", "n").join(self.hot.copied(by_class), ["bucket", "_salt"]).join(traits, "node")
         count = lambda by: F.coalesce(F.try_element_at("blocks", F.col("size_class") + by), F.lit(0).cast("long"))
         rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), count(0)))
         numbers = lambda by: F.when(count(by) > 0, F.sequence(F.lit(0).cast("long"), count(by) - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -223,8 +261,10 @@ class Links:
         cells = F.concat(F.transform(numbers(0), lambda k: cell(here, F.least(own, k), here, F.greatest(own, k))), F.transform(numbers(1), lambda k: cell(here, own, here + 1, k)), F.transform(numbers(-1), lambda k: cell(here - 1, k, here, own)))
         dealt = rows.withColumn("_c", F.explode(cells)).select("bucket", "_c.*", "own", "size_class", "node", "label", "n", "signature", "buckets")
         percent, cut = self.percent, self.cut
-        found = written(dealt.groupBy("bucket", "low", "i", "high", "j").applyInArrow(lambda table: block_pairs(table, percent, cut), "a binary, b binary"), "rest-pairs")
-        return written(self.confirmed(found, Hot(found.groupBy("b").agg(F.count("*").alias("n")), "b")), "rest-links")
+        kinds = ", ".join(f"{c} bigint" for c in CELL)
+        found = written(dealt.groupBy(*CELL).applyInArrow(lambda table: block_candidates(table, percent, cut), f"{kinds}, node binary, others array<binary>"), "rest-candidates")
+        both = found.join(self.sets.select("node", "shingles"), "node")
+        return written(both.groupBy(*CELL).applyInArrow(lambda table: block_links(table, percent), "u binary, v binary"), "rest-links")
 
 
 def grouped(docs: DataFrame, *, percent: int = 85, stars: int = 1) -> DataFrame:

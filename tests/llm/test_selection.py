@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -488,3 +489,31 @@ def test_pipeline_stages(spark, sf_dir):
         kept[name], docs = set(after), out
     assert kept["mixing"] == kept["secrets"]
     assert {r["doc_id"] for r in p.run(spark, sf_dir).collect()} == kept["mixing"]
+
+
+def test_a_block_gives_a_row_a_member_not_a_row_a_pair():
+    base = [f"w{k}" for k in range(140)]
+    texts = [" ".join(f"x{i}" if k == 7 * (i % 20) or k == 7 * (i // 20) else w for k, w in enumerate(base)) for i in range(120)]
+    sets = [minhash_dedup.shingle_set(t) for t in texts]
+    bands = minhash_dedup.bands_for(80)
+    nodes, n = [minhash_dedup.set_key(s) for s in sets], len(sets)
+    cell = {"bucket": 5, "low": 1, "i": 0, "high": 1, "j": 0}
+    same = [5] + [0] * (bands - 1)
+    columns = {**{c: [v] * n for c, v in cell.items()}, "own": [0] * n, "size_class": [1] * n, "node": nodes, "label": nodes, "n": [len(s) for s in sets], "signature": [minhash_dedup.signature_of(s) for s in sets], "buckets": [same] * n}
+    found = minhash_dedup.block_candidates(pa.table(columns), 80, 0.6)
+    pairs = {frozenset((a, b)) for a, others in zip(found["node"].to_pylist(), found["others"].to_pylist(), strict=True) for b in others}
+    linked = {frozenset((nodes[i], nodes[j])) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert found.num_rows <= n < len(pairs) and linked <= pairs
+    links = minhash_dedup.block_links(found.append_column("shingles", pa.array([sets[nodes.index(x)].view(np.int64).tolist() for x in found["node"].to_pylist()])), 80)
+    got = {frozenset(p) for p in zip(links["u"].to_pylist(), links["v"].to_pylist(), strict=True)}
+    assert got <= linked and len(got) < n
+
+    def parts(edges):
+        root = {x: x for x in nodes}
+        for _ in range(n):
+            for e in edges:
+                a, b = sorted(e)
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert linked and parts(got) == parts(linked)
