@@ -82,22 +82,21 @@ def row_key():
     return F.md5(F.concat(part("doc_id"), part("source"), part("text")).cast("binary"))
 
 
-def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: int = 65_536, shard_words: int = 1 << 26, levels: int | None = None, seed: int = 17, keyed: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, draws (array of copy, shard, words), n_shards.
+def source_key():
+    """A key for the column source; null differs from the empty text."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
 
-    keyed adds row_key, which tells rows of one id apart.  levels: of the splitting tree, which has 2^levels shards; if not given, so
-    many that a shard has about shard_words words, and 4 at least.
 
-    A null text has size 0, a null source is a source of its own, and a null doc_id hashes as the empty text.
-    Equal rows are told apart by their place in the order only, so together they give the same rows in every run.
-    Sources without words have target 0.  An empty table gives an empty result.  Other columns are ignored.
-    """
-    key = ["row_key"] if keyed else []
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash32(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("h"), *([row_key().alias("row_key")] if keyed else []))
-    slim = written(slim.withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))), "mix-sizes")
+def position(seed: int):
+    """Where a row lies among its source's: a hash of id and text."""
+    return hash32(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
+def _blocks(slim: DataFrame, weights, most: float, block_words: int, shard_words: int, levels: int | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """From (source, source_key, size, h): slim with its block, targets (a row a source), bases (a row a block: base, the words before it), and the tree's levels."""
     # pre-summed within each task, so a source with a third of all rows reaches the final sum as a few rows
     sizes = slim.groupBy("source", "source_key").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes.select("source", "source_size"), weights, most).withColumn("source_key", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).drop("source")
+    targets = source_targets(sizes.select("source", "source_size"), weights, most).withColumn("source_key", source_key()).drop("source")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("passes", passes).withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size"))
     targets = written(targets.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long")), "mix-targets")
@@ -114,13 +113,44 @@ def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: i
     groups = groups.select("source_key", "group", F.coalesce(F.sum("n").over(ahead("source_key", "group")), F.lit(0)).alias("start"))
     bases = sums.withColumn("base", F.coalesce(F.sum("block_size").over(ahead("source_key", "group", "block")), F.lit(0))).join(groups, ["source_key", "group"])
     bases = bases.select("source_key", "block", (F.col("base") + F.col("start")).alias("base")).join(targets.drop("source_size", "target"), "source_key")
-    bases = written(bases, "mix-blocks")
+    return dealt, targets, written(bases, "mix-blocks"), levels
+
+
+def _edges(bases: DataFrame) -> DataFrame:
+    """Each source's last block that the rest of its target touches: (source_key, edge, base).  Earlier blocks are taken whole, later ones not at all."""
+    return bases.where(F.col("base") < F.col("rest")).groupBy("source_key").agg(F.max("block").alias("edge"), F.max("base").alias("base"))
+
+
+def _draw_numbers(targets: DataFrame, bases: DataFrame) -> DataFrame:
+    """How many blocks each source draws: (source_key, draws)."""
+    found = targets.join(_edges(bases), "source_key", "left")
+    return found.select("source_key", (F.col("passes") * F.col("blocks") + F.coalesce(F.col("edge") + 1, F.lit(0))).cast("long").alias("draws"))
+
+
+def leaf_of(ends, draw, levels: int):
+    """The leaf that holds a draw's number, down the tree: how many of the 2^levels ends are not above it."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(levels))])
+    return F.aggregate(steps, F.lit(0), lambda leaf, step: F.when(F.get(ends, leaf + step - 1) <= draw, leaf + step).otherwise(leaf))
+
+
+def mixed(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: int = 65_536, shard_words: int = 1 << 26, levels: int | None = None, seed: int = 17, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, draws (array of copy, shard, words), n_shards.
+
+    keyed adds row_key, which tells rows of one id apart.  levels: of the splitting tree, which has 2^levels shards; if not given, so
+    many that a shard has about shard_words words, and 4 at least.
+
+    A null text has size 0, a null source is a source of its own, and a null doc_id hashes as the empty text.
+    Equal rows are told apart by their place in the order only, so together they give the same rows in every run.
+    Sources without words have target 0.  An empty table gives an empty result.  Other columns are ignored.
+    """
+    key = ["row_key"] if keyed else []
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), position(seed).alias("h"), *([row_key().alias("row_key")] if keyed else []))
+    slim = written(slim.withColumn("source_key", source_key()), "mix-sizes")
+    dealt, targets, bases, levels = _blocks(slim, weights, most, block_words, shard_words, levels)
 
-    touched = bases.where(F.col("base") < F.col("rest")).groupBy("source_key").agg((F.max("block") + 1).alias("touched"))
-    quotas = targets.join(touched, "source_key", "left").select("source_key", (F.col("passes") * F.col("blocks") + F.coalesce("touched", F.lit(0))).cast("long").alias("draws"))
     # a source's draws are numbered pass by pass and block by block; each shard takes the next ones, as many as its leaf says
     running = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leaves = leaf_quotas(quotas, levels, seed).withColumn("end", F.sum("n").over(running)).where("n > 0")
+    leaves = leaf_quotas(_draw_numbers(targets, bases), levels, seed).withColumn("end", F.sum("n").over(running)).where("n > 0")
     numbers = leaves.select("source_key", "shard", F.explode(F.sequence(F.col("end") - F.col("n"), F.col("end") - 1)).alias("draw"))
     drawn = bases.select("source_key", "block", F.posexplode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), lambda c: c * F.col("blocks") + F.col("block"))).alias("copy", "draw"))
     shards = drawn.join(numbers, ["source_key", "draw"]).groupBy("source_key", "block").agg(F.map_from_entries(F.collect_list(F.struct("copy", "shard"))).alias("shards"))
@@ -155,6 +185,38 @@ def first_words(text, n):
     return F.array_join(F.slice(F.split(text, rf"(?<=[^{SPACE}])(?=[{SPACE}])"), 1, n), "")
 
 
+def _drawn(docs: DataFrame, *, weights=WEIGHTS, most: float = 3.0, block_words: int = 65_536, shard_words: int = 1 << 26, levels: int | None = None, seed: int = 17) -> DataFrame:
+    """docs with size, source_size, target and draws, as in mixed(), without a shuffle of the texts.
+
+    A row's draws follow from its source's figures and its block, but in the one block a source that its target cuts; only
+    those rows meet in a window.  Rows that are equal in all but other columns are told apart by these.
+    """
+    slim = written(docs.select("source", source_key().alias("source_key"), word_count(F.col("text")).alias("size"), position(seed).alias("h")), "mix-sizes")
+    _, targets, bases, levels = _blocks(slim, weights, most, block_words, shard_words, levels)
+    found = targets.join(_edges(bases), "source_key", "left").join(split_quotas(_draw_numbers(targets, bases), levels, seed), "source_key")
+    figures = F.struct("source_size", "target", "passes", "rest", "blocks", F.coalesce("edge", F.lit(-1)).alias("edge"), "base", "ends")
+    sources = written(found.select(F.col("source_key").alias("_mix_source"), figures.alias("_mix_of")), "mix-sources")
+
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    of = F.col("_mix_of")
+    rows = docs.select(*own, source_key().alias("_mix_source"), position(seed).alias("_mix_h")).join(sources, "_mix_source")
+    rows = rows.withColumn("_mix_block", F.shiftright(F.col("_mix_h") * of["blocks"], 32)).withColumn("size", word_count(F.col("text")))
+    cut = (F.col("_mix_block") == of["edge"]) & (F.col("size") > 0)
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    inside = Window.partitionBy("_mix_source").orderBy("_mix_h", "doc_id", "size", row_key(), others).rowsBetween(Window.unboundedPreceding, -1)
+    before = of["base"] + F.coalesce(F.sum("size").over(inside), F.lit(0))
+    edge = rows.where(cut).withColumn("_mix_part", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), of["rest"] - before)))
+    rest = rows.where(~cut).withColumn("_mix_part", F.when(F.col("_mix_block") < of["edge"], F.col("size")).otherwise(0).cast("long"))
+
+    def draw(copy, n):
+        return F.struct(copy.cast("int").alias("copy"), leaf_of(of["ends"], copy * of["blocks"] + F.col("_mix_block"), levels).alias("shard"), n.alias("words"))
+
+    none = F.array().cast("array<struct<copy:int,shard:int,words:bigint>>")
+    whole = F.when(of["passes"] > 0, F.transform(F.sequence(F.lit(0).cast("long"), of["passes"] - 1), lambda c: draw(c, F.col("size"))))
+    last = F.when(F.col("_mix_part") > 0, F.array(draw(of["passes"], F.col("_mix_part"))))
+    return rest.unionByName(edge).select(*own, "size", of["source_size"].alias("source_size"), of["target"].alias("target"), F.concat(F.coalesce(whole, none), F.coalesce(last, none)).alias("draws"))
+
+
 def mixture(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
     """The mix itself, one row a draw: docs' columns, size, source_size, target, copy, shard and words.
 
@@ -163,19 +225,9 @@ def mixture(docs: DataFrame, *, seed: int = 17, **options) -> DataFrame:
     a shard lie together in the order of a hash.  Ids may repeat or be null.  The new columns replace those of the same name.
     """
     docs = docs.drop("size", "source_size", "target", "copy", "shard", "words", "draws", "row_key")
-    mix = written(mixed(docs, seed=seed, keyed=True, **options), "mix-draws").select("row_key", "size", "source_size", "target", "draws")
-    keyed = docs.withColumn("row_key", row_key())
-    equal = written(mix.groupBy("row_key").agg(F.count("*").alias("_n")).where("_n > 1").select("row_key"), "mix-equal")
-    if equal.limit(1).count():  # equal rows take turns
-        turn = F.row_number().over(Window.partitionBy("row_key").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))))
-        both = keyed.join(equal, "row_key", "left_semi").withColumn("_turn", turn)
-        draws = mix.join(equal, "row_key", "left_semi").withColumn("_turn", F.row_number().over(Window.partitionBy("row_key").orderBy(F.desc(F.to_json("draws")))))
-        single = keyed.join(equal, "row_key", "left_anti").join(mix.join(equal, "row_key", "left_anti"), "row_key")
-        found = single.unionByName(both.join(draws, ["row_key", "_turn"]).drop("_turn"))
-    else:
-        found = keyed.join(mix, "row_key")
+    rows = _drawn(docs, seed=seed, **options)
     order = hash32(F.lit(seed), F.lit("local"), F.col("doc_id"), F.col("_d.copy"))
-    rows = found.withColumn("_d", F.explode_outer("draws"))
+    rows = rows.withColumn("_d", F.explode_outer("draws"))
     words = F.coalesce("_d.words", F.lit(0).cast("long"))
     text = F.when(F.col("_d").isNull(), None).when(words < F.col("size"), first_words(F.col("text"), words.cast("int"))).otherwise(F.col("text"))
     out = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": text}

@@ -233,6 +233,37 @@ def test_more_blocks_than_a_group_holds(spark):
     assert set(shards) == set(range(32)) and max(shards.values()) < 1.3 * min(shards.values())  # the root's draws are halved five times
 
 
+def exchanged_bytes(node):
+    """Bytes that the exchanges of a plan wrote, once it has run."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return exchanged_bytes(node.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return exchanged_bytes(node.plan())
+    own = node.metrics().get("dataSize").get().value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(exchanged_bytes(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_the_mix_shuffles_its_texts_once(spark, tmp_path):
+    """Ids alone are too many to broadcast here, as they are in a large table; the sources are not."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(str(rng.random()) for _ in range(rng.randint(20, 80))), "xyz"[i % 3]) for i in range(3000)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")
+    try:
+        out = mixing.mixture(docs, block_words=1000)
+        got = out.collect()
+        moved = exchanged_bytes(out._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved < 1.3 * sum(len(r["text"] or "") + 150 for r in got)
+    want = Counter((r["doc_id"], d["copy"], d["shard"], d["words"]) for r in mixing.mixed(docs, block_words=1000).collect() for d in r["draws"])
+    assert Counter((r["doc_id"], r["copy"], r["shard"], r["words"]) for r in got if r["shard"] is not None) == want
+    assert len({c for _, c, _, _ in want}) > 1 and any(r["shard"] is None for r in got)
+
+
 # stages --------------------------------------------------------------------------------------------------------------
 
 
