@@ -101,6 +101,30 @@ def test_intermediates_are_deleted(spark):
 # rules and tails -----------------------------------------------------------------------------------------------------
 
 
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    """A partition of 40 MB within one batch's number of rows."""
+    docs = spark.range(4000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    plain, most = common.slices, 2 * common.BATCH_BYTES
+
+    def checked(batch, column, most_bytes):
+        assert batch.nbytes <= most, f"a batch of {batch.nbytes} bytes"
+        return plain(batch, column, most_bytes)
+
+    monkeypatch.setattr(common, "slices", checked)
+    got = common.row_map(docs, {"size": "bigint"}, lambda texts: [[len(t) for t in texts]], "text").agg(F.sum("size"), F.count_distinct("doc_id")).first()
+    assert tuple(got) == (40_000_000, 4000)
+
+
+def test_a_session_keeps_its_own_batches(spark):
+    before = spark.conf.getAll.get(common.BATCH_SETTING)
+    try:
+        spark.conf.set(common.BATCH_SETTING, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(common.BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(common.BATCH_SETTING) if before is None else spark.conf.set(common.BATCH_SETTING, before)
+
+
 def test_binomial_tail_beyond_a_hundred_thousand_terms(spark):
     n, k, p = 40_000_000, 399_000, 0.01
     got = spark.createDataFrame([(n, k)], "n bigint, k bigint").select(exact.binomial_tail(F.col("n"), F.col("k"), p)).first()[0]
