@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from eventloom.contracts import ContractError
 from eventloom.operators import clock_lineups, filters, joins, packed, resample, ridge, walk_forward
+from eventloom.plans import catalog
 
 PENALTIES = [{"o": 20.0, "d": 20.0}, {"o": 2.0, "d": 5.0}, {"o": 500.0, "d": 300.0}]
 
@@ -220,6 +221,33 @@ def test_clusters_products_are_whole(spark, fraction):
         assert all(np.allclose(got[s], np.tril(x[s::2].T @ x[s::2])) for s in (0, 1))
 
 
+@pytest.mark.parametrize("scale", [None, 1.0, 1e5])
+def test_entries_come_from_products_without_tiles_between(spark, scale):
+    """Broken numbers, whole ones whose sums fit single precision, and whole ones whose sums do not; a null group; each pair of strips is a task."""
+    rng = np.random.default_rng(5)
+    n, p = 40, 600
+    x = rng.normal(size=(n, p)) if scale is None else np.rint(rng.normal(size=(n, p)) * 9) * scale + (scale > 1) * rng.integers(0, 7, (n, p))
+    x *= rng.random((n, p)) < 0.8
+    rows = [(2001 if c % 2 else None, f"c{c}", int(i), float(x[c, i])) for c, i in zip(*np.nonzero(x), strict=True)]
+    found = packed.outer_entries(spark.createDataFrame(rows, "season int, c string, i int, score double"), "season", "c")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "binary" not in plan and "bj" not in plan and found.select(F.spark_partition_id()).rdd.getNumPartitions() == 2 * 10
+    got = np.zeros((2, p, p))
+    for r in found.collect():
+        at = int(r["group"] == 2001), r["i"], r["j"]
+        assert r["j"] <= r["i"] and r["value"] != 0 and got[at] == 0
+        got[at] = r["value"]
+    for s in (0, 1):
+        want = np.tril(x[s::2].T @ x[s::2])
+        assert np.allclose(got[s], want) and (scale is None or np.array_equal(got[s], want))
+
+
+def test_cluster_meat_rounds_without_decimals(spark, sf_dir):
+    """Its rows are nearly all pairs of suppliers: tiles as rows in between and decimals for each row took most of its time."""
+    plan = catalog.QUERIES["cluster_meat"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bj" not in plan and "RepartitionBy" in plan and "< 4.0E11" in plan
+
+
 def test_prior_modes_equal_dense_fits(league, sums):
     rows, *_ = league
     found = sums.window(2001, 2004)
