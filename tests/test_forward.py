@@ -197,6 +197,51 @@ def test_tables_solve_what_matrices_do(league, spark, tmp_path, monkeypatch):
         assert [got[k][c] for c in ("variance_plus", "variance_minus", "covariance", "variance_net")] == pytest.approx([r[c] for c in ("variance_plus", "variance_minus", "covariance", "variance_net")])
 
 
+def test_rows_are_gathered_across_batches(spark):
+    """Rows without entries stay, entries of other seasons or of no row go, also where a row's entries go on in the next batch."""
+    response = spark.createDataFrame([(f"r{n:02d}", 2001 + n % 3, n // 4, float(n)) for n in range(30)], "row string, season int, game int, y double")
+    entries = [(f"r{n:02d}", "b", f"e{k}", 1.0 + k) for n in range(0, 40, 2) for k in range(1 + n % 9)]
+    design = spark.createDataFrame(entries, "row string, block string, entity string, val double")
+    columns = ridge.columns_of(design)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = packed.gathered_rows(design, response, "row", "y", "season", "game", columns, [2003, 2001]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {f"r{n:02d}": (0 if n % 3 == 2 else 1, n // 4, float(n), sorted((f"e{k}", 1.0 + k) for r, _, e, v in entries if r == f"r{n:02d}" for k in [int(e[1:])])) for n in range(30) if n % 3 != 1}
+    assert {r["row"]: (r["_k"], r["_cluster"], r["_y"], sorted((columns[i][1], v) for i, v in zip(r["i"], r["val"], strict=True))) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("tiled", [False, True])
+def test_season_variances_read_the_design_twice_in_all(spark, tmp_path, monkeypatch, tiled):
+    """Once for its columns and once to gather its rows, not several times a season."""
+    rows = [(f"{s}-{n}", s, n // 3, f"p{(n * 7) % 11}", float((n * n) % 13)) for s in range(2001, 2005) for n in range(40)]
+    df = spark.createDataFrame(rows, "row string, season int, game int, p string, y double")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    design = ridge.lineup_design(df, "row", {"o": F.array("p")})
+    design = design.mapInArrow(counted, design.schema)
+    if tiled:
+        monkeypatch.setattr(packed, "DENSE_COLUMNS", 4)
+    got = packed.season_variances(design, df, "row", "y", "season", "game", {"o": 5.0}, "o", "none", str(tmp_path / "v")).collect()
+    assert len(got) == 4 * 11 and read.value <= 2 * len(rows)
+    for r in got[::5]:
+        own = [x for x in rows if x[1] == r["season"]]
+        mean = sum(x[4] for x in own) / len(own)
+        mine = [x for x in own if x[3] == r["entity"]]
+        beta = sum(x[4] - mean for x in mine) / (len(mine) + 5.0)
+        games: dict = {}
+        for x in mine:
+            games[x[2]] = games.get(x[2], 0.0) + x[4] - mean - beta
+        assert r["variance_plus"] == pytest.approx(1e4 * sum(v * v for v in games.values()) / (len(mine) + 5.0) ** 2) and r["variance_minus"] is None
+
+
 def test_components_are_joined_and_binned():
     label = np.arange(8)
     packed._join(label, np.array([5, 7, 3]), np.array([2, 5, 1]))
